@@ -21,11 +21,11 @@ _RANK_BITS = 512
 
 
 class WaveletMatrix:
-    """Bit-planes, highest bit first; each plane lists the ids in the order that stable partition by the planes above gives."""
+    """Bit-planes of the ids' numbers among the shard's different ids, highest bit first; each plane lists the ids in the order that stable partition by the planes above gives."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        """planes: packed bits of each level, little end first."""
-        self.n, self.planes = n, planes
+    def __init__(self, n: int, symbols: np.ndarray, planes: list[np.ndarray]):
+        """symbols: the different ids, ascending; planes: packed bits of each level, little end first."""
+        self.n, self.symbols, self.planes = n, symbols, planes
         self.zeros, self.ranks = [], []
         for p in planes:
             ones = np.bitwise_count(np.pad(p, (0, -len(p) % (_RANK_BITS // 8)))).reshape(-1, _RANK_BITS // 8).sum(axis=1, dtype=np.int64)
@@ -34,13 +34,21 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
-        levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes, now = [], ids
-        for level in reversed(range(levels)):
-            bits = (now >> level & 1).astype(bool)
+        symbols = np.flatnonzero(np.bincount(ids)).astype(np.uint32)
+        number = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
+        number[symbols] = np.arange(len(symbols))
+        now, planes = number[ids], []
+        for level in reversed(range(max(1, (max(1, len(symbols)) - 1).bit_length()))):
+            bits = (now & number.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(bits, bitorder="little"))
-            now = np.concatenate((now[~bits], now[bits]))
-        return cls(len(ids), planes)
+            if level:
+                now = np.concatenate((now[~bits], now[bits]))
+        return cls(len(ids), symbols, planes)
+
+    def _number(self, value: int) -> int:
+        """Of an id among the shard's, -1 if it isn't there."""
+        k = int(np.searchsorted(self.symbols, value))
+        return k if k < len(self.symbols) and self.symbols[k] == value else -1
 
     def _bits(self, level: int) -> np.ndarray:
         return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
@@ -67,11 +75,12 @@ class WaveletMatrix:
             ones = self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
-        return value
+        return int(self.symbols[value])
 
     def count(self, value: int, low: int, high: int) -> int:
         """Occurrences of an id in [low, high)."""
-        if value >> len(self.planes):
+        value = self._number(value)
+        if value < 0:
             return 0
         for level in range(len(self.planes)):
             a, b = self._ones(level, low), self._ones(level, high)
@@ -82,7 +91,7 @@ class WaveletMatrix:
         """Position of the k-th (from 0) occurrence of an id; -1 if there are fewer."""
         if k >= self.count(value, 0, self.n):
             return -1
-        at = 0
+        value, at = self._number(value), 0
         for level in range(len(self.planes)):
             ones = self._ones(level, at)
             at = self.zeros[level] + ones if value >> (len(self.planes) - 1 - level) & 1 else at - ones
@@ -94,54 +103,67 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the stable partitions are undone from the last level up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in reversed(range(len(self.planes))):
-            bits, up = self._bits(level), np.empty(self.n, np.uint32)
+            bits, up = self._bits(level), np.empty(self.n, kind)
             up[~bits] = now[: self.zeros[level]]
-            up[bits] = now[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[bits] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             now = up
-        return now
+        return self.symbols[now] if self.n else np.zeros(0, np.uint32)
 
 
 def pack_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    """The file: magic, documents, ids, planes; then, compressed, document ids with a null mask, lengths and the bit-planes."""
+    """The file: magic, numbers of documents, ids, different ids and planes; then, compressed, document ids with a null mask, lengths, the different ids and the bit-planes."""
     matrix = WaveletMatrix.build(ids)
-    body = np.array([x or 0 for x in doc_ids], np.int64).tobytes() + np.array([x is None for x in doc_ids], bool).tobytes() + np.array(lengths, np.uint64).tobytes() + b"".join(p.tobytes() for p in matrix.planes)
-    return MAGIC + struct.pack("<QQB", len(doc_ids), matrix.n, len(matrix.planes)) + zstandard.ZstdCompressor(level=1).compress(body)
+    body = np.array([x or 0 for x in doc_ids], np.int64).tobytes() + np.array([x is None for x in doc_ids], bool).tobytes() + np.array(lengths, np.uint64).tobytes() + matrix.symbols.tobytes() + b"".join(p.tobytes() for p in matrix.planes)
+    return MAGIC + struct.pack("<QQQB", len(doc_ids), matrix.n, len(matrix.symbols), len(matrix.planes)) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack_shard(blob: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     """Document ids, lengths, matrix."""
     if blob[:4] != MAGIC:
         raise ValueError("not a token shard")
-    docs, n, levels = struct.unpack_from("<QQB", blob, 4)
-    body, at = zstandard.ZstdDecompressor().decompress(blob[21:]), 17 * docs
+    docs, n, kinds, levels = struct.unpack_from("<QQQB", blob, 4)
+    body, at = zstandard.ZstdDecompressor().decompress(blob[29:]), 17 * docs + 4 * kinds
     keys = np.frombuffer(body, np.int64, docs).tolist()
     doc_ids = [None if null else k for k, null in zip(keys, np.frombuffer(body, bool, docs, 8 * docs).tolist(), strict=True)]
     size = (n + 7) // 8
-    return doc_ids, np.frombuffer(body, np.uint64, docs, 9 * docs).astype(np.int64), WaveletMatrix(n, [np.frombuffer(body, np.uint8, size, at + k * size) for k in range(levels)])
+    planes = [np.frombuffer(body, np.uint8, size, at + k * size) for k in range(levels)]
+    return doc_ids, np.frombuffer(body, np.uint64, docs, 9 * docs).astype(np.int64), WaveletMatrix(n, np.frombuffer(body, np.uint32, kinds, 17 * docs), planes)
+
+
+#: Latin letters and then ASCII punctuation: normaliser and word pattern make exactly these two words of it.
+_WORD = r"^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<after>[!-/:-@\[-`{-~]*)$"
 
 
 class Encoder:
     """Ids of whole texts. Pieces between ASCII white space are tokenised one by one and remembered, as the
-    tokenizer's normaliser and word pattern never look past white space; `direct` is for tokenizers where they do."""
+    tokenizer's normaliser and word pattern never look past white space; `direct` is for tokenizers where they do.
+    Where tokens mark the end of a word, letters and the punctuation after them are tokenised apart."""
 
-    def __init__(self, json: str, direct: bool = False, remember: int = 400_000):
+    def __init__(self, json: str, direct: bool = False, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.direct, self.remember, self.known = Tokenizer.from_str(json), direct, remember, {}
+        self.tokenizer, self.direct, self.remember = Tokenizer.from_str(json), direct, remember
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
-            new = pieces
+    def _learn(self, new: list[str], alone: bool) -> None:
+        """alone: each is one word by itself, so many are tokenised in one call and told apart by the ends of words."""
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint32)
-        return [self.known[p] for p in pieces]
+            if alone:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                edges = (4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)).tolist()
+                if len(edges) == len(part):
+                    raw = ids.tobytes()
+                    self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)], strict=True))
+                    continue
+            self.known.update(zip(part, [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id; lengths."""
@@ -149,18 +171,39 @@ class Encoder:
             rows = [np.array([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end], np.uint32) for t in texts.to_pylist()]
             return np.concatenate([np.zeros(0, np.uint32), *rows]), np.array([len(r) for r in rows], np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        pieces = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
-        known = self._pieces(pieces.dictionary.to_pylist())
-        size = np.array([len(x) for x in known], np.int64)
-        first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
-        flat = np.concatenate([np.zeros(0, np.uint32), *known])
-        at = pieces.indices.to_numpy(zero_copy_only=False)
-        sizes = size[at] if len(at) else np.zeros(0, np.int64)
-        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        lengths = total[edges[1:]] - total[edges[:-1]]
-        ids = flat[np.repeat(first[at] - total[:-1], sizes) + np.arange(total[-1])] if len(at) else np.zeros(0, np.uint32)
-        return np.insert(ids, np.cumsum(lengths), np.uint32(end)), lengths + 1
+        edges = split.offsets.to_numpy()
+        found = split.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        pieces = found.dictionary
+        parts = pc.extract_regex(pieces, _WORD)
+        simple = pc.and_(parts.is_valid(), pc.invert(pc.match_substring(pieces, "<|")))
+        first = pc.if_else(simple, pc.utf8_lower(pc.struct_field(parts, 0)), pieces)
+        words = pa.chunked_array([first, pc.if_else(simple, pc.struct_field(parts, 1), "")]).combine_chunks().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        if len(self.known) + len(different) > self.remember:
+            self.known = {"": b""}
+        whole = set(pc.unique(pc.filter(pieces, pc.invert(simple))).to_pylist())
+        new = [w for w in different if w not in self.known]
+        self._learn([w for w in new if w not in whole], True)
+        self._learn([w for w in new if w in whole], False)
+        ids = [self.known[w] for w in different]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+        numbers, at, n = words.indices.to_numpy(), found.indices.to_numpy(), len(pieces)
+        order = np.empty(2 * len(at), np.int32)
+        order[::2], order[1::2] = numbers[:n][at], numbers[n:][at]
+        taken = lists.take(pa.array(order))
+        upto = taken.offsets.to_numpy()[2 * (edges - edges[0])]
+        return np.insert(taken.flatten().to_numpy(), upto[1:], np.uint32(end)), np.diff(upto).astype(np.int64) + 1
+
+
+def _slices(texts: pa.Array, most: int = 4 << 20):
+    """(start, rows) of runs of texts of some MB together, or one text."""
+    sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), 0
+    upto = np.cumsum(sizes)
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2, shard_ids: int = SHARD_IDS, direct: bool = False) -> None:
@@ -184,8 +227,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([keys[0]], pa.int64()), pa.array([n], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "first_id", "n_ids", "file"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
+            for k, rows in _slices(batch.column(1)):
+                some = batch.slice(k, rows)
                 got, sizes = encoder.encode(some.column(1), end)
                 edge = 0
                 for key, size in zip(some.column(0).to_pylist(), sizes.tolist(), strict=True):
