@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from correspond.plans import graph, mail, retrieval, rooms, streams  # noqa: F401
+from correspond.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
