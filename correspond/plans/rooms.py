@@ -344,9 +344,9 @@ def mood_score(spark, d):
     return _mood(spark, d)
 
 
-@query(f"WITH {_MOOD} SELECT chatroom_id, round(coalesce(avg(mood_score) FILTER (unit = 'day'), avg(mood_score) FILTER (unit = 'month')), 4) AS mood FROM mood WHERE unit = 'day' AND period BETWEEN '2024-01-03' AND '2024-01-12' OR unit = 'month' AND period = '2024-01' GROUP BY 1")
+@query(f"WITH {_MOOD} SELECT chatroom_id, round(coalesce(avg(mood_score) FILTER (unit = 'day'), avg(mood_score) FILTER (unit = 'month')), 8) AS mood FROM mood WHERE unit = 'day' AND period BETWEEN '2024-01-03' AND '2024-01-12' OR unit = 'month' AND period = '2024-01' GROUP BY 1")
 def room_mood_avg(spark, d):
     """Over a range: of the finer unit if there are rows, else of the coarser."""
     rows = _mood(spark, d).where("unit = 'day' and period between '2024-01-03' and '2024-01-12' or unit = 'month' and period = '2024-01'")
     mean = lambda u: F.avg(F.when(F.col("unit") == u, F.col("mood_score")))
-    return rows.groupBy("chatroom_id").agg(F.round(F.coalesce(mean("day"), mean("month")), 4).alias("mood"))
+    return rows.groupBy("chatroom_id").agg(F.round(F.coalesce(mean("day"), mean("month")), 8).alias("mood"))
