@@ -30,6 +30,14 @@ def materialise(df: DataFrame, name: str, max_rows_per_file: int = 0) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the rows that one Arrow batch brings to a Python worker: with whole texts, Spark's 10,000 take hundreds of MB on both sides. A setting of the caller's own stays."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the documents that no model may learn from; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import materialise, table
+from correspond.llm.common import materialise, small_batches, table
 
 #: Bytes of benchmark text in one automaton; more text is scanned for in further rounds.
 BLOCK_BYTES = 16 << 20
@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                     part = batch.slice(k, 1024)
                     yield result(part, found(part))
 
-        return rows.mapInArrow(once, kind)
+        return small_batches(rows).mapInArrow(once, kind)
 
     # More than one block: (row, runs, items) of each scan, joined by row.
     keyed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                 lists = [[[a for a, _ in f[1]] for f in found], [[b for _, b in f[1]] for f in found], [[items.value[k][0] for k in sorted(f[2])] for f in found]]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["_row", "lows", "highs", "items"])
 
-        got = materialise(keyed.select("_row", "text").mapInArrow(one, "_row long, lows array<long>, highs array<long>, items array<string>"), "hits")
+        got = materialise(small_batches(keyed.select("_row", "text")).mapInArrow(one, "_row long, lows array<long>, highs array<long>, items array<string>"), "hits")
         partial = got if partial is None else partial.unionByName(got)
         if not queue and (more := next(blocks, None)) is not None:
             queue.append(more)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import held_out, table, unit
+from correspond.llm.common import held_out, small_batches, table, unit
 
 #: Hashed n-grams of 1 to 3 bytes.
 WIDTH = 2048
@@ -110,7 +110,7 @@ def languages(docs: DataFrame, ambiguous_below: float = 0.05) -> DataFrame:
                         langs[k] = model.value["langs"][b]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores), pa.array(near)], kind.names)
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(of, kind)
+    return small_batches(docs.select("doc_id", held_out().alias("held_out"), "text")).mapInArrow(of, kind)
 
 
 def op10_language(spark, sf_dir):

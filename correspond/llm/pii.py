@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import table, unit
+from correspond.llm.common import small_batches, table, unit
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern's leftmost match never starts within a run of digits, nor an address before its @: the look-behind, and
@@ -330,7 +330,7 @@ def personal_data(docs: DataFrame, least: float = 0.9) -> DataFrame:
                 counts = [pa.array([sum(s[0] == k for s in own) for own in base], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([hashlib.sha256(told(own).encode()).hexdigest() for own in base], pa.string()), pa.array([told(own + m) for own, m in zip(base, more, strict=True)], pa.string()), pa.array([len(m) for m in more], pa.int64())], kind.names)
 
-    return docs.select("doc_id", "text").mapInArrow(of, kind)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(of, kind)
 
 
 def op2_pii(spark, sf_dir):

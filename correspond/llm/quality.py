@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import held_out, table, unit
+from correspond.llm.common import held_out, small_batches, table, unit
 
 #: Classes of bytes whose shares, singly and in pairs, describe a text's make-up.
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".", b",;:", b"!?", b"|", b"#*$%&<>=~^@_+/\\", b"\"'`()[]{}-"]
@@ -140,7 +140,7 @@ def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, t
             got = [score(np.array([features(t) for t in texts.slice(k, 512).to_pylist()]), model.value) for k in range(0, batch.num_rows, 512)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(np.concatenate(got) if got else np.zeros(0))], names)
 
-    return rows.mapInArrow(of, kind).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return small_batches(rows).mapInArrow(of, kind).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op1_quality(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import connected_components, materialise, table
+from correspond.llm.common import connected_components, materialise, small_batches, table
 
 #: Fingerprints in a tile: 2048 x 2048 words of 8 bytes are compared in strips of a few MB.
 TILE = 2048
@@ -41,7 +41,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(of, kind)
+    return small_batches(docs.select("doc_id", F.col("text").cast("binary"))).mapInArrow(of, kind)
 
 
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:

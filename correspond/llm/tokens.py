@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import shared_dir, table
+from correspond.llm.common import shared_dir, small_batches, table
 
 #: Ids in a shard, rounded up to whole documents: some 4 MB of bit-planes before compression.
 SHARD_IDS = 1 << 21
@@ -142,7 +142,7 @@ class Encoder:
     tokenizer's normaliser and word pattern never look past white space; `direct` is for tokenizers where they do.
     Where tokens mark the end of a word, letters and the punctuation after them are tokenised apart."""
 
-    def __init__(self, json: str, direct: bool = False, remember: int = 500_000):
+    def __init__(self, json: str, direct: bool = False, remember: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -196,6 +196,19 @@ class Encoder:
         return np.insert(taken.flatten().to_numpy(), upto[1:], np.uint32(end)), np.diff(upto).astype(np.int64) + 1
 
 
+def _gathered(batches, most: int = 4 << 20):
+    """Joins small batches to some MB, in which words repeat more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _slices(texts: pa.Array, most: int = 4 << 20):
     """(start, rows) of runs of texts of some MB together, or one text."""
     sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), 0
@@ -226,7 +239,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2,
             file = pack_shard(keys, lengths, np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([keys[0]], pa.int64()), pa.array([n], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "first_id", "n_ids", "file"])
 
-        for batch in batches:
+        for batch in _gathered(batches):
             for k, rows in _slices(batch.column(1)):
                 some = batch.slice(k, rows)
                 got, sizes = encoder.encode(some.column(1), end)
@@ -239,11 +252,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2,
                     if n >= shard_ids:
                         yield shard()
                         keys, lengths, ids, n, seq = [], [], [], 0, seq + 1
+                        pa.default_memory_pool().release_unused()
         if keys:
             yield shard()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shards, "part long, seq long, first_id long, n_ids long, file binary").write.option("maxRecordsPerFile", 8).option("compression", "none").parquet(path)
+    small_batches(ordered).mapInArrow(shards, "part long, seq long, first_id long, n_ids long, file binary").write.option("maxRecordsPerFile", 8).option("compression", "none").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
