@@ -1,0 +1,312 @@
+"""The operators against brute force, round trips and edge cases on small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from correspond.llm import chat, decontaminate, language, mixing, pii, quality, rules, simhash, tokens, urls
+
+R = random.Random(5)
+WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "été", "naïve", "Kappa,", "MU.", "nu-xi", "#tag", "10.0.0.1", "me@mail.example.com"]
+TEXTS = [None, "", "   \n\t ", "one", "two words", "A a a a a a a a", " ".join(WORDS), "line\nline\n\nline", "x " * 5000 + "end", "\u0001\x1f tab\x0bvt", "日本語 テキスト", "<|endoftext|> </s> it's 12"]
+TEXTS += [" ".join(R.choice(WORDS) for _ in range(R.randrange(3, 200))) for _ in range(60)]
+TEXTS += [TEXTS[20]] * 5 + [TEXTS[20] + " more", TEXTS[30].upper()]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, taken int, held_out string, fp long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i % 9 == 0 else "ab"[i % 2], None if i % 7 == 0 else f"s{i % 3}", len(t or ""), 0.5, 1, "clash", 7) for i, t in enumerate(TEXTS)]
+    rows += [rows[15], rows[15], (None, "no id at all here", "a", "s0", 1, 0.1, 2, "x", 3)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def split(t):
+    return [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_quality(spark, docs, empty):
+    good = spark.createDataFrame([(i, i % 2, 0) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int")
+    got = quality.quality(docs, good).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    for r in got:
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    assert quality.quality(empty, good).count() == 0
+    assert quality.quality(docs, good.limit(0)).count() == docs.count()
+
+
+def test_risk_separates():
+    r = np.random.default_rng(0)
+    p, u = r.normal(1, 1, (500, 4)), np.concatenate((r.normal(1, 1, (700, 4)), r.normal(-2, 1, (300, 4))))
+    m = quality.train(p, u, 0.7)
+    assert quality.score(u[:700], m).mean() > 0.8 and quality.score(u[700:], m).mean() < 0.3
+
+
+def test_lstm_gradients():
+    x, y = pii.labelled_windows([], made=12)
+    m, r = pii.new_model(), np.random.default_rng(0)
+    _, g = pii.loss_and_grads(x, y, m)
+    for n in m:
+        k = (1, int(x[5, 0]), 3) if n == "x" else tuple(r.integers(0, s) for s in m[n].shape)
+        at = m[n][k]
+        m[n][k] = at + 1e-5
+        a, _ = pii.loss_and_grads(x, y, m)
+        m[n][k] = at - 1e-5
+        b, _ = pii.loss_and_grads(x, y, m)
+        m[n][k] = at
+        assert abs(g[n][k] - (a - b) / 2e-5) < 1e-5
+
+
+EMAIL, IP, CARD, PHONE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    return [(0, *m.span()) for m in EMAIL.finditer(t)] + [(1, *m.span()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))] + [(2, *m.span()) for m in CARD.finditer(t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))] + [(3, *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_pii_patterns():
+    r = random.Random(1)
+    for _ in range(4000):
+        t = "".join(r.choice("ab1234567890.@+- ()é%") for _ in range(r.randrange(60)))
+        assert pii.base_spans(t) == plain_spans(t), t
+    for t in ("a@b@c.d@e.f x@y.z", "1.2.3.4.5.6.7.8 999.1.1.1", "4111 1111 1111 1111 4111111111111111", "+1 (799) 555-3729."):
+        assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_pii(spark, docs, empty):
+    told = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    text = {i: t for i, t in enumerate(TEXTS)} | {None: "no id at all here"}
+    for r in pii.personal_data(docs).collect():
+        base = plain_spans(text[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest() and r.n_email == sum(k == 0 for k, _, _ in base)
+        assert {s for s in told(base).split(",")} <= set(r.spans.split(",")) and r.n_added == len([s for s in r.spans.split(",") if s]) - len(base)
+    assert pii.personal_data(empty).count() == 0
+
+
+def test_rules(docs, empty):
+    for r in rules.quality_rules(docs).collect():
+        t = (TEXTS[r.doc_id] if r.doc_id is not None else "no id at all here") or ""
+        w = split(t)
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 300 else set(grams) - {g for g in set(grams) if grams.count(g) == 1}
+        hit = {p for k, g in enumerate(grams) if g in twice for p in (k, k + 1, k + 2)}
+        lines = [x for x in t.split("\n") if split(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
+    assert rules.quality_rules(empty).count() == 0
+    assert len(rules.ordered_rules(docs)) == len(rules.RULES)
+
+
+def test_chat(spark):
+    hard = ["</s>[INST] ok [/INST]", "%3C|turn|> %25 <|end|>", "<|text|>\n", None, "plain", "<<SYS>> a <</SYS>>"]
+    rows = [(c, t, ["user", "assistant", "system", None][(c + t) % 4], hard[(c * t + t) % 6]) for c in range(5) for t in range(7)] + [(0, 3, "assistant", "tie"), (0, 3, "assistant", "tie"), (None, None, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.format_turns(df.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in chat.read_back(turns).collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        own.sort(key=lambda x: (x[1] is not None, x[1] or 0))
+        assert r.n_turns == len(own) and r.loss_chars == sum(len(x[3] or "") for x in own if x[2] == "assistant")
+        if r.conv_id != 0:
+            assert r.turns_sha256 == sha("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own)) and r.loss_sha256 == sha("".join(x[3] or "" for x in own if x[2] == "assistant"))
+    parts = spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, cast(array(struct('text','see <|',null,null,null,null,null), struct('image',null,'a.png',28,15,null,null), struct('audio',null,'b.wav',null,null,1.5D,null), struct('document',null,'c.pdf',null,null,null,3), struct('odd','kept',null,null,null,null,null)) AS {chat.PARTS}) AS parts UNION ALL SELECT 1L, 1L, 'assistant', null")
+    got = chat.format_turns(parts).orderBy("turn").collect()
+    assert got[0].segment == "<|turn|>user<|text|>see %3C|<|image:0|><|audio:1|><|document:2|>kept<|end|>"
+    assert [(a.type, a.ref, a.tokens) for a in got[0].attachments] == [("image", "a.png", 4), ("audio", "b.wav", 38), ("document", "c.pdf", 1800)] and got[1].loss_chars == 0
+    assert chat.read_back(turns.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    rule = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+    r = random.Random(3)
+    pages = [(i, r.choice(["http://", "https://", "", "x"]) + r.choice(["WWW.example.COM", "a.b.example.com", "example.net", "com", "xcom", "u@h.net:80", ""]) + r.choice(["/en/a", "/es/", "/fr/x?y", "", "?q=/en/", "#f", "/e"])) for i in range(300)] + [(0, None), (7, "http://a.net/es/"), (7, "http://a.net/es/"), (None, "http://com/")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string").withColumn("verdict", F.lit("clash")), spark.createDataFrame(rule, "host string, path string, verdict string")).collect()
+    want = []
+    for i, u in pages:
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = lower(re.match("[^/?#]*", rest)[0])
+            path = re.match("[^?#]*", rest[len(host) :])[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in rule if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want.append((i, host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow"))
+    key = lambda x: tuple((v is None, str(v)) for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    none = urls.judge(spark.createDataFrame(pages[:5], "page_id long, url string"), spark.createDataFrame([], "host string, path string, verdict string"))
+    assert {r.verdict for r in none.collect()} == {"allow"} and none.count() == 5
+
+
+def naive_fingerprint(t):
+    w = split(lower(t))
+    shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, empty):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    fps = {}
+    for r in got:
+        assert int(r.fingerprint, 16) == naive_fingerprint("no id at all here" if r.doc_id is None else TEXTS[r.doc_id])
+        fps.setdefault(int(r.fingerprint, 16), []).append(r)
+    groups = [{f} for f in fps]
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 2:
+                x, y = (next(g for g in groups if f in g) for f in (a, b))
+                if x is not y:
+                    groups.remove(y)
+                    x |= y
+    for g in groups:
+        ids = [r.doc_id for f in g for r in fps[f] if r.doc_id is not None]
+        assert {r.component_id for f in g for r in fps[f]} == {min(ids) if ids else None}
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1, 16, 64])
+def test_close_links(spark, tile):
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 60, dtype=np.int64)
+    near = np.array([b ^ (1 << int(r.integers(63))) ^ (1 << int(r.integers(63))) for b in base.tolist()], np.int64)
+    fps = np.unique(np.concatenate((base, near, near ^ 1, [0, -1])))
+    links = simhash.close_links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), 2, tile).collect()
+    assert all((x.a ^ x.b).bit_count() <= 2 if x.a ^ x.b >= 0 else True for x in links)
+
+    def groups(pairs):
+        p = {int(f): int(f) for f in fps}
+
+        def root(i):
+            while p[i] != i:
+                i = p[i]
+            return i
+
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            p[max(a, b)] = min(a, b)
+        return {f: root(f) for f in p}
+
+    u = fps.view(np.uint64)
+    every = [(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(np.bitwise_count(u[:, None] ^ u[None]) <= 2), strict=True)]
+    assert groups(every) == groups([(x.a, x.b) for x in links])
+
+
+def test_mix(spark, empty):
+    r = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(r.randrange(1, 60))), r.choice(["a", "b", "b", "b", "c", None])) for i in range(3000)] + [(1, None, "a"), (1, "", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df, ["doc_id", "source"]).collect()
+    assert len(got) == len(rows)
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(split(t))
+    weight = dict(zip(sorted((s for s in size if s is not None)) + [None], [3, 1, 2, 3, 1, 2], strict=False))
+    target, left, budget = {}, dict(weight), 1.5 * sum(size.values())
+    while True:
+        level = budget / sum(left.values()) if left else 0
+        over = [s for s in left if level * left[s] > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2 * size[s]
+            budget -= target[s]
+            del left[s]
+    target |= {s: level * w for s, w in left.items()}
+    for s in size:
+        own = [x for x in got if x.source == s]
+        assert abs(own[0].target - target[s]) < 1e-6 and abs(sum(x.taken for x in own) - target[s]) <= 120 and all(x.taken <= 2 * x.size for x in own)
+    again = mixing.mix(df.repartition(7), ["doc_id", "source"]).collect()
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    assert mixing.mix(empty, ["doc_id"]).count() == 0
+
+
+def test_wavelet():
+    r = np.random.default_rng(1)
+    for ids in (np.zeros(0, np.uint32), np.array([2], np.uint32), r.integers(0, 50, 3000).astype(np.uint32), (r.zipf(1.3, 5000) % 49408).astype(np.uint32)):
+        keys = [None, 5] if len(ids) > 1 else [5]
+        got, lengths, m = tokens.unpack_shard(tokens.pack_shard(keys, [len(ids)] if len(keys) == 1 else [1, len(ids) - 1], ids))
+        assert got == keys and lengths.sum() == len(ids) and (m.decode() == ids).all()
+        for i in range(0, len(ids), 37):
+            v = int(ids[i])
+            assert m.access(i) == v and m.count(v, 0, i) == int((ids[:i] == v).sum()) and m.find(v, m.count(v, 0, i)) == i
+        assert m.count(60000, 0, m.n) == 0 and m.find(60000, 0) == -1
+
+
+def test_tokens(spark, docs, empty, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = tokens.token_output(docs.repartition(2)).collect()
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    start, want = 0, []
+    for i, text in rows:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, got), key=lambda x: x[1]) == want
+    assert tokens.token_output(empty).count() == 0
+
+
+def test_contamination(spark, docs, empty):
+    items = [(1, TEXTS[25][:200]), (2, "two words"), (3, ""), (4, None), (5, "été naïve"), (None, "one"), (7, TEXTS[25][:200]), (30, " ".join(split(TEXTS[31])[3:14]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = {}
+    for i, t in items:
+        w = word.findall(lower(t))
+        for k in range(max(1, len(w) - 9) if w and i is not None else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    for limit in (1 << 20, 100):
+        got = decontaminate.contamination(docs.withColumn("n_hit", F.lit(9)), bench, block_bytes=limit).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            text = ("no id at all here" if r.doc_id is None else TEXTS[r.doc_id]) or ""
+            w, hit, found = word.findall(lower(text)), set(), set()
+            for own, ids in windows.items():
+                for k in range(len(w) - len(own) + 1):
+                    if tuple(w[k : k + len(own)]) == own:
+                        hit.update(range(k, k + len(own)))
+                        found |= ids
+            assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
+            assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+            inside = [x for s in r.spans.split(",") if s for x in word.findall(lower(text[int(s.split(":")[0]) : int(s.split(":")[1])]))]
+            assert len(inside) == len(hit)
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.contamination(empty, bench).count() == 0
+
+
+def test_language(spark, empty):
+    r = random.Random(2)
+    vocab = {"x": "abc", "y": "xyz", "z": "éàü"}
+    rows = [(i, " ".join("".join(r.choice(vocab[lang] + "o") for _ in range(5)) for _ in range(20)), lang) for i, lang in enumerate(r.choices("xyz", k=300))] + [(900, None, "x"), (901, "123 !", "y"), (902, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language.languages(df).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows[:300]) and {got[i].lang_pred for i in (900, 901, 902)} == {"und"}
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert language.languages(empty).count() == 0
+    assert {x.lang_pred for x in language.languages(df.withColumn("lang", F.lit(None).cast(T.StringType()))).collect()} == {"und"}
+
+
+def test_codewords():
+    for n in (2, 4, 6, 20):
+        c = language.codewords(n)
+        assert len({tuple(x) for x in c.tolist()}) == n
