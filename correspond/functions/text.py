@@ -80,6 +80,14 @@ def relation_tag(text: Column) -> tuple[Column, Column]:
     return F.nullif(F.trim(F.regexp_extract(text, r"^\[관계:\s*([^\]]+)\]", 1)), F.lit("")), F.trim(F.regexp_replace(text, r"^\[관계:\s*[^\]]+\]\s*", ""))
 
 
+def profile(output: Column, name: Column) -> tuple[Column, Column]:
+    """A model's answer on a person (`관계: ...` and `자주 주고 받은 내용: ...` lines) -> description, relation (null without a tag); nulls without an answer."""
+    line = lambda field: F.trim(F.regexp_extract(output, rf"{field}:\s*([^\n]+)", 1))
+    relation, rest = relation_tag(line("관계"))
+    known = F.coalesce(F.nullif(name, F.lit("")), F.lit("알 수 없음"))
+    return F.concat(F.lit("이름: "), known, F.lit("\n관계: "), rest, F.lit("\n자주 주고 받은 내용: "), line("자주 주고 받은 내용")), relation
+
+
 #: Pattern and replacement, in the order that the steps need. Fixed values.
 STRIPPING = (
     (r"\[Data:.*?\]|\[데이터:.*?\]", ""), (r"\*+|#+", ""), (r"(?m)^[ \t]*[-*]?[ \t]*(ID|계정):\s*\S+[ \t]*\n?", ""),

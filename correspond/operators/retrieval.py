@@ -103,13 +103,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFram
         if len(block) == QUERY_BLOCK:
             parts.append(search(block))
             block = []
-    if block or not parts:
-        parts.append(search(block or [(-1, [0.0])]))
-    found = parts[0]
-    for p in parts[1:]:
+    if block:
+        parts.append(search(block))
+    found = vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+    for p in parts:
         found = found.unionByName(p)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", place).where((F.col("rank") <= k) & (F.col("query_id") >= 0))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def within_budget(rows: DataFrame, keys: list[str], tokens: str, budget: int, *order) -> DataFrame:
@@ -124,11 +124,19 @@ def batches(rows: DataFrame, keys: list[str], tokens: str, budget: int, *order)
     return rows.withColumn("batch", F.floor((upto - F.col(tokens)) / budget).cast("int"))
 
 
+CITED = r"ID:\s*(\S+)"
+
+
+def _bare(token: Column) -> Column:
+    """Without punctuation around it."""
+    return F.regexp_replace(token, r"^[\[\]().,;:'\"]+|[\[\]().,;:'\"]+$", "")
+
+
 def citations(answers: DataFrame, columns=("answer", "context")) -> DataFrame:
     """(query_id, answer, context) -> (query_id, cited, place): `ID: x` tokens without punctuation, short numbers left out, in order; of the context where the answer has none."""
 
     def found(c):
-        ids = F.transform(F.regexp_extract_all(F.col(c), F.lit(r"ID:\s*(\S+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"^[\[\]().,;:'\"]+|[\[\]().,;:'\"]+$", ""))
+        ids = F.transform(F.regexp_extract_all(F.col(c), F.lit(CITED), F.lit(1)), _bare)
         return F.array_distinct(F.filter(ids, lambda x: (x != "") & ~x.rlike(r"^\d{1,6}$")))
 
     a, b = found(columns[0]), found(columns[1])
@@ -151,3 +159,20 @@ def resolve(cited: DataFrame, mails: DataFrame) -> DataFrame:
     open2 = open1.join(local, "cite_id", "left_anti").where("char_length(c) >= 8")
     prefix = first(open2.join(ids, (F.substring("c", 1, 8) == F.substring("low", 1, 8)) & (F.col("c").startswith(F.col("low")) | F.col("low").startswith(F.col("c"))))).withColumn("tier", F.lit(3))
     return exact.unionByName(local).unionByName(prefix)
+
+
+def correct_senders(answers: DataFrame, mails: DataFrame, field: str = "발신인") -> DataFrame:
+    """(query_id, answer), mails(mail_id, account_rank, seq, sender) -> answers in which a paragraph's sender line names who sent the mail that the paragraph cites first.
+
+    Paragraphs without a sender line or an id that resolves stay as they are; a null
+    answer becomes an empty one. Only paragraphs that may change take part in the
+    joins; an answer is put together again from its own paragraphs alone.
+    """
+    parts = answers.select("query_id", F.posexplode(F.split(F.coalesce("answer", F.lit("")), "\n\n")).alias("place", "p"))
+    cited = parts.where(F.col("p").contains(f"{field}:")).select(F.struct("query_id", "place").alias("cite_id"), _bare(F.regexp_extract("p", CITED, 1)).alias("cited")).where("cited <> ''")
+    senders = mails.groupBy("mail_id").agg(F.min_by("sender", F.struct("account_rank", "seq")).alias("sender"))
+    true = resolve(cited, mails).join(senders, "mail_id").where("sender <> ''").select("cite_id.query_id", "cite_id.place", "sender")
+    head, tail = F.regexp_extract("p", rf"(?s)\A(.*?{field}:\s*)", 1), F.regexp_extract("p", rf"(?s)\A.*?{field}:\s*[^\n]*(.*)\z", 1)
+    fixed = parts.join(true, ["query_id", "place"], "left").select("query_id", "place", F.when(F.col("sender").isNull(), F.col("p")).otherwise(F.concat(head, "sender", tail)).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "p"))), lambda x: x["p"]), "\n\n")
+    return fixed.groupBy("query_id").agg(whole.alias("answer"))

@@ -271,6 +271,15 @@ def brand_sender(spark, d):
     return read(spark, d, "customer").select(key.alias("id"), fn.brand(box, name).alias("is_brand"))
 
 
+@query("""SELECT c_custkey AS id, '이름: ' || CASE WHEN c_custkey % 4 = 0 THEN '알 수 없음' ELSE c_name END || chr(10) || '관계: ' || CASE c_custkey % 3 WHEN 0 THEN 'service of ' || c_mktsegment WHEN 1 THEN '동료' ELSE '' END || chr(10) || '자주 주고 받은 내용: ' || CASE c_custkey % 3 WHEN 0 THEN 'alerts' WHEN 1 THEN '회의 ' || c_nationkey ELSE '' END AS description, CASE WHEN c_custkey % 3 = 0 THEN '기업' END AS relation FROM customer""")
+def profile_parse(spark, d):
+    """Answers of a model on persons: with a tag, without one, without either line."""
+    key = F.col("c_custkey")
+    output = F.when(key % 3 == 0, F.format_string("관계: [관계: 기업] service of %s\n자주 주고 받은 내용: alerts", "c_mktsegment")).when(key % 3 == 1, F.format_string("\n관계:  동료 \n\n자주 주고 받은 내용: 회의 %d \n", "c_nationkey")).otherwise("unknown")
+    description, relation = fn.profile(output, F.when(key % 4 != 0, F.col("c_name")))
+    return read(spark, d, "customer").select(key.alias("id"), description.alias("description"), relation.alias("relation"))
+
+
 _CLEAN = "html"
 for _pattern, _by in fn.CLEANING:
     _CLEAN = "regexp_replace({}, '{}', '{}', 'g')".format(_CLEAN, _pattern.replace("\r\n", r"\r\n"), _by)

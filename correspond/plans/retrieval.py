@@ -82,6 +82,23 @@ def resolve_citations(spark, d):
     return found.select("cite_id", "mail_id", F.col("tier").cast("long").alias("tier"))
 
 
+_TRUE = """WITH a AS (SELECT o_orderkey AS k, o_custkey AS c, o_custkey % 4 AS t, reverse(lpad(o_orderkey::VARCHAR, 9, '0')) AS name FROM orders)
+SELECT k AS query_id, 'Intro' || chr(10) || '발신인: nobody' || chr(10) || chr(10) || '1. ID: ' || name || CASE t WHEN 0 THEN '-ABC@example.com' WHEN 1 THEN '-abc@other.org' WHEN 2 THEN '-a' ELSE 'x' END || ').' || chr(10)
+ || '발신인: ' || CASE WHEN t < 3 THEN 'c' || c || '$2@x.com' ELSE 'wrong' END || chr(10) || '발신인: second' || chr(10) || chr(10) || 'ID: ' || name || '-abc@example.com' AS answer FROM a"""
+
+
+@query(_TRUE)
+def correct_senders(spark, d):
+    """Answers of three paragraphs: without an id, with a wrong sender and an id of one of four kinds, and without a sender."""
+    k, t = F.col("o_orderkey"), F.col("o_custkey") % 4
+    name = F.reverse(F.lpad(k.cast("string"), 9, "0"))
+    o = read(spark, d, "orders")
+    mails = o.select(F.concat(name, F.lit("-abc@example.com")).alias("mail_id"), F.lit(0).alias("account_rank"), k.alias("seq"), F.format_string("c%d$2@x.com", "o_custkey").alias("sender"))
+    cited = F.concat(name, F.when(t == 0, "-ABC@example.com").when(t == 1, "-abc@other.org").when(t == 2, "-a").otherwise("x"))
+    answer = F.concat(F.lit("Intro\n발신인: nobody\n\n1. ID: "), cited, F.lit(").\n발신인: wrong\n발신인: second\n\nID: "), name, F.lit("-abc@example.com"))
+    return retrieval.correct_senders(o.select(k.alias("query_id"), answer.alias("answer")), mails)
+
+
 @query(f"WITH {MAIL}, c AS (SELECT o_custkey % 200 AS query_id, 'm' || o_orderkey || '@example.com' AS mail_id FROM orders) SELECT query_id, account, count(*) AS n FROM c JOIN mail USING (mail_id) GROUP BY 1, 2")
 def citation_counts(spark, d):
     """Cited mails by account for each answer."""

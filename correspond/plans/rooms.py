@@ -59,6 +59,16 @@ def bodies_by_ids(spark, d):
     return texts.select("mail_id", blocks.header(F.col("text"), "제목").alias("subject"), blocks.body(F.col("text"), "attachment").alias("body"))
 
 
+@query(f"WITH {_RAW} SELECT account, person, mail_id, direction, subject, body, row_number() OVER (PARTITION BY account, person ORDER BY mail_date, mail_id) AS place FROM raw JOIN mail USING (account, mail_id) WHERE mail_date >= TIMESTAMP '1998-01-01' AND mail_date < TIMESTAMP '1999-01-01'")
+def person_mail_bodies(spark, d):
+    """The mails with each person in a range, by date, with subject and body from their blocks; mails without a block are left out."""
+    refs = series.in_days(mail(spark, d, replies=False), "mail_date", "1998-01-01", "1998-12-31").select("account", "person", "mail_id", "direction", "mail_date")
+    raw = _raw(spark, d)
+    read_again = blocks.parse_blocks(raw.select("account", "seq", blocks.render(raw).alias("text")), ["account"]).select("account", "mail_id", "subject", "body")
+    place = F.row_number().over(Window.partitionBy("account", "person").orderBy("mail_date", "mail_id"))
+    return refs.join(read_again, ["account", "mail_id"]).select("account", "person", "mail_id", "direction", "subject", "body", place.alias("place"))
+
+
 _QUOTES = """q AS (SELECT o_orderkey AS seq, o_custkey % 50 AS cust, o_orderdate + to_minutes((o_orderkey * 37) % 1440) AS t, o_orderkey % 3 = 0 AS is_reply FROM orders)"""
 
 

@@ -59,3 +59,46 @@ def daily_counts(spark: SparkSession, stream: DataFrame, at: str, keys: list[str
     q = rows.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/*").groupBy(*keys, "day").agg(F.max_by("n", "version").alias("n"))
+
+
+def _started(spark: SparkSession, at: str, schema) -> None:
+    """An empty first part, so that a stream without rows has a result too."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{at}/batch=-1")
+
+
+def sync_blocks(spark: SparkSession, stream: DataFrame, owner: str, at: str) -> None:
+    """Takes in new blocks (owner, block_id, ...): unknown ids, and new versions of blocks of the owner's last stored day, as that day was still growing.
+
+    Each batch adds a part with the rows that it accepted and no part is written
+    anew, so that a run costs what arrives and the ids of what is stored; a batch
+    that is run again replaces its own part. A batch holds a block once. Called
+    again with the same folder, it goes on where it ended.
+    """
+    schema, day = stream.schema, F.substring("block_id", 1, 10)
+    _started(spark, at, schema)
+
+    def each(batch, number):
+        old = spark.read.schema(schema).parquet(*(f"{at}/batch={k}" for k in range(-1, number))).select(owner, "block_id")
+        last = old.groupBy(owner).agg(F.max(day).alias("_last"))
+        known = old.distinct().withColumn("_known", F.lit(True))
+        rows = batch.join(last, owner, "left").join(known, [owner, "block_id"], "left")
+        rows.where(F.col("_known").isNull() | (day == F.col("_last"))).select(schema.names).write.mode("overwrite").parquet(f"{at}/batch={number}")
+
+    run_batches(stream, each, f"{at}-checkpoint")
+
+
+def stored_blocks(spark: SparkSession, schema, owner: str, at: str) -> DataFrame:
+    """What sync_blocks keeps at a folder: of each block the version that came last."""
+    parts = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, batch int").parquet(at)
+    rest = [n for n in schema.names if n not in (owner, "block_id")]
+    return parts.groupBy(owner, "block_id").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(owner, "block_id", "r.*")
+
+
+def closed_sessions(spark: SparkSession, stream: DataFrame, at: str, keys: list[str], gap: str, late: str = "1 day") -> DataFrame:
+    """(keys, started, ended, n): runs of messages with at most `gap` between them, each given once, when no message can join it any more; ended is a gap after the last."""
+    out = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    s = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).groupBy(*keys, F.session_window("_at", gap).alias("w")).agg(F.count("*").alias("n"))
+    rows = s.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("started"), F.col("w.end").cast("timestamp_ntz").alias("ended"), "n")
+    _started(spark, out, rows.schema)
+    run_batches(rows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), f"{out}-checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{out}/*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
 from correspond.operators import affinity, blocks, chatlog, graph, mood, retrieval, series
+from correspond.streaming import jobs
 
 
 def test_intimacy(spark):
@@ -111,3 +112,35 @@ def test_pairs(spark):
     links = spark.createDataFrame([("A", "B", 1, "x"), ("B", "A", 2, "y"), ("A", "A", 3, "z"), ("A", "X", 4, "w")], "source string, target string, seq long, relation string")
     roster = spark.createDataFrame([("A",), ("B",)], "name string")
     assert [tuple(r) for r in graph.pairs(links, roster).collect()] == [("A", "B", "y")]
+
+
+def test_profile(spark):
+    rows = [("관계: [관계: 기업] 알림 서비스\n자주 주고 받은 내용: 보안 알림", "G"), ("자주 주고 받은 내용: x", ""), (None, "n")]
+    df = spark.createDataFrame(rows, "t string, n string")
+    got = [tuple(r) for r in df.select(*fn.profile(F.col("t"), F.col("n"))).collect()]
+    assert got == [("이름: G\n관계: 알림 서비스\n자주 주고 받은 내용: 보안 알림", "기업"), ("이름: 알 수 없음\n관계: \n자주 주고 받은 내용: x", None), (None, None)]
+
+
+def test_correct_senders(spark):
+    answers = spark.createDataFrame([(1, "ID: M1@x.com.\n발신인: bad\n발신인: two\n\n발신인: bad"), (2, "ID: none\n발신인: bad"), (3, None), (4, "발신인:\nbad\nID: m1@y.com")], "query_id long, answer string")
+    mails = spark.createDataFrame([("m1@x.com", 1, 5, "late"), ("m1@x.com", 0, 9, r"a$1\b <a@x>")], "mail_id string, account_rank int, seq long, sender string")
+    got = {r.query_id: r.answer for r in retrieval.correct_senders(answers, mails).collect()}
+    true = r"a$1\b <a@x>"
+    assert got == {1: f"ID: M1@x.com.\n발신인: {true}\n발신인: two\n\n발신인: bad", 2: "ID: none\n발신인: bad", 3: "", 4: f"발신인:\n{true}\nID: m1@y.com"}
+
+
+def test_streams_without_rows(spark, tmp_path):
+    schema = "room string, block_id string, n long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    jobs.sync_blocks(spark, stream, "room", f"{tmp_path}/at")
+    assert jobs.stored_blocks(spark, stream.schema, "room", f"{tmp_path}/at").collect() == []
+    sessions = jobs.closed_sessions(spark, stream.withColumn("ts", F.lit("2024-01-01").cast("timestamp")), "ts", ["room"], "1 hour")
+    assert sessions.columns == ["room", "started", "ended", "n"] and sessions.collect() == []
+
+
+def test_vectors_without_queries(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "id long, embedding array<double>")
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    assert retrieval.vector_topk(v, q.where("false")).collect() == []
+    assert [(r.query_id, r.id, r.rank) for r in retrieval.vector_topk(v, q.where("query_id = 1")).collect()] == [(1, 1, 1), (1, 3, 2)]
