@@ -72,8 +72,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFram
     """The k nearest rows of vectors(id, embedding) to each of queries(query_id, embedding) by cosine.
 
     Queries go out in blocks of QUERY_BLOCK; each Arrow batch gives its own best k
-    of each, so what is shuffled is queries x batches x k rows. A null or zero
-    vector is near nothing.
+    of each, so what is shuffled is queries x batches x k rows. A null vector is
+    left out, a zero vector has a similarity of 0.
     """
     parts, block = [], []
 
