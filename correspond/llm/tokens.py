@@ -1,5 +1,6 @@
 """Token-ID shards: a wavelet matrix of each shard's ids in one compressed file."""
 
+import functools
 import os
 import struct
 import zlib
@@ -196,6 +197,12 @@ class Encoder:
         return np.insert(taken.flatten().to_numpy(), upto[1:], np.uint32(end)), np.diff(upto).astype(np.int64) + 1
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(json: str, direct: bool) -> Encoder:
+    """One for each Python worker, whose later tasks find the words of earlier ones."""
+    return Encoder(json, direct)
+
+
 def _gathered(batches, most: int = 4 << 20):
     """Joins small batches to some MB, in which words repeat more."""
     held, size = [], 0
@@ -232,7 +239,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2,
     def shards(batches):
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder(model.value, direct), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(model.value, direct), TaskContext.get().partitionId(), 0
         keys, lengths, ids, n = [], [], [], 0
 
         def shard():
