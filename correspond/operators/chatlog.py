@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from correspond.operators.keywords import occurrences
+
 _DATE = r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"
 _TIME = r"(오전|오후)\s*(\d{1,2}):(\d{2})"
 #: Grammars of export lines, in the order that they are tried in. Fixed values.
@@ -92,13 +94,6 @@ def parse_lines(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mentions(blocks: DataFrame, keywords: DataFrame) -> DataFrame:
-    """blocks(room, block_id, sender, text), keywords(keyword): literal, non-overlapping occurrences, 1 or more.
-
-    The keywords, of a checked number, go to every task.
-    """
-    terms = [r.keyword for r in keywords.select("keyword").distinct().limit(1001).collect()]
-    if len(terms) > 1000:
-        raise ValueError("more than 1,000 keywords: call this on parts of the list")
-    counted = F.array(*(F.struct(F.lit(k).alias("keyword"), ((F.char_length("text") - F.char_length(F.replace("text", F.lit(k), F.lit("")))) / len(k)).cast("long").alias("n")) for k in terms))
+    """blocks(room, block_id, sender, text), keywords(keyword): literal, non-overlapping occurrences, 1 or more."""
     keys = [c for c in blocks.columns if c != "text"]
-    return blocks.select(*keys, F.explode(F.filter(counted, lambda x: x["n"] > 0)).alias("k")).groupBy(*keys, F.col("k.keyword").alias("keyword")).agg(F.sum("k.n").alias("mention_count"))
+    return occurrences(blocks, keywords).groupBy(*keys, "keyword").agg(F.sum("n").alias("mention_count"))

@@ -64,11 +64,11 @@ def node_degree(spark, d):
     return graph.degrees(read(spark, d, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target")))
 
 
-@query("WITH l AS (SELECT l_suppkey % 90 AS s, l_partkey % 90 AS t, l_orderkey * 10 + l_linenumber AS k, l_partkey, l_suppkey, CASE WHEN l_orderkey % 3 <> 0 THEN 'r' || l_returnflag END AS relation FROM lineitem) SELECT least(s, t) AS person_a, greatest(s, t) AS person_b, max_by(relation, k * 1000000 + l_partkey) AS relation FROM l WHERE relation IS NOT NULL AND s <> t AND s IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 60) AND t IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 60) GROUP BY 1, 2")
+@query("WITH l AS (SELECT l_suppkey % 90 AS s, l_partkey % 90 AS t, l_orderkey * 10 + l_linenumber AS k, l_partkey, l_suppkey, CASE WHEN l_orderkey % 3 <> 0 THEN 'r' || l_returnflag END AS relation FROM lineitem) SELECT least(s, t) AS person_a, greatest(s, t) AS person_b, max_by(relation, k * 1000000 + l_partkey) AS relation FROM l WHERE relation IS NOT NULL AND s <> t AND s IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND t IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1, 2")
 def relationship_pairs(spark, d):
     li = read(spark, d, "lineitem")
     links = li.select((F.col("l_suppkey") % 90).alias("source"), (F.col("l_partkey") % 90).alias("target"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit("r"), "l_returnflag")).alias("relation"))
-    return graph.pairs(links, read(spark, d, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("name")))
+    return graph.pairs(links, read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("name")))
 
 
 @query(f"WITH {_REL} SELECT s.source, s.target FROM rel s WHERE source IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 2000) AND target IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 25)")
@@ -118,22 +118,20 @@ def edge_merge(spark, d):
     return graph.merge_edges(_records(spark, d))
 
 
-_LINKS = "lk AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_returnflag = 'R' AND a.l_suppkey % 8 = 0)"
-
-
-@query(f"WITH RECURSIVE {_LINKS}, e AS (SELECT s, t FROM lk UNION SELECT t, s FROM lk), r(node, to_node) AS (SELECT s, s FROM e UNION SELECT r.node, e.t FROM r JOIN e ON r.to_node = e.s) SELECT node, min(to_node) AS component FROM r GROUP BY 1")
+@query(f"""WITH RECURSIVE {_REL}, e AS (SELECT source AS s, target AS t FROM rel UNION SELECT target, source FROM rel),
+r(node, component) USING KEY (node) AS (
+  SELECT s, min(least(s, t)) FROM e GROUP BY s
+  UNION SELECT e.t, min(r.component) FROM r JOIN e ON r.node = e.s JOIN recurring.r AS x ON x.node = e.t WHERE r.component < x.component GROUP BY e.t)
+SELECT node, component FROM r""")
 def graph_components(spark, d):
-    """Parts that orders of a kind bring together, directly or not."""
-    li = read(spark, d, "lineitem")
-    a = li.where("l_linenumber = 1 and l_returnflag = 'R' and l_suppkey % 8 = 0").select("l_orderkey", F.col("l_partkey").alias("source"))
-    b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("target"))
-    return graph.components(a.join(b, "l_orderkey").select("source", "target"))
+    """Suppliers and parts that relationships bring together, directly or not."""
+    return graph.components(_relationships(spark, d).select("source", "target"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 30 - 1) + 1, 270)) AS s FROM w WHERE len(w) > 0)
-SELECT doc_id, (s // 270)::INTEGER AS chunk, len(w[s + 1:s + 300])::INTEGER AS n_words, array_to_string(w[s + 1:s + 300], ' ') AS text FROM c""")
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 150 - 1) + 1, 1350)) AS s FROM w WHERE len(w) > 0)
+SELECT doc_id, (s // 1350)::INTEGER AS chunk, len(w[s + 1:s + 1500])::INTEGER AS n_words, array_to_string(w[s + 1:s + 1500], ' ') AS text FROM c""")
 def chunk_documents(spark, d):
-    return graph.chunks(read(spark, d, "documents"), 300, 30)
+    return graph.chunks(read(spark, d, "documents"))
 
 
 @query(f"WITH {_REL}, b AS (SELECT source AS person, target AS other, seq FROM rel UNION ALL SELECT target, source, seq FROM rel) SELECT DISTINCT person, other, CASE WHEN seq % 2 = 0 THEN 'r' || (seq % 5) END AS relation FROM b WHERE person IN (SELECT 'P' || p_partkey FROM part WHERE p_size = 7)")

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
-from correspond.operators import affinity, series, snapshot
+from correspond.operators import affinity, keywords, series, snapshot
 from correspond.plans.base import MAIL, WORDS, mail, query, read, words
 
 AS_OF = "2001-12-31"
@@ -348,14 +348,13 @@ def keyword_tfidf(spark, d):
     return snapshot.newest(scored, ["doc_id"], 3, F.desc("score"), "keyword")
 
 
-@query(r"""WITH k AS (SELECT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 2 ORDER BY count(*) DESC, w LIMIT 200)
+@query(r"""WITH k AS (SELECT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 2)
 SELECT doc_id, w AS keyword FROM documents JOIN k ON contains(lower(text), w)""")
 def keyword_rescan(spark, d):
-    """Known keywords (here the 200 most frequent of the benchmark: a checked number, so that they fit in each task) contained in bodies."""
-    known = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "w").limit(200)
-    terms = F.array(*(F.lit(r.w) for r in known.collect()))
-    docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("body"))
-    return docs.select("doc_id", F.explode(F.filter(terms, lambda w: F.contains(F.col("body"), w))).alias("keyword"))
+    """Known keywords (words that the benchmark has twice or more) contained in bodies."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))
+    known = read(spark, d, "benchmark").select(found.alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")).where("n >= 2")
+    return keywords.occurrences(read(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), known).select("doc_id", "keyword")
 
 
 @query()

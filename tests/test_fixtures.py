@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
-from correspond.operators import affinity, blocks, chatlog, graph, mood, retrieval, series
+from correspond.operators import affinity, blocks, chatlog, graph, keywords, mood, retrieval, series
 from correspond.streaming import jobs
 
 
@@ -81,6 +81,33 @@ def test_mentions(spark):
     assert {r.keyword: r.mention_count for r in chatlog.mentions(b, k).collect()} == {"나무": 2, "aa": 1, "a.b": 1}
 
 
+def test_keywords_by_automaton(spark):
+    """Few and many keywords, in one block and in several, find the same."""
+    b = spark.createDataFrame([(1, "나무나무가 aaaa"), (2, "ababab a.b"), (3, None), (4, "")], "doc long, text string")
+    words = ["나무", "무나", "aa", "a.b", "aba", "ab", "b", "zz", "", None]
+    k = spark.createDataFrame([(w,) for w in words + words[:2]], "keyword string")
+    want = sorted((d, w, t.count(w)) for d, t in ((1, "나무나무가 aaaa"), (2, "ababab a.b")) for w in words[:8] if w in t)
+    for few, block in ((64, 9), (0, 100), (0, 3), (0, 4)):
+        assert sorted((r.doc, r.keyword, r.n) for r in keywords.occurrences(b, k, few, block).collect()) == want
+    for few in (64, 0):
+        assert keywords.occurrences(b, k.where("keyword = 'zz'"), few).collect() == [] == keywords.occurrences(b, k.where("false"), few).collect()
+
+
+def test_components(spark):
+    links = [("a", "b"), ("c", "b"), ("d", "e"), ("e", "e"), ("f", "f"), ("g", "h"), ("h", "i"), ("i", "j"), ("j", "k"), ("b", "a")]
+    found = graph.components(spark.createDataFrame(links, "source string, target string"))
+    assert dict(found.select("node", "component").collect()) == dict(zip("abcdefghijk", "aaaddfggggg", strict=True))
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    rows = [(i, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(40)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, retrieval.vector_topk(v, q, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    assert len(whole) == 160 and sorted(map(tuple, retrieval.vector_topk(v, q, 4).collect())) == whole
+
+
 def test_latest_day(spark):
     old = spark.createDataFrame([("r", "2024-01-01_01", "o"), ("r", "2024-01-02_01", "o")], "room string, block_id string, v string")
     new = spark.createDataFrame([("r", "2024-01-02_01", "n"), ("r", "2024-01-01_01", "n")], "room string, block_id string, v string")
