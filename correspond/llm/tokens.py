@@ -229,7 +229,7 @@ def _slices(texts: pa.Array, most: int = 4 << 20):
 def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2, shard_ids: int = SHARD_IDS, direct: bool = False) -> None:
     """Encodes docs(doc_id long, text) and writes shard files, as rows (part, seq, first_id, n_ids, file), to a table at path.
 
-    Shards follow each other in ascending doc_id (null first; equal ids by text),
+    Shards follow each other in ascending doc_id (null first; equal ids by their text's hash),
     each of shard_ids ids or a little more, as documents are never cut. Null text
     counts as empty: the end id alone. An empty table makes an empty one.
     Spark's writer commits whole files only, so a lost executor leaves no trace.
@@ -263,7 +263,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2,
         if keys:
             yield shard()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     small_batches(ordered).mapInArrow(shards, "part long, seq long, first_id long, n_ids long, file binary").write.option("maxRecordsPerFile", 8).option("compression", "none").parquet(path)
 
 
