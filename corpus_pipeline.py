@@ -9,7 +9,7 @@ from correspond.llm.common import materialise, shared_dir, table
 from correspond.llm.decontaminate import contamination
 from correspond.llm.mixing import mix
 from correspond.llm.quality import quality
-from correspond.llm.simhash import near_duplicates
+from correspond.llm.similar import similar_texts, with_keys
 from correspond.llm.tokens import token_output
 
 
@@ -19,8 +19,12 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; of rows that repeat an id, one; rows without an id stay."""
-    classes = materialise(near_duplicates(docs).select("doc_id", "component_id"), "classes")
+    """Of each group of texts that share four fifths of their five-word shingles or more, the document of the smallest id; of rows that repeat an id, one; rows without an id stay."""
+    keyed = with_keys(docs)
+    rows = keyed.select("doc_id", F.col("_key").alias("key")).join(similar_texts(keyed).withColumnRenamed("node", "key"), "key", "left")
+    rows = materialise(rows.select("doc_id", F.coalesce("component", "key").alias("component")), "classes")
+    first = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = materialise(rows.join(first, "component").select("doc_id", "component_id"), "classes")
     others = materialise(classes.where("doc_id <> component_id").select("doc_id").distinct(), "others")
     left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
     if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
