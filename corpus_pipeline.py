@@ -19,17 +19,18 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share four fifths of their five-word shingles or more, the document of the smallest id; of rows that repeat an id, one; rows without an id stay."""
-    keyed = with_keys(docs)
-    rows = keyed.select("doc_id", F.col("_key").alias("key")).join(similar_texts(keyed).withColumnRenamed("node", "key"), "key", "left")
-    rows = materialise(rows.select("doc_id", F.coalesce("component", "key").alias("component")), "classes")
-    first = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = materialise(rows.join(first, "component").select("doc_id", "component_id"), "classes")
-    others = materialise(classes.where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One row of each group of texts that share four fifths of their five-word shingles or more: the smallest by doc_id (nulls last), text and other columns. Rows of other groups stay, whether they repeat an id or have none."""
+    keyed = with_keys(docs).withColumn("_row", F.xxhash64(*docs.columns))
+    groups = similar_texts(keyed.select("doc_id", "text", "_key")).withColumnRenamed("node", "_key")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "_row")
+    copies = keyed.groupBy("_key", "_row").agg(F.min(place).alias("place"), F.count("*").alias("_copies"))
+    ranked = copies.join(groups, "_key", "left").groupBy(F.coalesce("component", "_key").alias("component")).agg(F.min(F.struct("place", "_copies")).alias("r"))
+    chosen = materialise(ranked.select("r.place._key", "r.place._row", "r._copies"), "chosen")
+    left = keyed.join(chosen, ["_key", "_row"])
+    once = left.where("_copies = 1").select(docs.columns)
+    if chosen.where("_copies > 1").isEmpty():
+        return once
+    return once.unionByName(left.where("_copies > 1").dropDuplicates(["_key", "_row"]).select(docs.columns))
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ LEAST = (4, 5)
 WIDTH = 5
 #: Texts whose shingle counts order the prefixes. The order decides what a run costs, never what it finds.
 ORDERED_BY = 8_000
+#: Times that neighbours are compared and their links named before all other pairs are.
+ROUNDS = 3
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
@@ -101,11 +103,32 @@ def _fits(a: str, b: str) -> Column:
     return LEAST[1] * F.least(_size(a), _size(b)) >= LEAST[0] * F.greatest(_size(a), _size(b))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by whole sets."""
+def _place(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _enough(a: str, b: str) -> Column:
+    """Both have as many shingles from this one on as similar sets of their sizes share. True at the first shingle that a similar pair has in common."""
+    rest = F.least(_size(a) - _place(a), _size(b) - _place(b))
+    return sum(LEAST) * rest >= LEAST[0] * (_size(a) + _size(b))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table, after which the driver drops what it no longer refers to: shuffle files of prefixes and of sets would else stay side by side."""
+    table = materialise(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
+def _similar(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by whole sets. A set that occurs twice gives a pair twice."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    kind = pa.list_(pa.int64())
+    sets = _by_text(keyed.join(keys, "_key", "left_semi"), lambda found: pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], kind)], ["key", "set"]), "key long, set array<long>")
+    sets = _written(sets, "sets")
     x, y = sets.select(F.col("key").alias("a"), F.col("set").alias("x")), sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(LEAST[1] * both >= LEAST[0] * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return _written(pairs.join(x, "a").join(y, "b").where(LEAST[1] * both >= LEAST[0] * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
 
 def similar_texts(keyed: DataFrame) -> DataFrame:
@@ -113,33 +136,36 @@ def similar_texts(keyed: DataFrame) -> DataFrame:
 
     Every pair is found: similar sets have a shingle in common among the rarest of
     each, one more than may be missing. Pairs of neighbours under a shingle are
-    compared first; then all pairs of such texts that these links have not
+    compared first, in ROUNDS orders; then all pairs of such texts that these links have not
     brought together, so that a large group of near copies gives no square of
     pairs. All are confirmed by whole sets of 64-bit shingle hashes.
     """
     under = Window.partitionBy("h").orderBy("key")
-    rows = _prefixes(keyed).withColumn("prev", F.lag(F.struct("key", "at")).over(under)).where("prev is null or prev.key <> key").drop("prev")
+    rows = _prefixes(keyed).withColumn("prev", F.lag("key").over(under)).where("prev is null or prev <> key").drop("prev")
     upto = under.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select("h", "key", "at", F.lag(F.struct("key", "at")).over(under).alias("prev"), F.first(F.struct("key", "at")).over(upto).alias("top"), F.lead("key").over(under).alias("next"))
-    shared = materialise(rows.where("prev is not null or next is not null").drop("next"), "shared")
-    near = shared.where("prev is not null").select("key", "at", F.explode(F.array("prev", "top")).alias("o")).where(_fits("at", "o.at"))
-    near = materialise(near.select(F.col("o.key").alias("a"), F.col("key").alias("b")).distinct(), "near")
-    keys = shared.select("key").distinct()
-    texts = keyed.join(keys.withColumnRenamed("key", "_key"), "_key", "left_semi")
-    kind = pa.list_(pa.int64())
-    sets = _by_text(texts, lambda found: pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], kind)], ["key", "set"]), "key long, set array<long>")
-    sets = materialise(sets.dropDuplicates(["key"]), "sets")
-    links = materialise(_similar(near, sets), "links")
-    linked = connected_components(links)
-    named = shared.join(linked.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "at", F.coalesce("component", "key").alias("of"))
-    several = named.groupBy("h").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("h")
-    open_ = materialise(named.join(several, "h", "left_semi"), "open")
-    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    left, right = open_.select("h", F.col("key").alias("a"), F.col("at").alias("at_a"), F.col("of").alias("of_a")), open_.select("h", F.col("key").alias("b"), F.col("at").alias("at_b"), F.col("of").alias("of_b"))
-    # Of the first shingle that a similar pair has in common, so many more follow in both; each pair is met there at least.
-    rest = F.least(_size("at_a") - place("at_a"), _size("at_b") - place("at_b"))
-    enough = (LEAST[0] + LEAST[1]) * rest >= LEAST[0] * (_size("at_a") + _size("at_b"))
-    pairs = left.join(right, "h").where((F.col("of_a") < F.col("of_b")) & _fits("at_a", "at_b") & enough)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    more = materialise(_similar(pairs, sets), "more")
+    shared = _written(rows.where("prev is not null or next is not null").drop("next"), "shared")
+    near = shared.where("prev is not null").select("key", "at", F.explode(F.array("prev", "top")).alias("o")).where(_fits("at", "o.at") & _enough("at", "o.at"))
+    near = _written(near.select(F.col("o.key").alias("a"), F.col("key").alias("b")).distinct(), "near")
+    links, met = _similar(keyed, near), near
+    for turn in range(ROUNDS):
+        linked = connected_components(links)
+        named = shared.join(linked.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "at", F.coalesce("component", "key").alias("of"))
+        named = _written(named, "named")
+        several = named.groupBy("h").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("h")
+        shared = _written(named.join(several, "h", "left_semi").select("h", "key", "at", "of"), "open")
+        if turn == ROUNDS - 1:
+            break
+        mixed = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), "key"))
+        near = shared.select("key", "at", "of", F.array(*[F.lag(F.struct("key", "at", "of"), k).over(mixed) for k in (1, 2, 3)]).alias("before"))
+        near = near.select("key", "at", "of", F.explode("before").alias("o")).where((F.col("o.of") != F.col("of")) & _fits("at", "o.at") & _enough("at", "o.at"))
+        near = near.select(F.least("o.key", "key").alias("a"), F.greatest("o.key", "key").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+        near = _written(near, "near")
+        found = _similar(keyed, near)
+        links, met = links.unionByName(found), met.unionByName(near)
+        shared = shared.select("h", "key", "at")
+    left, right = (shared.select("h", F.col("key").alias(k), F.col("at").alias(f"at_{k}"), F.col("of").alias(f"of_{k}")) for k in "ab")
+    pairs = left.join(right, "h").where((F.col("of_a") < F.col("of_b")) & _fits("at_a", "at_b") & _enough("at_a", "at_b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    more = _similar(keyed, _written(pairs, "pairs"))
     return linked if more.isEmpty() else connected_components(links.unionByName(more))

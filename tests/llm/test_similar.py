@@ -68,3 +68,12 @@ def test_order_decides_nothing(spark, texts, monkeypatch):
     want = {tuple(r) for r in similar.similar_texts(docs).collect()}
     monkeypatch.setattr(similar, "ORDERED_BY", 3)
     assert {tuple(r) for r in similar.similar_texts(docs).collect()} == want
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    near = a + " more"
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (5, c), (None, c), (None, d), (None, d), (9, near), (None, near), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "a", "s", 0) for i, t in rows], SCHEMA).repartition(4)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (5, c), (None, d), (8, "")], key=str)
