@@ -32,13 +32,21 @@ def top_counts(rows: DataFrame, keys: list[str], count: str, k: int) -> DataFram
 
 
 def digest(rows: DataFrame, keys: list[str], cut: int, budget: int) -> DataFrame:
-    """rows(keys, day, seq, who, text) -> text of each month and year in order, cut before it is gathered, and the sorted contacts.
+    """rows(keys, day, seq, who, text) -> text of each month and year in order, in numbered parts, and the sorted contacts.
 
-    Items past `budget` characters of a period are left to the next call, so a row stays small.
+    Part k has the items that end in the k-th `budget` characters of a period, so a row stays small and no item is lost; n_items and
+    contacts are those of the whole period, part_items and part_contacts those of the part. A null text counts and adds nothing.
     """
     units = F.explode(F.array(F.struct(F.lit("month").alias("unit"), F.date_format("day", "yyyy-MM").alias("period")), F.struct(F.lit("year").alias("unit"), F.date_format("day", "yyyy").alias("period"))))
     items = rows.select(*keys, "day", "seq", "who", F.substring("text", 1, cut).alias("text"), units.alias("u")).select(*keys, "u.*", "day", "seq", "who", "text")
-    upto = Window.partitionBy(*keys, "unit", "period").orderBy("day", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = items.withColumn("upto", F.sum(F.char_length("text") + 1).over(upto)).where(F.col("upto") <= budget)
+    period = [*keys, "unit", "period"]
+    upto = F.sum(F.coalesce(F.char_length("text"), F.lit(0)) + 1).over(Window.partitionBy(*period).orderBy("day", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "seq", "text"))), lambda x: x["text"]), "\n")
-    return kept.groupBy(*keys, "unit", "period").agg(F.count("*").alias("n_items"), text.alias("text"), F.array_sort(F.collect_set("who")).alias("contacts"))
+    who = F.array_sort(F.collect_set("who"))
+    parts = items.withColumn("part", F.floor((upto - 1) / budget).cast("int")).groupBy(*period, "part").agg(F.count("*").alias("part_items"), text.alias("text"), who.alias("part_contacts"))
+    return parts.join(items.groupBy(*period).agg(F.count("*").alias("n_items"), who.alias("contacts")), period)
+
+
+def first_part(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of digest's parts the first of each period, with its own items and contacts."""
+    return parts.where("part = 0").select(*keys, "unit", "period", F.col("part_items").alias("n_items"), "text", F.col("part_contacts").alias("contacts"))

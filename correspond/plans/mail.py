@@ -371,4 +371,4 @@ k AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY account, unit, period O
 SELECT account, unit, period, count(*) AS n_items, string_agg(text, chr(10) ORDER BY day, seq) AS text, array_to_string(list_sort(list_distinct(list(person))), ',') AS contacts FROM k WHERE upto <= 2000 GROUP BY 1, 2, 3""")
 def mail_period_digest(spark, d):
     m = mail(spark, d, replies=False).select("account", F.to_date("mail_date").alias("day"), "seq", F.col("person").alias("who"), F.format_string("Order %d of %s", "seq", "person_name").alias("text"))
-    return series.digest(m, ["account"], 20, 2000).withColumn("contacts", F.array_join("contacts", ","))
+    return series.first_part(series.digest(m, ["account"], 20, 2000), ["account"]).withColumn("contacts", F.array_join("contacts", ","))

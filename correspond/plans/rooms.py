@@ -292,7 +292,7 @@ b AS (SELECT owner, u.unit AS unit, u.period AS period, day, seq, sender, text F
 SELECT owner, unit, period, count(*) AS n_items, string_agg(text, chr(10) ORDER BY day, seq) AS text, array_to_string(list_sort(list_distinct(list(sender))), ',') AS contacts FROM k WHERE upto <= 3000 GROUP BY 1, 2, 3""")
 def message_period_digest(spark, d):
     c = chat(spark, d).where("text is not null").select("owner", F.to_date("dt").alias("day"), (F.col("seq") + F.replace("chatroom_id", F.lit("room"), F.lit("")).cast("long") * 1000).alias("seq"), F.col("sender").alias("who"), "text")
-    return series.digest(c, ["owner"], 30, 3000).withColumn("contacts", F.array_join("contacts", ","))
+    return series.first_part(series.digest(c, ["owner"], 30, 3000), ["owner"]).withColumn("contacts", F.array_join("contacts", ","))
 
 
 # --- mood ------------------------------------------------------------------------------
