@@ -47,18 +47,14 @@ def append_once(spark: SparkSession, stream: DataFrame, keys: list[str]) -> Data
     return spark.read.schema(stream.schema).parquet(f"{at}/*")
 
 
-def daily_counts(spark: SparkSession, stream: DataFrame, at: str, keys: list[str], late: str = "1 day") -> DataFrame:
-    """Messages of each key and day by event time; each update of a window replaces the one before."""
+def daily_counts(spark: SparkSession, stream: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    """Messages of each key and day by event time, however late a row comes: each batch adds a part of its own counts, a batch that is run again replaces it, and the parts are summed."""
     out = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
-    counts = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).groupBy(*keys, F.window("_at", "1 day").alias("w")).agg(F.count("*").alias("n"))
-    rows = counts.select(*keys, F.to_date("w.start").alias("day"), "n")
-
-    def each(batch, number):
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    q = rows.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/*").groupBy(*keys, "day").agg(F.max_by("n", "version").alias("n"))
+    count = lambda rows: rows.groupBy(*keys, F.to_date(at).alias("day")).agg(F.count("*").alias("n"))
+    schema = count(spark.createDataFrame([], stream.schema)).schema
+    _started(spark, out, schema)
+    run_batches(stream, lambda batch, number: count(batch).write.mode("overwrite").parquet(f"{out}/batch={number}"), f"{out}-checkpoint")
+    return spark.read.schema(schema).parquet(f"{out}/*").groupBy(*keys, "day").agg(F.sum("n").alias("n"))
 
 
 def _started(spark: SparkSession, at: str, schema) -> None:
