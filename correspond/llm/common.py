@@ -1,11 +1,10 @@
 """Helpers that several operators share."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from correspond.operators.tables import written
+
 #: One word separator or more: the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -14,20 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests), a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str, max_rows_per_file: int = 0) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage, and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", max_rows_per_file).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts the lineage, and survives the loss of executors."""
+    return written(df, name)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -38,6 +26,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows of two numbers that may be sent to every task: 64 MB or so.
+MAX_SENT = 4_000_000
+
+
+def sent_if_small(df: DataFrame, most: int = MAX_SENT) -> DataFrame:
+    """df, marked to be sent to every task if it has no more than `most` rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the documents that no model may learn from; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
@@ -51,28 +48,3 @@ def words_of(text: Column) -> Column:
 def unit(col: Column, seed: int) -> Column:
     """A fixed pseudo-random number in [0, 1) for a value."""
     return (F.xxhash64(F.lit(seed), col) % (1 << 52) + (1 << 52)) / F.lit(float(1 << 53))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) links -> (node, component), component the smallest node that can be reached.
-
-    Each round every node takes its smallest neighbour as label, the links are
-    rewritten to labels, and equal ends fall away; the rounds end when no link is
-    left. Every round is a written table, and nothing but a flag reaches the driver.
-    """
-    left = materialise(edges.select("a", "b").where("a <> b").distinct(), "links")
-    labels = None
-    while True:
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hop = materialise(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "hop")
-        if labels is None:
-            labels = hop.select("node", F.col("label").alias("component"))
-        else:
-            to = hop.select(F.col("node").alias("component"), "label")
-            labels = labels.join(to, "component", "left").select("node", F.coalesce("label", "component").alias("component"))
-        labels = materialise(labels, "labels")
-        x, y = hop.select(F.col("node").alias("a"), F.col("label").alias("la")), hop.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        left = left.join(x, "a").join(y, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        left = materialise(left, "links")
-        if left.isEmpty():
-            return labels

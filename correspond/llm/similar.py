@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: an exact set join by prefixes."""
+"""Texts whose word shingles are similar: candidates confirmed by whole sets, and an exact set join for what candidates leave open."""
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +6,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from correspond.llm.common import connected_components, materialise, small_batches
+from correspond.llm.common import sent_if_small, small_batches
+from correspond.operators.graph import components
+from correspond.operators.tables import Scratch
 
 #: Similarity as a fraction, in whole numbers so that no rounding decides.
 LEAST = (4, 5)
@@ -15,6 +17,8 @@ WIDTH = 5
 ORDERED_BY = 8_000
 #: Times that neighbours are compared and their links named before all other pairs are.
 ROUNDS = 3
+#: Partners that one task compares a text with in one go.
+PARTNERS = 256
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
@@ -35,13 +39,14 @@ def with_keys(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     for seed in range(100):
         keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), text))
-        if keyed.groupBy("_key").agg(F.min(F.md5(text)).alias("a"), F.max(F.md5(text)).alias("b")).where("a <> b").isEmpty():
+        other = F.xxhash64(F.lit(seed + 1000), text, F.char_length(text))
+        if keyed.groupBy("_key").agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a <> b").isEmpty():
             return keyed
     raise ValueError("more different texts than 64 bits tell apart")
 
 
-def _by_text(texts: DataFrame, of, kind: str) -> DataFrame:
-    """Arrow batches that `of` makes of (_key, set of shingles), each text once a task."""
+def _by_text(keyed: DataFrame, of, kind: str) -> DataFrame:
+    """Arrow batches that `of` makes of (_key, set of shingles), each text once a task, so that copies are no more than tasks."""
 
     def run(batches):
         seen = set()
@@ -54,7 +59,7 @@ def _by_text(texts: DataFrame, of, kind: str) -> DataFrame:
             if found:
                 yield of(found)
 
-    return small_batches(texts.select("_key", F.col("text").cast("binary"))).mapInArrow(run, kind)
+    return small_batches(keyed.select("_key", F.col("text").cast("binary"))).mapInArrow(run, kind)
 
 
 def _signed(parts) -> pa.Array:
@@ -63,8 +68,8 @@ def _signed(parts) -> pa.Array:
 
 def _frequent(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of some texts hold, and how many."""
-    n = keyed.count()
-    some = keyed if n <= ORDERED_BY else keyed.where(F.pmod(F.xxhash64(F.lit(7), *[c for c in keyed.columns if c != "text"]), F.lit(1 << 30)) < int((1 << 30) * ORDERED_BY / n))
+    n = keyed.select("_key").count()
+    some = keyed if n <= ORDERED_BY else keyed.where(F.pmod(F.xxhash64(F.lit(7), "_key"), F.lit(1 << 30)) < int((1 << 30) * ORDERED_BY / n))
     rows = _by_text(some, lambda found: pa.RecordBatch.from_arrays([_signed([s for _, s in found])], ["h"]), "h long")
     t = rows.groupBy("h").agg(F.count("*").cast("int").alias("n")).where("n > 2").toArrow()
     h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
@@ -73,9 +78,9 @@ def _frequent(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(keyed: DataFrame) -> DataFrame:
-    """(h, key, size, at): of each text so many of its shingles, the rarest first, that two similar texts have one of them in common."""
-    spark, (num, den) = keyed.sparkSession, LEAST
-    held = spark.sparkContext.broadcast(_frequent(keyed))
+    """(h, key, at): of each text so many of its shingles, the rarest first, that two similar texts have one of them in common."""
+    num, den = LEAST
+    held = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed))
 
     def of(found):
         often, times = held.value
@@ -98,74 +103,94 @@ def _size(at: str) -> Column:
     return F.shiftright(at, 32)
 
 
-def _fits(a: str, b: str) -> Column:
-    """Sizes of sets that can be similar."""
-    return LEAST[1] * F.least(_size(a), _size(b)) >= LEAST[0] * F.greatest(_size(a), _size(b))
+def _can_be(a: str, b: str) -> Column:
+    """Both sets have sizes of similar ones, and as many shingles from this one on as similar sets of these sizes share. True at the first shingle that a similar pair has in common."""
+    place = lambda at: F.col(at).bitwiseAND(F.lit((1 << 32) - 1))
+    rest = F.least(_size(a) - place(a), _size(b) - place(b))
+    return (LEAST[1] * F.least(_size(a), _size(b)) >= LEAST[0] * F.greatest(_size(a), _size(b))) & (sum(LEAST) * rest >= LEAST[0] * (_size(a) + _size(b)))
 
 
-def _place(at: str) -> Column:
-    return F.col(at).bitwiseAND(F.lit((1 << 32) - 1))
-
-
-def _enough(a: str, b: str) -> Column:
-    """Both have as many shingles from this one on as similar sets of their sizes share. True at the first shingle that a similar pair has in common."""
-    rest = F.least(_size(a) - _place(a), _size(b) - _place(b))
-    return sum(LEAST) * rest >= LEAST[0] * (_size(a) + _size(b))
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A table, after which the driver drops what it no longer refers to: shuffle files of prefixes and of sets would else stay side by side."""
-    table = materialise(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return table
+def confirmed(keyed: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """keyed(_key, text), any number of rows a text, and pairs(a, b) -> the pairs whose sets of shingles are similar, by whole sets.
 
+    A text travels to the texts that it is compared with; one with many partners is
+    sent to several tasks, PARTNERS or so to each, so no task holds more than one set and a batch of texts.
+    """
+    num, den = LEAST
+    cuts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("cuts"))
+    whole = cuts.select(F.col("a").alias("_key"), F.col("a").alias("to"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(False).alias("second"))
+    many = sent_if_small(cuts.where("cuts > 1").select("a", "cuts"))
+    part = pairs.join(many, "a", "left").select(F.col("b").alias("_key"), F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.coalesce("cuts", F.lit(1))).cast("int").alias("cut"), F.lit(True).alias("second"))
+    asked = whole.unionByName(part)
+    keys = sent_if_small(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
+    texts = keyed.select("_key", F.col("text").cast("binary").alias("text")).join(keys, "_key", "left_semi").groupBy("_key").agg(F.first("text").alias("text"))
+    rows = texts.join(asked, "_key").repartition("to", "cut").sortWithinPartitions("to", "cut", "second")
+
+    def compare(batches):
+        own, to = None, None
+        for batch in batches:
+            a, b = [], []
+            for key, text, group, cut, second in zip(*(batch.column(c).to_pylist() for c in ("_key", "text", "to", "cut", "second")), strict=True):
+                s = shingles(text, width)
+                if not second:
+                    own, to = s, (group, cut)
+                elif to == (group, cut) and den * min(len(s), len(own)) >= num * max(len(s), len(own)):
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if den * both >= num * (len(own) + len(s) - both):
+                        a.append(group)
+                        b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _similar(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by whole sets. A set that occurs twice gives a pair twice."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    kind = pa.list_(pa.int64())
-    sets = _by_text(keyed.join(keys, "_key", "left_semi"), lambda found: pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], kind)], ["key", "set"]), "key long, set array<long>")
-    sets = _written(sets, "sets")
-    x, y = sets.select(F.col("key").alias("a"), F.col("set").alias("x")), sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return _written(pairs.join(x, "a").join(y, "b").where(LEAST[1] * both >= LEAST[0] * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+    return small_batches(rows).mapInArrow(compare, "a long, b long")
 
 
-def similar_texts(keyed: DataFrame) -> DataFrame:
-    """keyed(_key, text, ...) -> (node, component) of the keys of texts that a chain of texts links to another, each like the next by LEAST or more.
+def similar_texts(keyed: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """keyed(_key, text) -> (node, component) of the keys of texts that a chain of texts links to another, each like the next by LEAST or more.
 
     Every pair is found: similar sets have a shingle in common among the rarest of
-    each, one more than may be missing. Pairs of neighbours under a shingle are
-    compared first, in ROUNDS orders; then all pairs of such texts that these links have not
-    brought together, so that a large group of near copies gives no square of
-    pairs. All are confirmed by whole sets of 64-bit shingle hashes.
+    each, one more than may be missing. `candidates`(a, b) and pairs of neighbours
+    under a shingle are compared first, in ROUNDS orders; then all pairs of such
+    texts that these links have not brought together, so that a large group of near
+    copies gives no square of pairs. All are confirmed by whole sets of 64-bit shingle hashes.
     """
+    t = Scratch(keyed.sparkSession, "similar")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     under = Window.partitionBy("h").orderBy("key")
-    rows = _prefixes(keyed).withColumn("prev", F.lag("key").over(under)).where("prev is null or prev <> key").drop("prev")
-    upto = under.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select("h", "key", "at", F.lag(F.struct("key", "at")).over(under).alias("prev"), F.first(F.struct("key", "at")).over(upto).alias("top"), F.lead("key").over(under).alias("next"))
-    shared = _written(rows.where("prev is not null or next is not null").drop("next"), "shared")
-    near = shared.where("prev is not null").select("key", "at", F.explode(F.array("prev", "top")).alias("o")).where(_fits("at", "o.at") & _enough("at", "o.at"))
-    near = _written(near.select(F.col("o.key").alias("a"), F.col("key").alias("b")).distinct(), "near")
-    links, met = _similar(keyed, near), near
-    for turn in range(ROUNDS):
-        linked = connected_components(links)
-        named = shared.join(linked.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "at", F.coalesce("component", "key").alias("of"))
-        named = _written(named, "named")
-        several = named.groupBy("h").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("h")
-        shared = _written(named.join(several, "h", "left_semi").select("h", "key", "at", "of"), "open")
-        if turn == ROUNDS - 1:
+    rows = _prefixes(keyed).withColumn("prev", F.lag("key").over(under)).where("prev is null or prev <> key")
+    rows = rows.withColumn("next", F.lead("key").over(under))
+    shared = t.written(rows.where("prev is not null or next is not null").select("h", "key", "at"), "shared")
+    t.free_shuffles()
+    met = links = None
+    for turn in range(ROUNDS + 1):
+        if turn == 0:
+            first = F.first(F.struct("key", "at")).over(under.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            near = shared.select("key", "at", F.array(F.lag(F.struct("key", "at")).over(under), first).alias("before")).select("key", "at", F.explode("before").alias("o")).where(F.col("o.key") != F.col("key"))
+        elif turn < ROUNDS:
+            mixed = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), "key"))
+            before = F.array(*[F.lag(F.struct("key", "at", "of"), k).over(mixed) for k in (1, 2, 3)])
+            near = shared.select("key", "at", "of", before.alias("before")).select("key", "at", "of", F.explode("before").alias("o")).where("o.of <> of")
+        else:
+            near = shared.join(shared.select("h", F.struct("key", "at", "of").alias("o")), "h").where("o.of < of")
+        near = near.where(_can_be("at", "o.at")).select(*ordered("o.key", "key"))
+        if turn == 0 and candidates is not None:
+            near = near.unionByName(candidates.select(*ordered("a", "b")))
+        near = t.written(near.distinct() if turn == 0 else near.distinct().join(met, ["a", "b"], "left_anti"), f"near{turn}")
+        t.free_shuffles()
+        found = t.written(confirmed(keyed, near), f"links{turn}")
+        t.free_shuffles()
+        links, met = (found, near) if turn == 0 else (links.unionByName(found), met.unionByName(near))
+        if turn == ROUNDS and found.isEmpty():
+            break
+        linked = components(links.select(F.col("a").alias("source"), F.col("b").alias("target")))
+        if turn == ROUNDS:
+            break
+        to = linked.select(F.col("node").alias("key"), "component")
+        named = shared.select("h", "key", "at").join(sent_if_small(to), "key", "left").select("h", "key", "at", F.coalesce("component", "key").alias("of"))
+        several = t.written(named.groupBy("h").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("h"), "several")
+        if several.isEmpty():
             break
-        mixed = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), "key"))
-        near = shared.select("key", "at", "of", F.array(*[F.lag(F.struct("key", "at", "of"), k).over(mixed) for k in (1, 2, 3)]).alias("before"))
-        near = near.select("key", "at", "of", F.explode("before").alias("o")).where((F.col("o.of") != F.col("of")) & _fits("at", "o.at") & _enough("at", "o.at"))
-        near = near.select(F.least("o.key", "key").alias("a"), F.greatest("o.key", "key").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-        near = _written(near, "near")
-        found = _similar(keyed, near)
-        links, met = links.unionByName(found), met.unionByName(near)
-        shared = shared.select("h", "key", "at")
-    left, right = (shared.select("h", F.col("key").alias(k), F.col("at").alias(f"at_{k}"), F.col("of").alias(f"of_{k}")) for k in "ab")
-    pairs = left.join(right, "h").where((F.col("of_a") < F.col("of_b")) & _fits("at_a", "at_b") & _enough("at_a", "at_b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    more = _similar(keyed, _written(pairs, "pairs"))
-    return linked if more.isEmpty() else connected_components(links.unionByName(more))
+        shared = t.written(named.join(sent_if_small(several), "h", "left_semi"), f"open{turn}")
+        t.drop("shared" if turn == 0 else f"open{turn - 1}")
+        t.free_shuffles()
+    t.keep()
+    return linked

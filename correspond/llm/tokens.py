@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import shared_dir, small_batches, table
+from correspond.llm.common import small_batches, table
+from correspond.operators.tables import shared_dir
 
 #: Ids in a shard, rounded up to whole documents: some 4 MB of bit-planes before compression.
 SHARD_IDS = 1 << 21
