@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from correspond.functions.text import relation_tag
-from correspond.operators.tables import written
+from correspond.operators.tables import Scratch
 
 
 def attribute(description: Column, name: str) -> Column:
@@ -13,8 +13,15 @@ def attribute(description: Column, name: str) -> Column:
 
 
 def nodes(entities: DataFrame, communities: DataFrame) -> DataFrame:
-    """entities(title, type, description, degree), communities(community, level, entity_ids) -> nodes with label and cluster; of several communities the highest."""
-    own = communities.select("community", F.explode("entity_ids").alias("title")).groupBy("title").agg(F.max("community").alias("cluster"))
+    """entities(id, title, type, description, degree), communities(community, seq, entity_ids) -> nodes with label and cluster.
+
+    A community lists its entities by id or by title; of several that list an entity
+    the last one counts, by seq, and of equal ones the higher name.
+    """
+    listed = communities.select("community", "seq", F.explode("entity_ids").alias("_key"))
+    last = listed.groupBy("_key").agg(F.max(F.struct("seq", "community")).alias("_last"))
+    keys = entities.select("title", F.explode(F.array_distinct(F.array("id", "title"))).alias("_key"))
+    own = keys.join(last, "_key").groupBy("title").agg(F.max("_last").alias("_last")).select("title", F.col("_last.community").alias("cluster"))
     label = F.when(F.upper("type") == "EMAIL", F.coalesce(attribute(F.col("description"), "Subject"), F.col("title"))).otherwise(F.col("title"))
     return entities.join(own, "title", "left").select(F.col("title").alias("id"), label.alias("label"), "type", "degree", "cluster")
 
@@ -63,19 +70,22 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round every node takes its smallest neighbour as label and the links
     become links of labels, so chains shorten fast; each round is a written table.
+    A node whose only link is to itself is a component of its own.
     """
-    left, labels = written(links.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct(), "links"), None
+    tables = Scratch(links.sparkSession, "components")
+    left, labels = tables.written(links.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct(), "links"), None
     while True:
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hop = written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "hop")
+        hop = tables.written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "hop")
         if labels is None:
             labels = hop.select("node", F.col("label").alias("component"))
         else:
             labels = labels.join(hop.select(F.col("node").alias("component"), "label"), "component", "left").select("node", F.coalesce("label", "component").alias("component"))
-        labels = written(labels, "labels")
+        labels = tables.written(labels, "labels")
         x, y = hop.select(F.col("node").alias("a"), F.col("label").alias("la")), hop.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        left = written(left.join(x, "a").join(y, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+        left = tables.written(left.join(x, "a").join(y, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
         if left.isEmpty():
+            tables.keep("labels")
             return labels
 
 

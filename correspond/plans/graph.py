@@ -33,14 +33,17 @@ _ENT = """ent AS (SELECT 'P' || p_partkey AS title, CASE WHEN p_size % 2 = 0 THE
 def _entities(spark, d):
     p, key = read(spark, d, "part"), F.col("p_partkey")
     description = F.when(F.col("p_size") % 2 == 0, F.format_string("Subject: %s | ID: m%d | Tone: %s", "p_name", key, F.lower("p_type"))).otherwise(F.format_string("Name: %s, other | Summary: about %s | OrgName: none", "p_name", "p_type"))
-    return p.select(F.concat(F.lit("P"), key.cast("string")).alias("title"), F.when(F.col("p_size") % 2 == 0, "EMAIL").otherwise("TOPIC").alias("type"), description.alias("description"), F.col("p_size").alias("degree"), "p_brand", key.alias("id"))
+    return p.select(F.concat(F.lit("P"), key.cast("string")).alias("title"), F.when(F.col("p_size") % 2 == 0, "EMAIL").otherwise("TOPIC").alias("type"), description.alias("description"), F.col("p_size").alias("degree"), "p_brand", "p_type", key.alias("id"))
 
 
-@query(f"WITH {_ENT}, com AS (SELECT p_brand AS community, 'P' || p_partkey AS title FROM part WHERE p_partkey % 4 <> 0) SELECT title AS id, CASE WHEN type = 'EMAIL' THEN name ELSE title END AS label, type, degree, community AS cluster FROM ent LEFT JOIN com USING (title)")
+@query(f"WITH {_ENT}, com AS (SELECT 'P' || p_partkey AS title, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS community FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 4 <> 0) SELECT title AS id, CASE WHEN type = 'EMAIL' THEN name ELSE title END AS label, type, degree, community AS cluster FROM ent LEFT JOIN com USING (title)")
 def graph_nodes(spark, d):
+    """Nodes of communities by brand, which list titles, and of later ones by kind, which list ids."""
     e = _entities(spark, d)
-    com = e.where("id % 4 <> 0").groupBy(F.col("p_brand").alias("community"), F.pmod("id", F.lit(50)).alias("slice")).agg(F.collect_list("title").alias("entity_ids"))
-    return graph.nodes(e, com)
+    slice_ = F.pmod("id", F.lit(50)).alias("slice")
+    brands = e.where("id % 4 <> 0").groupBy(F.col("p_brand").alias("community"), slice_).agg(F.collect_list("title").alias("entity_ids"), F.lit(1).alias("seq"))
+    kinds = e.where("id % 3 = 0").groupBy(F.col("p_type").alias("community"), slice_).agg(F.collect_list(F.col("id").cast("string")).alias("entity_ids"), F.lit(2).alias("seq"))
+    return graph.nodes(e.withColumn("id", F.col("id").cast("string")), brands.unionByName(kinds))
 
 
 @query(f"WITH {_ENT} SELECT title, CASE WHEN type = 'TOPIC' THEN name END AS name, CASE WHEN type = 'TOPIC' THEN 'about ' || kind END AS summary, NULL::VARCHAR AS org, CASE WHEN type = 'EMAIL' THEN name END AS subject FROM ent")
