@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from correspond.llm.common import materialise, table
+from correspond.llm.common import materialise, sent_if_small, table
 
 #: Rules of this number at most are sent to every task; more are joined by a shuffle.
 MAX_BROADCAST = 50_000
@@ -24,43 +24,41 @@ def _short(digest: Column) -> Column:
     return F.substring(digest, 1, 8)
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """pages(page_id, url), rules(host, path, verdict) -> (page_id, host, path, rule, verdict), a row for each row of pages.
 
     A rule fits a url whose host is the rule's or ends in it at a dot and whose path
-    starts with the rule's. Every page is expanded into expressions of exactly the
-    shapes that rules have (labels of the host, characters of the path), which are
-    met with rules on the first 8 digits of a SHA-256 and confirmed on all of it. Of
-    fitting rules the longest wins (host and path together; then the longer host,
-    then the later verdict by name); without one the verdict is `default`.
-
-    Null urls and such without :// have empty host and path and fit no rule but one
-    of empty host; rules with a null host or path count it as empty; repeated pages
+    starts with the rule's. A url is expanded into the suffixes of its host; those
+    that rules have, met on the first 8 digits of a SHA-256 and confirmed on all of it, bring the
+    lengths of their paths, and suffix and path prefix of each length meet the rules
+    in the same way. Of fitting rules the longest wins (host and path together; then
+    the longer host, then the later verdict by name); without one the verdict is `default`.
+
+    All of that precedes the only shuffle of pages, one row a url, which puts
+    a url's expressions together again; rules beyond max_broadcast are joined by
+    shuffles, whatever their number. Null urls and such without :// have empty host and path and fit no rule but one
+    of empty host; urls of any length are read whole; rules with a null host or path count it as empty; repeated pages
     give repeated rows; empty tables give none or only defaults; other columns are
     not read.
     """
     rules = rules.select(F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict"))
-    rules = rules.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
-    rules = materialise(rules.withColumn("digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("short", _short(F.col("digest"))), "rules")
-    shapes = rules.select(F.size(F.split("r_host", r"\.", -1)).alias("labels"), F.char_length("r_path").alias("chars")).distinct()
-    shapes = [(r.labels, r.chars) for r in shapes.limit(10_001).collect()]  # at most 128 labels by 2,000 characters, in practice a few dozen
-    few = rules.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    counted = pages.select("page_id", F.col("url").alias("_url")).groupBy("page_id", "_url").agg(F.count("*").alias("_copies"))
-    host, path = host_and_path(F.col("_url"))
-    parsed = counted.select("page_id", "_url", "_copies", host.alias("host"), path.alias("path")).withColumn("_labels", F.split("host", r"\.", -1))
-
-    def expression(labels: int, chars: int) -> Column:
-        suffix = F.array_join(F.slice("_labels", F.greatest(F.size("_labels") - labels + 1, F.lit(1)), F.lit(labels)), ".")
-        fits = (F.size("_labels") >= labels) & (F.char_length("path") >= chars)
-        return F.when(fits, F.struct(suffix.alias("host"), F.substring("path", 1, chars).alias("path")))
-
-    none = F.array().cast("array<struct<host:string,path:string>>")
-    expanded = F.array_compact(F.array(*(expression(*s) for s in shapes))) if shapes else none
-    rows = parsed.select("page_id", "_url", "_copies", "host", "path", F.explode_outer(expanded).alias("e")).withColumn("digest", _digest(F.col("e.host"), F.col("e.path")))
-    rows = rows.withColumn("short", F.when(F.col("e").isNotNull(), _short(F.col("digest"))))
-    met = rows.join(F.broadcast(rules) if few else rules, (rows["short"] == rules["short"]) & (rows["digest"] == rules["digest"]), "left")
+    rules = rules.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict")).withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path")))
+    rules = materialise(rules.withColumn("short", _short(F.col("r_digest"))), "rules")
+    hosts = rules.groupBy("r_host").agg(F.sort_array(F.collect_set(F.char_length("r_path"))).alias("lengths"))
+    hosts = materialise(hosts.select(F.sha2("r_host", 256).alias("h_digest"), _short(F.sha2("r_host", 256)).alias("h_short"), "lengths"), "hosts")
+    rules, hosts = sent_if_small(rules, max_broadcast), sent_if_small(hosts, max_broadcast)
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_labels", F.split("host", r"\.", -1))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda k: F.array_join(F.slice("_labels", k, F.size("_labels")), "."))
+    rows = rows.select("page_id", "url", "host", "path", F.posexplode(suffixes).alias("_k", "_suffix")).withColumn("h", F.sha2("_suffix", 256))
+    rows = rows.join(hosts, (_short(F.col("h")) == F.col("h_short")) & (F.col("h") == F.col("h_digest")), "left")
+    lengths = F.filter("lengths", lambda n: n <= F.char_length("path"))
+    rows = rows.select("page_id", "url", "host", "path", "_k", "_suffix", F.posexplode_outer(lengths).alias("_i", "_n"))
+    rows = rows.withColumn("d", F.when(F.col("_n").isNotNull(), _digest(F.col("_suffix"), F.substring("path", F.lit(1), F.col("_n")))))
+    rows = rows.join(rules, (_short(F.col("d")) == F.col("short")) & (F.col("d") == F.col("r_digest")), "left")
     strength = F.when(F.col("r_host").isNotNull(), F.struct((F.char_length("r_host") + F.char_length("r_path")).alias("all"), F.char_length("r_host").alias("of_host"), F.col("r_verdict").alias("verdict"), F.concat("r_host", "r_path").alias("rule")))
-    best = met.groupBy("page_id", "_url").agg(F.max(strength).alias("best"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("_copies").alias("_copies"))
+    copies = F.count_if((F.col("_k") == 0) & (F.coalesce("_i", F.lit(0)) == 0))
+    best = rows.groupBy("page_id", "url").agg(F.max(strength).alias("best"), F.first("host").alias("host"), F.first("path").alias("path"), copies.alias("_copies"))
     out = best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
     return out.select("page_id", "host", "path", "rule", "verdict")
 

@@ -133,11 +133,8 @@ def test_chat(spark):
     assert chat.read_back(turns.limit(0)).count() == 0
 
 
-def test_urls(spark):
-    rule = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-    r = random.Random(3)
-    pages = [(i, r.choice(["http://", "https://", "", "x"]) + r.choice(["WWW.example.COM", "a.b.example.com", "example.net", "com", "xcom", "u@h.net:80", ""]) + r.choice(["/en/a", "/es/", "/fr/x?y", "", "?q=/en/", "#f", "/e"])) for i in range(300)] + [(0, None), (7, "http://a.net/es/"), (7, "http://a.net/es/"), (None, "http://com/")]
-    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string").withColumn("verdict", F.lit("clash")), spark.createDataFrame(rule, "host string, path string, verdict string")).collect()
+def judged(pages, rule):
+    """The rules one by one against each url."""
     want = []
     for i, u in pages:
         host = path = ""
@@ -145,12 +142,37 @@ def test_urls(spark):
             rest = u.split("://", 1)[1]
             host = lower(re.match("[^/?#]*", rest)[0])
             path = re.match("[^?#]*", rest[len(host) :])[0]
-        fits = [(len(h + p), h + p, v) for h, p, v in rule if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        want.append((i, host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow"))
+        fits = [(len(h + p), len(h), v, h + p) for h, p, v in rule if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want.append((i, host, path, max(fits)[3] if fits else None, max(fits)[2] if fits else "allow"))
+    return sorted(want, key=lambda x: tuple((v is None, str(v)) for v in x))
+
+
+def url_tables(spark, pages, rule):
+    rules = spark.createDataFrame(rule, "host string, path string, verdict string")
+    return spark.createDataFrame(pages, "page_id long, url string").withColumn("verdict", F.lit("clash")), rules
+
+
+def test_urls(spark):
+    rule = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+    r = random.Random(3)
+    pages = [(i, r.choice(["http://", "https://", "", "x"]) + r.choice(["WWW.example.COM", "a.b.example.com", "example.net", "com", "xcom", "u@h.net:80", ""]) + r.choice(["/en/a", "/es/", "/fr/x?y", "", "?q=/en/", "#f", "/e"])) for i in range(300)]
+    pages += [(0, None), (None, "http://a.com/"), (3, "http://example.net/es/1"), (3, "http://example.net/es/1"), (9, "http://" + "a." * 2000 + "net/fr/" + "x" * 50000)]
+    got = urls.judge(*url_tables(spark, pages, rule)).collect()
     key = lambda x: tuple((v is None, str(v)) for v in x)
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    none = urls.judge(spark.createDataFrame(pages[:5], "page_id long, url string"), spark.createDataFrame([], "host string, path string, verdict string"))
+    assert sorted(map(tuple, got), key=key) == judged(pages, rule)
+    none = urls.judge(*url_tables(spark, pages[:5], []))
     assert {r.verdict for r in none.collect()} == {"allow"} and none.count() == 5
+    assert urls.judge(*url_tables(spark, [], rule)).count() == 0
+
+
+@pytest.mark.parametrize("most", [10, 50_000])
+def test_urls_many_rules(spark, most):
+    """More shapes of rules than 10,000, all of one host, and a join by shuffles as well as by broadcast."""
+    rule = [("a.net", "/" + "x" * k, "block" if k % 3 else "allow") for k in range(10_200)] + [(f"h{k}.org", "/p", "block") for k in range(40)] + [("", "", "block")]
+    pages = [(k, f"http://{'w.' * (k % 3)}a.net/{'x' * (k * 700)}") for k in range(16)] + [(k, f"http://h{k}.org/p{k}") for k in range(60)] + [(99, "nothing")]
+    got = urls.judge(*url_tables(spark, pages, rule), max_broadcast=most).collect()
+    key = lambda x: tuple((v is None, str(v)) for v in x)
+    assert sorted(map(tuple, got), key=key) == judged(pages, rule)
 
 
 def naive_fingerprint(t):
@@ -275,8 +297,8 @@ def test_contamination(spark, docs, empty):
         w = word.findall(lower(t))
         for k in range(max(1, len(w) - 9) if w and i is not None else 0):
             windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
-    for limit in (1 << 20, 100):
-        got = decontaminate.contamination(docs.withColumn("n_hit", F.lit(9)), bench, block_bytes=limit).collect()
+    for limit in (1 << 20, 60):
+        got = decontaminate.contamination(docs.withColumn("n_hit", F.lit(9)), bench, block_words=limit).collect()
         assert len(got) == docs.count()
         for r in got:
             text = ("no id at all here" if r.doc_id is None else TEXTS[r.doc_id]) or ""
