@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import defaultdict
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -12,48 +13,48 @@ from pyspark.sql import types as T
 
 from correspond.llm.common import materialise, small_batches, table
 
-#: Bytes of benchmark text in one automaton; more text is scanned for in further rounds.
-BLOCK_BYTES = 16 << 20
+#: Words of all windows that one automaton takes in, some 40 bytes each; for more, texts are scanned again.
+BLOCK_WORDS = 8_000_000
 #: ASCII letters are lower-cased, digits stay, all other ASCII separates words; bytes of other characters are parts of words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def _automaton(items: list[tuple], window: int):
-    """Of windows as latin-1 views of UTF-8 words with a space on both sides; value: (words, indexes of items)."""
+def _automaton(block: list[tuple[str, list[bytes]]], window: int) -> dict:
+    """Of windows as sequences of numbers of words; value: (words, indexes of pieces)."""
+    number: dict[bytes, int] = {}
     windows = defaultdict(set)
-    for k, (_, text) in enumerate(items):
-        words = (text or b"").translate(FOLD).split()
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i : i + window]
-            windows[b" ".join(part)].add(k)
-    found = ahocorasick.Automaton()
-    for part, owners in windows.items():
-        found.add_word(f" {part.decode('latin-1')} ", (part.count(b" ") + 1, tuple(sorted(owners))))
-    if windows:
-        found.make_automaton()
-    return found, bool(windows)
-
-
-def scan(text: bytes | None, automaton, any_window: bool) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Words; merged runs of hit words (first, end); indexes of items."""
+    for k, (_, words) in enumerate(block):
+        codes = [number.setdefault(w, len(number) + 1) for w in words]
+        for i in range(max(1, len(codes) - window + 1)):
+            windows[tuple(codes[i : i + window])].add(k)
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for codes, owners in windows.items():
+        found.add_word(codes, (len(codes), tuple(sorted(owners))))
+    found.make_automaton()
+    return {"number": number, "find": found}
+
+
+def _built(held: dict, window: int) -> dict | None:
+    """The automaton of a broadcast block, kept with it, so that a worker's later tasks find it built; None of an empty block."""
+    if "built" not in held:
+        held["built"] = _automaton(held["block"], window) if held["block"] else None
+    return held["built"]
+
+
+def scan(text: bytes | None, built: dict | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+    """Words; merged runs of hit words (first, end); indexes of pieces."""
     words = (text or b"").translate(FOLD).split()
-    if not words or not any_window:
+    if not words or not built:
         return len(words), [], set()
-    line = b" " + b" ".join(words) + b" "
-    spaces, hits, items = None, [], set()
-    for end, (n, owners) in automaton.iter(line.decode("latin-1")):
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        last = int(np.searchsorted(spaces, end))  # the space that ends a word: words before it
-        items.update(owners)
-        if hits and hits[-1][1] >= last - n:
-            hits[-1] = (min(hits[-1][0], last - n), max(hits[-1][1], last))
-            while len(hits) > 1 and hits[-2][1] >= hits[-1][0]:
-                low, high = hits.pop()
-                hits[-1] = (min(hits[-1][0], low), max(hits[-1][1], high))
-        else:
-            hits.append((last - n, last))
-    return len(words), hits, items
+    hits, owners = [], set()
+    for last, (n, own) in built["find"].iter(tuple(map(built["number"].get, words, repeat(0)))):
+        owners.update(own)
+        low, high = last - n + 1, last + 1
+        while hits and hits[-1][1] >= low:
+            a, b = hits.pop()
+            low, high = min(a, low), max(b, high)
+        hits.append((low, high))
+    return len(words), hits, owners
 
 
 def original_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -65,30 +66,33 @@ def original_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, in
     return [(int(chars[edges[2 * a]]), int(chars[edges[2 * b - 1]])) for a, b in hits]
 
 
-def _blocks(benchmark: DataFrame, limit: int):
-    """Lists of (item_id as string, text bytes), each under the limit or one item: the driver holds one at a time."""
+def _blocks(benchmark: DataFrame, limit: int, window: int):
+    """Lists of (item_id as string, words) whose windows have no more than `limit` words together, or one window; the driver holds one list at a time. A long item is cut into pieces that overlap by all but one word of a window."""
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("item_id is not null").toLocalIterator()
-    block, size = [], 0
+    block, size, most = [], 0, max(1, limit // window)
     for item, text in rows:
-        text = bytes(text or b"")
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
+        words = bytes(text or b"").translate(FOLD).split()
+        for at in range(0, max(1, len(words) - window + 1) if words else 0, most):
+            piece = words[at : at + most + window - 1]
+            cost = window * max(1, len(piece) - window + 1)
+            if block and size + cost > limit:
+                yield block
+                block, size = [], 0
+            block.append((item, piece))
+            size += cost
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text) -> columns `keep` (doc_id) and n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     spans lists the hit passages as `start:end` code points of the original text.
-    The automaton of a benchmark of block_bytes at most is broadcast; a larger
-    benchmark is cut into blocks, one scan each, whose findings are put together.
-    Null and empty texts have no words and no hit; items without words or id never
-    match; equal items all count; repeated document rows stay rows of their own;
-    an empty benchmark leaves every document clean; input columns of the result's
-    names are replaced.
+    The windows of a benchmark of block_words at most make one automaton, built once
+    a worker; a larger benchmark is cut into blocks, one scan each, whose findings
+    are put together. Null and empty texts have no words and no hit; texts of any
+    length are scanned whole; items without words or id never match; equal items all
+    count; repeated document rows stay rows of their own; an empty benchmark leaves
+    every document clean; an empty table gives none; input columns of the result's names are replaced.
     """
     found_kind = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("spans", "string")
     keep = [c for c in keep or ["doc_id"] if c not in found_kind.names]
@@ -96,7 +100,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     kind = T.StructType([*(rows.schema[c] for c in keep), *found_kind])
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
     sc = docs.sparkSession.sparkContext
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, block_words, window)
     first = next(blocks)
     second = next(blocks, None)
 
@@ -114,16 +118,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         return batch.column("text").cast(pa.binary()).to_pylist()
 
     if second is None:
-        items = sc.broadcast(first)
+        sent = sc.broadcast({"block": first})
 
         def once(batches):
-            automaton, some = _automaton(items.value, window)
-            ids = [x for x, _ in items.value]
+            built, block = _built(sent.value, window), sent.value["block"]
 
             def found(batch):
                 for text in texts(batch):
-                    n, hits, owners = scan(text, automaton, some)
-                    yield text, n, hits, [ids[k] for k in owners]
+                    n, hits, owners = scan(text, built)
+                    yield text, n, hits, [block[k][0] for k in owners]
 
             for batch in batches:
                 for k in range(0, batch.num_rows, 1024):
@@ -136,14 +139,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     keyed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     queue, partial = [first, second], None
     while queue:
-        items = sc.broadcast(queue.pop(0))
+        sent = sc.broadcast({"block": queue.pop(0)})
 
-        def one(batches, items=items):
-            automaton, some = _automaton(items.value, window)
+        def one(batches, sent=sent):
+            built, block = _built(sent.value, window), sent.value["block"]
             for batch in batches:
-                found = [(row, *scan(text, automaton, some)[1:]) for row, text in zip(batch.column("_row").to_pylist(), texts(batch), strict=True)]
+                found = [(row, *scan(text, built)[1:]) for row, text in zip(batch.column("_row").to_pylist(), texts(batch), strict=True)]
                 found = [f for f in found if f[1]]
-                lists = [[[a for a, _ in f[1]] for f in found], [[b for _, b in f[1]] for f in found], [[items.value[k][0] for k in sorted(f[2])] for f in found]]
+                lists = [[[a for a, _ in f[1]] for f in found], [[b for _, b in f[1]] for f in found], [[block[k][0] for k in sorted(f[2])] for f in found]]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["_row", "lows", "highs", "items"])
 
         got = materialise(small_batches(keyed.select("_row", "text")).mapInArrow(one, "_row long, lows array<long>, highs array<long>, items array<string>"), "hits")
@@ -170,4 +173,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
 
 def op9_decontaminate(spark, sf_dir):
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -60,7 +60,7 @@ m AS (
   FROM h LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE k = 1""",
     "op9_decontaminate": rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_FOLDED} AS w FROM documents),
 b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
@@ -68,8 +68,14 @@ bw AS (
 x AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 hits AS (SELECT r, i, x.n, item_id FROM x JOIN bw ON bw.n = x.n AND bw.s = x.s),
 cover AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+runs AS (
+  SELECT r, min(p) AS a, max(p) AS b FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hits))
+  GROUP BY r, run),
+pieces AS (SELECT r, list_transform(regexp_extract_all(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: length(x)) AS l, w FROM d WHERE r IN (SELECT r FROM hits)),
+spans AS (
+  SELECT r, string_agg((list_sum(l[1:a]) - length(w[a]))::BIGINT || ':' || list_sum(l[1:b])::BIGINT, ',' ORDER BY a) AS spans FROM runs JOIN pieces USING (r) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM hits) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)""",
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r) LEFT JOIN spans USING (r)""",
 }
