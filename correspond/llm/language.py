@@ -60,30 +60,33 @@ def train(x: np.ndarray, y: np.ndarray, codes: np.ndarray, steps: int = 300, rat
 def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest codeword by summed logistic loss; its share among all; its lead over the second, a bit."""
     z = ((x - model["mean"]) * 30) @ model["w"][:-1] + model["w"][-1]
-    loss = np.logaddexp(0, -z[:, None, :] * model["codes"][None]).mean(axis=2)
+    up = (model["codes"] > 0).astype(z.dtype)
+    loss = (np.logaddexp(0, -z) @ up.T + np.logaddexp(0, z) @ (1 - up).T) / up.shape[1]  # of a bit of 1, of a bit of -1
     e = np.exp(np.clip((loss.min(axis=1, keepdims=True) - loss) * min(8, model["codes"].shape[1]), -50, 0))
     order = np.sort(loss, axis=1)
     lead = order[:, 1] - order[:, 0] if loss.shape[1] > 1 else np.full(len(x), np.inf)
     return loss.argmin(axis=1), e.max(axis=1) / e.sum(axis=1), lead
 
 
-def fit(docs: DataFrame, max_a_language: int = 1000) -> dict | None:
-    """Trains on documents that aren't held out and have a language: about max_a_language of each, by hash."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = sorted((r[0], r[1]) for r in known.groupBy("lang").count().collect())
+def fit(docs: DataFrame, max_a_language: int = 1000, max_documents: int = 16_000, max_languages: int = 2000) -> dict | None:
+    """Trains on documents that aren't held out and have a language, by hash: about max_a_language of each, and about max_documents
+    in all, shared evenly, which bounds what the driver holds (4 KB a document). Of more languages than max_languages the most frequent are learnt."""
+    known = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(v) for lang, n in counts for v in (lang, min(1.0, max_a_language / n)))) if len(counts) < 1000 else F.lit(0.01)
-    drawn = known.where(F.coalesce(unit(F.struct("doc_id", F.xxhash64("text")), 19), F.lit(0.0)) < (share[F.col("lang")] if len(counts) < 1000 else share))
+    of_each = min(max_a_language, max(1, max_documents // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, of_each / r.n)) for r in counts], "lang string, share double")
+    drawn = known.join(F.broadcast(share), "lang").where(F.coalesce(unit(F.struct("doc_id", F.xxhash64("text")), 19), F.lit(0.0)) < F.col("share"))
 
     def of(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["lang", "x"])
 
     seen = drawn.select("lang", F.col("text").cast("binary")).mapInArrow(of, "lang string, x binary").distinct().orderBy("lang", "x").collect()
-    langs = [lang for lang, _ in counts]
-    x = np.array([np.frombuffer(r.x, np.float16) for r in seen], np.float32)
-    return train(x, np.array([langs.index(r.lang) for r in seen]), codewords(len(langs))) | {"langs": langs}
+    langs = sorted({r.lang for r in seen})
+    x, number = np.array([np.frombuffer(r.x, np.float16) for r in seen], np.float32), {lang: k for k, lang in enumerate(langs)}
+    return train(x, np.array([number[r.lang] for r in seen]), codewords(len(langs))) | {"langs": langs} if langs else None
 
 
 def languages(docs: DataFrame, ambiguous_below: float = 0.05) -> DataFrame:
