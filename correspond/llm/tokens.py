@@ -18,62 +18,58 @@ from correspond.operators.tables import shared_dir
 
 #: Ids in a shard, rounded up to whole documents: some 4 MB of bit-planes before compression.
 SHARD_IDS = 1 << 21
-MAGIC = b"WVM1"
-_RANK_BITS = 512
+MAGIC = b"WVM2"
+#: Bits of a plane that are compressed together, and bits between two stored ranks inside them.
+_CHUNK, _BLOCK = 1 << 19, 1 << 9
 
 
 class WaveletMatrix:
-    """Bit-planes of the ids' numbers among the shard's different ids, highest bit first; each plane lists the ids in the order that stable partition by the planes above gives."""
-
-    def __init__(self, n: int, symbols: np.ndarray, planes: list[np.ndarray]):
-        """symbols: the different ids, ascending; planes: packed bits of each level, little end first."""
-        self.n, self.symbols, self.planes = n, symbols, planes
-        self.zeros, self.ranks = [], []
-        for p in planes:
-            ones = np.bitwise_count(np.pad(p, (0, -len(p) % (_RANK_BITS // 8)))).reshape(-1, _RANK_BITS // 8).sum(axis=1, dtype=np.int64)
-            self.ranks.append(np.concatenate(([0], np.cumsum(ones))))  # ones before each block
-            self.zeros.append(n - int(self.ranks[-1][-1]))
-
-    @classmethod
-    def build(cls, ids: np.ndarray) -> "WaveletMatrix":
-        symbols = np.flatnonzero(np.bincount(ids)).astype(np.uint32)
-        number = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
-        number[symbols] = np.arange(len(symbols))
-        now, planes = number[ids], []
-        for level in reversed(range(max(1, (max(1, len(symbols)) - 1).bit_length()))):
-            bits = (now & number.dtype.type(1 << level)).astype(bool)
-            planes.append(np.packbits(bits, bitorder="little"))
-            if level:
-                now = np.concatenate((now[~bits], now[bits]))
-        return cls(len(ids), symbols, planes)
+    """Bit-planes of the ids' numbers among the shard's different ids, highest bit first; each plane lists the ids in the order that stable partition by the planes above gives.
+
+    A plane is cut into chunks. Ones before each chunk are at hand; `chunk(level, k)`
+    brings the ranks inside it and its bits, so an access needs one chunk of each plane.
+    """
+
+    def __init__(self, n: int, symbols: np.ndarray, before: np.ndarray, chunk):
+        """symbols: the different ids, ascending; before: (levels, chunks + 1) ones before each chunk and in all."""
+        self.n, self.symbols, self.before, self.chunk = n, symbols, before, functools.lru_cache(256)(chunk)
+        self.levels, self.zeros = len(before), [n - int(b[-1]) for b in before]
 
     def _number(self, value: int) -> int:
         """Of an id among the shard's, -1 if it isn't there."""
         k = int(np.searchsorted(self.symbols, value))
         return k if k < len(self.symbols) and self.symbols[k] == value else -1
 
-    def _bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-
     def _ones(self, level: int, i: int) -> int:
-        """Ones before position i: a stored rank and the bits of one block."""
-        block = i // _RANK_BITS
-        part = self.planes[level][block * (_RANK_BITS // 8) : i // 8 + 1]
-        count = int(np.bitwise_count(part[: i // 8 - block * (_RANK_BITS // 8)]).sum())
-        return int(self.ranks[level][block]) + count + (int(part[-1] & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0)
+        """Ones before position i: two stored ranks and the bits of one block."""
+        c, r = divmod(i, _CHUNK)
+        if c == self.before.shape[1] - 1:
+            return int(self.before[level, c])
+        ranks, bits = self.chunk(level, c)
+        block = r // _BLOCK
+        if block >= len(ranks):
+            return int(self.before[level, c + 1])
+        part = bits[block * (_BLOCK // 8) : r // 8 + 1]
+        whole = r // 8 - block * (_BLOCK // 8)
+        last = int(part[whole]) & ((1 << r % 8) - 1) if r % 8 else 0
+        return int(self.before[level, c]) + int(ranks[block]) + int(np.bitwise_count(part[:whole]).sum()) + last.bit_count()
 
     def _place(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) such bit: a search over stored ranks, then within one block."""
-        ranks = self.ranks[level] if bit else np.arange(len(self.ranks[level])) * _RANK_BITS - self.ranks[level]
+        before = self.before[level][:-1]
+        before = before if bit else np.arange(len(before)) * _CHUNK - before
+        c = int(np.searchsorted(before, k, "right")) - 1
+        ranks, bits = self.chunk(level, c)
+        ranks = ranks.astype(np.int64) if bit else np.arange(len(ranks)) * _BLOCK - ranks
+        k -= int(before[c])
         block = int(np.searchsorted(ranks, k, "right")) - 1
-        low = block * (_RANK_BITS // 8)
-        bits = np.unpackbits(self.planes[level][low : low + _RANK_BITS // 8], bitorder="little")[: self.n - block * _RANK_BITS]
-        return block * _RANK_BITS + int(np.flatnonzero(bits == bit)[k - int(ranks[block])])
+        found = np.unpackbits(bits[block * (_BLOCK // 8) : (block + 1) * (_BLOCK // 8)], bitorder="little")
+        return c * _CHUNK + block * _BLOCK + int(np.flatnonzero(found == bit)[k - int(ranks[block])])
 
     def access(self, i: int) -> int:
         value = 0
-        for level in range(len(self.planes)):
-            bit = int(self.planes[level][i // 8]) >> i % 8 & 1
+        for level in range(self.levels):
+            bit = int(self.chunk(level, i // _CHUNK)[1][i % _CHUNK // 8]) >> i % 8 & 1
             ones = self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
@@ -84,9 +80,9 @@ class WaveletMatrix:
         value = self._number(value)
         if value < 0:
             return 0
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             a, b = self._ones(level, low), self._ones(level, high)
-            low, high = (self.zeros[level] + a, self.zeros[level] + b) if value >> (len(self.planes) - 1 - level) & 1 else (low - a, high - b)
+            low, high = (self.zeros[level] + a, self.zeros[level] + b) if value >> (self.levels - 1 - level) & 1 else (low - a, high - b)
         return high - low
 
     def find(self, value: int, k: int) -> int:
@@ -94,45 +90,80 @@ class WaveletMatrix:
         if k >= self.count(value, 0, self.n):
             return -1
         value, at = self._number(value), 0
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             ones = self._ones(level, at)
-            at = self.zeros[level] + ones if value >> (len(self.planes) - 1 - level) & 1 else at - ones
+            at = self.zeros[level] + ones if value >> (self.levels - 1 - level) & 1 else at - ones
         at += k
-        for level in reversed(range(len(self.planes))):
-            bit = value >> (len(self.planes) - 1 - level) & 1
+        for level in reversed(range(self.levels)):
+            bit = value >> (self.levels - 1 - level) & 1
             at = self._place(level, bit, at - self.zeros[level] if bit else at)
         return at
 
     def decode(self) -> np.ndarray:
         """All ids in order: the stable partitions are undone from the last level up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        kind = np.uint16 if self.levels <= 16 else np.uint32
         now = np.zeros(self.n, kind)
-        for level in reversed(range(len(self.planes))):
-            bits, up = self._bits(level), np.empty(self.n, kind)
+        for level in reversed(range(self.levels)):
+            packed = [self.chunk.__wrapped__(level, c)[1] for c in range(self.before.shape[1] - 1)]
+            bits = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n, bitorder="little").view(bool)
+            up = np.empty(self.n, kind)
             up[~bits] = now[: self.zeros[level]]
-            up[bits] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            up[bits] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             now = up
         return self.symbols[now] if self.n else np.zeros(0, np.uint32)
 
 
+def _planes(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different ids, ascending, and packed bits of each level, little end first."""
+    symbols = np.flatnonzero(np.bincount(ids)).astype(np.uint32)
+    number = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
+    number[symbols] = np.arange(len(symbols))
+    now, planes = number[ids], []
+    for level in reversed(range(max(1, (max(1, len(symbols)) - 1).bit_length()))):
+        bits = (now & number.dtype.type(1 << level)).astype(bool)
+        planes.append(np.packbits(bits, bitorder="little"))
+        if level:
+            now = np.concatenate((now[~bits], now[bits]))
+    return symbols, planes
+
+
 def pack_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    """The file: magic, numbers of documents, ids, different ids and planes; then, compressed, document ids with a null mask, lengths, the different ids and the bit-planes."""
-    matrix = WaveletMatrix.build(ids)
-    body = np.array([x or 0 for x in doc_ids], np.int64).tobytes() + np.array([x is None for x in doc_ids], bool).tobytes() + np.array(lengths, np.uint64).tobytes() + matrix.symbols.tobytes() + b"".join(p.tobytes() for p in matrix.planes)
-    return MAGIC + struct.pack("<QQQB", len(doc_ids), matrix.n, len(matrix.symbols), len(matrix.planes)) + zstandard.ZstdCompressor(level=1).compress(body)
+    """The file: magic; numbers of documents, ids, different ids, planes and bytes of the head; the compressed head (document
+    ids with a null mask, lengths, the different ids, ones before each chunk, bytes of each chunk); then the chunks, each compressed by itself: ranks of its blocks, bits."""
+    symbols, planes = _planes(ids)
+    pack, body, sizes = zstandard.ZstdCompressor(level=1).compress, [], []
+    n_chunks = -(-len(ids) // _CHUNK)
+    before = np.zeros((len(planes), n_chunks + 1), np.int64)
+    for level, plane in enumerate(planes):
+        ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (_BLOCK // 8)))).reshape(-1, _BLOCK // 8).sum(axis=1, dtype=np.int64)
+        for c in range(n_chunks):
+            own = ones[c * (_CHUNK // _BLOCK) : (c + 1) * (_CHUNK // _BLOCK)]
+            before[level, c + 1] = before[level, c] + own.sum()
+            ranks = np.concatenate(([0], np.cumsum(own)[:-1])).astype(np.uint32)
+            body.append(pack(ranks.tobytes() + plane[c * (_CHUNK // 8) : (c + 1) * (_CHUNK // 8)].tobytes()))
+            sizes.append(len(body[-1]))
+    head = pack(np.array([x or 0 for x in doc_ids], np.int64).tobytes() + np.array([x is None for x in doc_ids], bool).tobytes() + np.array(lengths, np.uint64).tobytes() + symbols.tobytes() + before.tobytes() + np.array(sizes, np.uint64).tobytes())
+    return MAGIC + struct.pack("<QQQBQ", len(doc_ids), len(ids), len(symbols), len(planes), len(head)) + head + b"".join(body)
 
 
 def unpack_shard(blob: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
-    """Document ids, lengths, matrix."""
+    """Document ids, lengths, matrix. Chunks are decompressed as they are asked for."""
     if blob[:4] != MAGIC:
         raise ValueError("not a token shard")
-    docs, n, kinds, levels = struct.unpack_from("<QQQB", blob, 4)
-    body, at = zstandard.ZstdDecompressor().decompress(blob[29:]), 17 * docs + 4 * kinds
-    keys = np.frombuffer(body, np.int64, docs).tolist()
-    doc_ids = [None if null else k for k, null in zip(keys, np.frombuffer(body, bool, docs, 8 * docs).tolist(), strict=True)]
-    size = (n + 7) // 8
-    planes = [np.frombuffer(body, np.uint8, size, at + k * size) for k in range(levels)]
-    return doc_ids, np.frombuffer(body, np.uint64, docs, 9 * docs).astype(np.int64), WaveletMatrix(n, np.frombuffer(body, np.uint32, kinds, 17 * docs), planes)
+    docs, n, kinds, levels, size = struct.unpack_from("<QQQBQ", blob, 4)
+    start, unpack, n_chunks = 4 + struct.calcsize("<QQQBQ"), zstandard.ZstdDecompressor().decompress, -(-n // _CHUNK)
+    head, at = unpack(blob[start : start + size]), 17 * docs + 4 * kinds
+    keys = np.frombuffer(head, np.int64, docs).tolist()
+    doc_ids = [None if null else k for k, null in zip(keys, np.frombuffer(head, bool, docs, 8 * docs).tolist(), strict=True)]
+    before = np.frombuffer(head, np.int64, levels * (n_chunks + 1), at).reshape(levels, n_chunks + 1)
+    edges = start + size + np.concatenate(([0], np.cumsum(np.frombuffer(head, np.uint64, levels * n_chunks, at + before.nbytes)))).astype(np.int64)
+
+    def chunk(level: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+        k = level * n_chunks + c
+        raw, blocks = unpack(blob[edges[k] : edges[k + 1]]), -(-min(_CHUNK, n - c * _CHUNK) // _BLOCK)
+        return np.frombuffer(raw, np.uint32, blocks), np.frombuffer(raw, np.uint8, offset=4 * blocks)
+
+    return doc_ids, np.frombuffer(head, np.uint64, docs, 9 * docs).astype(np.int64), WaveletMatrix(n, np.frombuffer(head, np.uint32, kinds, 17 * docs), before, chunk)
 
 
 #: Latin letters and then ASCII punctuation: normaliser and word pattern make exactly these two words of it.
@@ -144,7 +175,7 @@ class Encoder:
     tokenizer's normaliser and word pattern never look past white space; `direct` is for tokenizers where they do.
     Where tokens mark the end of a word, letters and the punctuation after them are tokenised apart."""
 
-    def __init__(self, json: str, direct: bool = False, remember: int = 250_000):
+    def __init__(self, json: str, direct: bool = False, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -181,8 +212,8 @@ class Encoder:
         first = pc.if_else(simple, pc.utf8_lower(pc.struct_field(parts, 0)), pieces)
         words = pa.chunked_array([first, pc.if_else(simple, pc.struct_field(parts, 1), "")]).combine_chunks().dictionary_encode()
         different = words.dictionary.to_pylist()
-        if len(self.known) + len(different) > self.remember:
-            self.known = {"": b""}
+        if len(self.known) + len(different) > self.remember:  # words of these texts are the likeliest to come again
+            self.known = {"": b""} | {w: self.known[w] for w in different if w in self.known}
         whole = set(pc.unique(pc.filter(pieces, pc.invert(simple))).to_pylist())
         new = [w for w in different if w not in self.known]
         self._learn([w for w in new if w not in whole], True)
@@ -198,13 +229,14 @@ class Encoder:
         return np.insert(taken.flatten().to_numpy(), upto[1:], np.uint32(end)), np.diff(upto).astype(np.int64) + 1
 
 
-@functools.lru_cache(maxsize=1)
-def _encoder(json: str, direct: bool) -> Encoder:
-    """One for each Python worker, whose later tasks find the words of earlier ones."""
-    return Encoder(json, direct)
+def _encoder(held: dict) -> Encoder:
+    """Kept with the broadcast tokenizer, so that a worker's later tasks find the words of earlier ones."""
+    if "encoder" not in held:
+        held["encoder"] = Encoder(held["json"], held["direct"])
+    return held["encoder"]
 
 
-def _gathered(batches, most: int = 4 << 20):
+def _gathered(batches, most: int = 8 << 20):
     """Joins small batches to some MB, in which words repeat more."""
     held, size = [], 0
     for batch in batches:
@@ -217,7 +249,7 @@ def _gathered(batches, most: int = 4 << 20):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _slices(texts: pa.Array, most: int = 4 << 20):
+def _slices(texts: pa.Array, most: int = 8 << 20):
     """(start, rows) of runs of texts of some MB together, or one text."""
     sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), 0
     upto = np.cumsum(sizes)
@@ -235,12 +267,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2,
     counts as empty: the end id alone. An empty table makes an empty one.
     Spark's writer commits whole files only, so a lost executor leaves no trace.
     """
-    model = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    model = docs.sparkSession.sparkContext.broadcast({"json": tokenizer_json, "direct": direct})
 
     def shards(batches):
         from pyspark import TaskContext
 
-        encoder, part, seq = _encoder(model.value, direct), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(model.value), TaskContext.get().partitionId(), 0
         keys, lengths, ids, n = [], [], [], 0
 
         def shard():

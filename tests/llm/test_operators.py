@@ -262,11 +262,11 @@ def test_mix(spark, empty):
 
 def test_wavelet():
     r = np.random.default_rng(1)
-    for ids in (np.zeros(0, np.uint32), np.array([2], np.uint32), r.integers(0, 50, 3000).astype(np.uint32), (r.zipf(1.3, 5000) % 49408).astype(np.uint32)):
+    for ids in (np.zeros(0, np.uint32), np.array([2], np.uint32), np.full(tokens._CHUNK, 7, np.uint32), np.repeat(r.integers(0, 30, 700), 1500).astype(np.uint32), r.integers(0, 50, 3000).astype(np.uint32), (r.zipf(1.3, 5000) % 49408).astype(np.uint32)):
         keys = [None, 5] if len(ids) > 1 else [5]
         got, lengths, m = tokens.unpack_shard(tokens.pack_shard(keys, [len(ids)] if len(keys) == 1 else [1, len(ids) - 1], ids))
         assert got == keys and lengths.sum() == len(ids) and (m.decode() == ids).all()
-        for i in range(0, len(ids), 37):
+        for i in [*range(0, len(ids), max(37, len(ids) // 150)), *(x for x in (511, 512, tokens._CHUNK - 1, tokens._CHUNK, len(ids) - 1) if 0 <= x < len(ids))]:
             v = int(ids[i])
             assert m.access(i) == v and m.count(v, 0, i) == int((ids[:i] == v).sum()) and m.find(v, m.count(v, 0, i)) == i
         assert m.count(60000, 0, m.n) == 0 and m.find(60000, 0) == -1
@@ -286,6 +286,10 @@ def test_tokens(spark, docs, empty, tmp_path):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want
     assert tokens.token_output(empty).count() == 0
+    at = str(tmp_path / "small")  # every shard ends at the first document past 50 ids
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokens.write_shards(docs, at, f.read(), shard_ids=50)
+    assert spark.read.parquet(at).count() > 20 and sorted(map(tuple, tokens.read_shards(spark, at).collect()), key=lambda x: x[1]) == want
 
 
 def test_contamination(spark, docs, empty):
