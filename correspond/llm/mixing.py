@@ -41,34 +41,37 @@ def source_targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weight
 def mix(docs: DataFrame, keep: list[str], share: float = 1.5, epochs: int = 2, weights=WEIGHTS, seed: int = 7) -> DataFrame:
     """docs(doc_id, text, source, ...) -> columns `keep` and size, source_size, target, taken, finish, a row for each row of docs.
 
-    Each source is shuffled by a hash of doc_id and read up to `epochs` times; a copy
+    Each source is shuffled by a hash of doc_id and text and read up to `epochs` times; a copy
     of a document finishes at virtual time (the source's words up to its end, earlier
     rounds included) / target. Copies are put in ranges of that time, the ranges that
     fit the budget are taken whole, and the range at the limit is sorted and cut.
     `taken` is the words of the copies taken; `finish` the first copy's time.
 
-    A hot source is spread over hash bins with running totals of the bins, so no task
-    holds a source. Null text has size 0 and takes nothing; null source is a source;
-    equal documents are told apart by their order alone; a null doc_id is hashed like
-    any value; an empty table gives none; input columns of the result's names are
+    A hot source, and rows that share an id or have none, are spread over hash bins with running totals of
+    the bins, so no task holds a source; only rows that are equal in id and text share
+    a bin for certain. Null text has size 0 and takes nothing; texts of any length are
+    counted whole; null source is a source; equal documents are told apart by their
+    order alone; an empty table gives none; input columns of the result's names are
     replaced.
     """
     names = {"size", "source_size", "target", "taken", "finish"}
     keep = [c for c in keep if c not in names]
-    sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), word_count(F.col("text")).alias("size"))
-    small = materialise(sized.select("doc_id", "source", "size"), "sizes")
+    shuffled = F.xxhash64(F.lit(seed), "doc_id", "text")
+    sized = docs.select(*dict.fromkeys([*keep, "source"]), word_count(F.col("text")).alias("size"), shuffled.alias("_r"))
+    light = "text" not in keep  # then the rows themselves are written once and read again
+    small = materialise(sized if light else sized.select("source", "size", "_r"), "sizes")
     n = small.count()
     bins = max(1, -(-n // ROWS_A_BIN)) * 8
-    shuffled = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    bin_of = F.pmod(F.shiftright("_r", 20), F.lit(bins))
 
     def placed(df: DataFrame) -> DataFrame:
         """With the source's words before each document."""
-        df = df.withColumn("_r", shuffled).withColumn("_bin", F.pmod(F.shiftright("_r", 20), F.lit(bins)))
+        df = df.withColumn("_bin", bin_of)
         at = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_bin2"))
-        inside = Window.partitionBy("source", "_bin").orderBy("_r", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = Window.partitionBy("source", "_bin").orderBy("_r", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.join(offsets, at).withColumn("_end", F.col("_before") + F.sum("size").over(inside)).drop("_source", "_bin2", "_before", "_bin")
 
-    binned = small.groupBy("source", F.pmod(F.shiftright(shuffled, 20), F.lit(bins)).alias("bin")).agg(F.sum("size").alias("in_bin"))
+    binned = small.groupBy("source", bin_of.alias("bin")).agg(F.sum("size").alias("in_bin"))
     binned = materialise(binned, "bins")
     targets = source_targets(binned.groupBy("source").agg(F.sum("in_bin").alias("source_size")), share, epochs, weights)
     targets = materialise(targets, "targets").select(F.col("source").alias("_source"), "source_size", "target", F.col("sid").alias("_sid"))
@@ -92,7 +95,7 @@ def mix(docs: DataFrame, keep: list[str], share: float = 1.5, epochs: int = 2, w
         upto = Window.orderBy(*key, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         at_limit = copies.where(F.col("range") == limit[0]).select(F.struct(*key).alias("key"), (F.sum("size").over(upto) + limit[1]).alias("upto"))
         last = at_limit.where(F.col("upto") <= budget).agg(F.max("key")).first()[0]
-    out = placed(sized)
+    out = placed(small if light else sized)
 
     def is_taken(epoch: int) -> Column:
         time = finish(F.lit(epoch))

@@ -336,3 +336,17 @@ def test_codewords():
     for n in (2, 4, 6, 20):
         c = language.codewords(n)
         assert len({tuple(x) for x in c.tolist()}) == n
+
+
+def test_mix_rows_without_id(spark):
+    """Rows that share an id, or have none, are spread over the bins and reruns agree."""
+    rows = [(None if i % 2 else 7, " ".join(f"w{i}" for _ in range(1 + i % 50)), "a" if i % 3 else "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df, ["doc_id", "text", "source"])
+    again = mixing.mix(df.repartition(5), ["doc_id", "text", "source"])
+    a, b = (sorted((str(r.doc_id), r.text, r.taken) for r in x.collect()) for x in (got, again))
+    assert a == b and len(a) == 2000
+    for s in "ab":
+        own = got.where(F.col("source") == s)
+        target, taken = own.agg(F.first("target"), F.sum("taken")).first()
+        assert abs(target - taken) <= 100
