@@ -26,8 +26,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-#: Rows of two numbers that may be sent to every task: 64 MB or so.
-MAX_SENT = 4_000_000
+#: Rows of two or three numbers that may be sent to every task: 32 MB or so.
+MAX_SENT = 1_000_000
 
 
 def sent_if_small(df: DataFrame, most: int = MAX_SENT) -> DataFrame:

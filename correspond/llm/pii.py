@@ -307,7 +307,7 @@ def made_up_texts(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int
     return [maker.text(_PROSE * 2, 1.0, 1 / 3) for _ in range(n)]
 
 
-def train(x, y, epochs: int = 10, size: int = 150, rate: float = 0.03, seed: int = 3) -> dict:
+def train(x, y, epochs: int = 14, size: int = 150, rate: float = 0.03, seed: int = 3) -> dict:
     """Adam over shuffled batches, in float32."""
     m, r, step = {k: v.astype(np.float32) for k, v in new_model().items()}, np.random.default_rng(seed), 0
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))

@@ -78,8 +78,8 @@ def score(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def mixture_share(of_positive: np.ndarray, of_unlabelled: np.ndarray) -> float:
-    """Class prior without negatives: the smallest ratio of unlabelled to positive scores above a threshold that 5 % of the positives pass."""
-    least = np.quantile(of_positive, np.linspace(0.0, 0.95, 39))
+    """Class prior without negatives: the smallest ratio of unlabelled to positive scores above a threshold that a fifth of the positives pass."""
+    least = np.quantile(of_positive, np.linspace(0.0, 0.8, 33))
     ratios = [(of_unlabelled >= t).mean() / max(1e-9, (of_positive >= t).mean()) for t in least]
     return float(np.clip(min(ratios), 0.05, 0.99))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from correspond.llm.common import small_batches, table
-from correspond.llm.similar import WIDTH, similar_texts, with_keys
+from correspond.llm.similar import similar_texts, sketches, with_keys
 from correspond.operators.graph import components
 from correspond.operators.tables import Scratch
 
@@ -35,16 +35,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits((2 * ones > n), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id") -> DataFrame:
-    """docs(key, text) -> (key, fp long): the fingerprint's 64 bits as a signed number. Null text counts as empty."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, fp long): the fingerprint's 64 bits as a signed number. Null text counts as empty."""
 
     def of(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    kind = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())])
-    return small_batches(docs.select(key, F.col("text").cast("binary"))).mapInArrow(of, kind)
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    return small_batches(docs.select("doc_id", F.col("text").cast("binary"))).mapInArrow(of, kind)
 
 
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
@@ -208,13 +208,14 @@ def similar_classes(docs: DataFrame, radius: int = 3) -> DataFrame:
     """
     t = Scratch(docs.sparkSession, "classes")
     keyed = with_keys(docs)
-    fps = t.written(fingerprints(keyed, WIDTH, "_key").distinct(), "fingerprints")
+    known = t.written(sketches(keyed), "sketches")
+    fps = known.select("_key", "fp")
     first = t.written(fps.groupBy("fp").agg(F.min("_key").alias("_key")), "distinct")
     to = lambda c, k: first.select(F.col("fp").alias(c), F.col("_key").alias(k))
     close = close_links(first.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"}).join(to("x", "a"), "x").join(to("y", "b"), "y").select("a", "b")
     equal = fps.join(first.withColumnRenamed("_key", "a"), "fp").where("a <> _key").select("a", F.col("_key").alias("b"))
     candidates = t.written(close.unionByName(equal), "candidates")
-    groups = similar_texts(keyed.select("_key", "text"), candidates)
+    groups = similar_texts(keyed.select("_key", "text"), known, candidates)
     t.keep()
     return keyed.join(groups.select(F.col("node").alias("_key"), F.col("component").alias("_class")), "_key", "left").withColumn("_class", F.coalesce("_class", "_key"))
 

@@ -13,8 +13,8 @@ from correspond.operators.tables import Scratch
 #: Similarity as a fraction, in whole numbers so that no rounding decides.
 LEAST = (4, 5)
 WIDTH = 5
-#: Texts whose shingle counts order the prefixes. The order decides what a run costs, never what it finds.
-ORDERED_BY = 8_000
+#: Shingle counts of one text in ORDERED_BY (of LEAST_ORDERED texts at least), the HELD most frequent shingles, order the prefixes. The order decides what a run costs, never what it finds.
+ORDERED_BY, LEAST_ORDERED, HELD = 16, 8_000, 2_000_000
 #: Times that neighbours are compared and their links named before all other pairs are.
 ROUNDS = 3
 #: Partners that one task compares a text with in one go.
@@ -22,8 +22,8 @@ PARTNERS = 256
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
-def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The set of the word shingles of a UTF-8 text, as sorted 64-bit hashes; a shorter text is one shingle, and so is an empty one."""
+def hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """64-bit hashes of the word shingles of a UTF-8 text in order; a shorter text is one shingle, and so is an empty one."""
     words = (text or b"").lower().split()
     w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     h = np.full(max(1, len(w) - width + 1), min(len(w), width), np.uint64)
@@ -31,7 +31,55 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
         h += w[i : i + len(h)] * np.uint64(_ODD[i])
     for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         h = (h ^ (h >> np.uint64(33))) * np.uint64(by)
-    return np.unique(h ^ (h >> np.uint64(33)))
+    return h ^ (h >> np.uint64(33))
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The set of them, sorted."""
+    return np.unique(hashes(text, width))
+
+
+#: Bits of a sketch, as numbers of 64 bits.
+_WORDS = 16
+
+
+def sketch(h: np.ndarray) -> tuple[int, list[int]]:
+    """SimHash of shingle hashes, repeats counted (a bit that over half of them have); and of their set, a bit for each of 1,024 buckets: whether it holds an odd number.
+    Two sets differ in one shingle or more for each bit in which their sketches differ."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    odd = np.bincount((np.unique(h) >> np.uint64(54)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]), np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+
+
+SKETCH = [f"s{k}" for k in range(_WORDS)]
+
+
+def sketches(keyed: DataFrame) -> DataFrame:
+    """keyed(_key, text) -> (_key, fp, size, s0, ...), a row for each different text."""
+    names = ["_key", "fp", "size", *SKETCH]
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    h = hashes(text)
+                    fp, odd = sketch(h)
+                    rows.append((key, fp, len(np.unique(h)), *odd))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+    return small_batches(keyed.select("_key", F.col("text").cast("binary"))).mapInArrow(run, ", ".join(f"{n} long" for n in names)).dropDuplicates(["_key"])
+
+
+def _close(size_a: Column, size_b: Column, a: str, b: str) -> Column:
+    """Sketches (structs) do not rule out that sets of these sizes are similar: similar ones differ in no more than their sizes' sum times (1 - s) / (1 + s)."""
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+    return sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (size_a + size_b)
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -66,21 +114,25 @@ def _signed(parts) -> pa.Array:
     return pa.array(np.concatenate(parts).view(np.int64))
 
 
-def _frequent(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of some texts hold, and how many."""
+def _frequent(keyed: DataFrame, t: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more of some texts hold, the most frequent HELD or so, and how many; so that shingles of no more than some ORDERED_BY * 3 texts count as rare, whatever the number of texts."""
     n = keyed.select("_key").count()
-    some = keyed if n <= ORDERED_BY else keyed.where(F.pmod(F.xxhash64(F.lit(7), "_key"), F.lit(1 << 30)) < int((1 << 30) * ORDERED_BY / n))
-    rows = _by_text(some, lambda found: pa.RecordBatch.from_arrays([_signed([s for _, s in found])], ["h"]), "h long")
-    t = rows.groupBy("h").agg(F.count("*").cast("int").alias("n")).where("n > 2").toArrow()
-    h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
+    some = max(LEAST_ORDERED, n // ORDERED_BY)
+    drawn = keyed if n <= some else keyed.where(F.pmod(F.xxhash64(F.lit(7), "_key"), F.lit(1 << 30)) < int((1 << 30) * some / n))
+    rows = _by_text(drawn, lambda found: pa.RecordBatch.from_arrays([_signed([s for _, s in found])], ["h"]), "h long")
+    counts = t.written(rows.groupBy("h").agg(F.count("*").cast("int").alias("n")).where("n > 2"), "counts")
+    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over different counts, not shingles
+    least = counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(upto)).where(F.col("upto") <= HELD).agg(F.min("n")).first()[0]
+    held = counts.where(F.col("n") >= (least or 1 << 30)).toArrow()
+    h, n = held["h"].to_numpy().view(np.uint64), held["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def _prefixes(keyed: DataFrame) -> DataFrame:
+def _prefixes(keyed: DataFrame, t: Scratch) -> DataFrame:
     """(h, key, at): of each text so many of its shingles, the rarest first, that two similar texts have one of them in common."""
     num, den = LEAST
-    held = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed))
+    held = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed, t))
 
     def of(found):
         often, times = held.value
@@ -144,22 +196,26 @@ def confirmed(keyed: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFra
     return small_batches(rows).mapInArrow(compare, "a long, b long")
 
 
-def similar_texts(keyed: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def similar_texts(keyed: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """keyed(_key, text) -> (node, component) of the keys of texts that a chain of texts links to another, each like the next by LEAST or more.
 
     Every pair is found: similar sets have a shingle in common among the rarest of
     each, one more than may be missing. `candidates`(a, b) and pairs of neighbours
     under a shingle are compared first, in ROUNDS orders; then all pairs of such
     texts that these links have not brought together, so that a large group of near
-    copies gives no square of pairs. All are confirmed by whole sets of 64-bit shingle hashes.
+    copies gives no square of pairs. Pairs that sketches (`known`, or made here) do not rule out are
+    confirmed by whole sets of 64-bit shingle hashes.
     """
     t = Scratch(keyed.sparkSession, "similar")
+    known = t.written(sketches(keyed), "sketches") if known is None else known
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     under = Window.partitionBy("h").orderBy("key")
-    rows = _prefixes(keyed).withColumn("prev", F.lag("key").over(under)).where("prev is null or prev <> key")
+    rows = _prefixes(keyed, t).withColumn("prev", F.lag("key").over(under)).where("prev is null or prev <> key")
     rows = rows.withColumn("next", F.lead("key").over(under))
     shared = t.written(rows.where("prev is not null or next is not null").select("h", "key", "at"), "shared")
+    t.drop("counts")
     t.free_shuffles()
+    side = lambda k: known.select(F.col("_key").alias(k), F.col("size").alias(f"size_{k}"), F.struct(*SKETCH).alias(f"sketch_{k}"))
     met = links = None
     for turn in range(ROUNDS + 1):
         if turn == 0:
@@ -170,11 +226,16 @@ def similar_texts(keyed: DataFrame, candidates: DataFrame | None = None) -> Data
             before = F.array(*[F.lag(F.struct("key", "at", "of"), k).over(mixed) for k in (1, 2, 3)])
             near = shared.select("key", "at", "of", before.alias("before")).select("key", "at", "of", F.explode("before").alias("o")).where("o.of <> of")
         else:
-            near = shared.join(shared.select("h", F.struct("key", "at", "of").alias("o")), "h").where("o.of < of")
-        near = near.where(_can_be("at", "o.at")).select(*ordered("o.key", "key"))
+            whole = shared.join(known.select(F.col("_key").alias("key"), F.struct(*SKETCH).alias("sketch")), "key")
+            other = whole.select("h", F.struct("key", "at", "of", "sketch").alias("o"))
+            near = whole.join(other, (whole["h"] == other["h"]) & (F.col("o.of") < F.col("of")) & _can_be("at", "o.at") & _close(_size("at"), _size("o.at"), "sketch", "o.sketch"))
+        near = (near.where(_can_be("at", "o.at")) if turn < ROUNDS else near).select(*ordered("o.key", "key"))
         if turn == 0 and candidates is not None:
             near = near.unionByName(candidates.select(*ordered("a", "b")))
-        near = t.written(near.distinct() if turn == 0 else near.distinct().join(met, ["a", "b"], "left_anti"), f"near{turn}")
+        near = near.distinct() if turn == 0 else near.distinct().join(met, ["a", "b"], "left_anti")
+        if turn < ROUNDS:
+            near = near.join(side("a"), "a").join(side("b"), "b").where(_close(F.col("size_a"), F.col("size_b"), "sketch_a", "sketch_b")).select("a", "b")
+        near = t.written(near, f"near{turn}")
         t.free_shuffles()
         found = t.written(confirmed(keyed, near), f"links{turn}")
         t.free_shuffles()

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from conftest import SF
 
@@ -66,10 +67,22 @@ def test_edited_copies_of_the_table(spark):
 def test_order_decides_nothing(spark, texts, monkeypatch):
     docs = similar.with_keys(spark.createDataFrame([(i, t, "a", "s", 0) for i, t in enumerate(texts)], SCHEMA))
     want = {tuple(r) for r in similar.similar_texts(docs).collect()}
-    monkeypatch.setattr(similar, "ORDERED_BY", 3)
+    for name, value in (("LEAST_ORDERED", 3), ("HELD", 2), ("ROUNDS", 1), ("PARTNERS", 2)):
+        monkeypatch.setattr(similar, name, value)
     assert {tuple(r) for r in similar.similar_texts(docs).collect()} == want
 
 
+def test_sketches_rule_out_no_similar_pair():
+    """Bits in which sketches differ are no more than shingles in which the sets do."""
+    r = random.Random(7)
+    for n in (5, 40, 300, 3000):
+        base = [f"w{r.randrange(9999)}" for _ in range(n)]
+        for k in (0, 1, 3, n // 10, n // 2, n):
+            x, y = (similar.hashes(t.encode()) for t in (" ".join(base), edited(r, base, k)))
+            (_, a), (_, b) = similar.sketch(x), similar.sketch(y)
+            assert sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(a, b, strict=True)) <= len(np.setxor1d(x, y))
+
+
 def test_repeated_and_null_ids(spark):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
     near = a + " more"
