@@ -9,7 +9,7 @@ ZERO_WIDTH = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}\\x{FEFF}]"
 SUPPORTED = ("pdf", "docx", "hwp", "pptx", "xlsx", "csv", "txt")
 MAX_ATTACHMENT = 10 * 1024 * 1024
 #: Platforms of known hosts. Fixed values.
-PLATFORMS = {"imap.naver.com": "naver", "imap.daum.net": "daum", "imap.mail.me.com": "icloud", "imap.kakao.com": "kakao", "imap.mail.yahoo.com": "yahoo"}
+PLATFORMS = {"imap.gmail.com": "gmail", "imap.naver.com": "naver", "imap.daum.net": "daum", "imap.mail.me.com": "icloud", "imap.kakao.com": "kakao", "imap.mail.yahoo.com": "yahoo"}
 #: Words in the local part of addresses that no person has. Fixed values.
 GENERIC = ("noreply", "no-reply", "no.reply", "donotreply", "info", "support", "admin", "hello", "contact", "mail", "newsletter", "update", "service", "team", "automated", "mailer", "postmaster", "alert", "recap", "recommend", "suggestion", "insight", "security", "comment", "digest", "marketing", "promo", "bot", "notification")
 #: Names under which brands write. Fixed values.
@@ -75,6 +75,31 @@ def brand(mail: Column, name: Column) -> Column:
     return local.rlike("|".join(w.replace(".", r"\.") for w in GENERIC)) | F.coalesce(F.lower(F.trim(name)).isin(*BRANDS), F.lit(False))
 
 
+def shown_name(mail: Column, name: Column) -> Column:
+    """Of a brand or a box that no person writes from, the label before the last of the domain (the first of a domain of two); of a person the name, else the local part."""
+    named = F.nullif(F.trim(name), F.lit(""))
+    labels = F.split(F.split_part(mail, F.lit("@"), F.lit(2)), r"\.")
+    label = F.get(labels, F.when(F.size(labels) >= 3, F.size(labels) - 2).otherwise(0))
+    local = F.nullif(F.split_part(mail, F.lit("@"), F.lit(1)), F.lit(""))
+    unknown = F.lit("(알 수 없음)")
+    return F.when(F.coalesce(mail, F.lit("")) == "", F.coalesce(named, unknown)).when(brand(mail, name), label).otherwise(F.coalesce(named, local, unknown))
+
+
+def is_reply(subject: Column) -> Column:
+    """Whether a subject begins with `Re:`, in any case."""
+    return F.coalesce(subject.rlike("^(?i)re:"), F.lit(False))
+
+
+def counterparty(sender: Column, receiver: Column, owner: Column) -> Column:
+    """The address at the other end: the receiver's of what the owner sent, else the sender's."""
+    return F.when(address(sender) == F.lower(owner), address(receiver)).otherwise(address(sender))
+
+
+def block_time(raw: Column) -> Column:
+    """Of `YYYY-MM-DD HH:MM:SS` (mails) or `YYYY-MM-DD` (chats); null of anything else."""
+    return F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(raw, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+
+
 def relation_tag(text: Column) -> tuple[Column, Column]:
     """`[관계: X] rest` -> X (null without one), rest."""
     return F.nullif(F.trim(F.regexp_extract(text, r"^\[관계:\s*([^\]]+)\]", 1)), F.lit("")), F.trim(F.regexp_replace(text, r"^\[관계:\s*[^\]]+\]\s*", ""))

@@ -52,27 +52,42 @@ def tier(percent: Column) -> Column:
     return F.when(percent >= 90, "closest").when(percent >= 70, "close").when(percent >= 40, "regular").when(percent >= 15, "distant").otherwise("rare")
 
 
+def one_dimensional_means(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Centres of at most k groups of ascending different values, by Lloyd's rounds from values at even places among them; equal ones (to three digits) are one."""
+    n = min(k, len(values))
+    places = np.floor(np.arange(n) * (len(values) - 1) / max(1, n - 1) + 0.5).astype(int)
+    centres = values[places].astype(float)
+    for _ in range(100):
+        own = np.abs(values[:, None] - centres[None]).argmin(axis=1)
+        size = np.bincount(own, weights, n)
+        new = np.where(size > 0, np.bincount(own, weights * values, n) / np.maximum(size, 1), centres)
+        moved = (np.abs(new - centres) > 1e-9).any()
+        centres = new
+        if not moved:
+            break
+    return np.unique(np.floor(centres * 1000 + 0.5) / 1000)
+
+
 def bands(scores: DataFrame, k: int = 5) -> DataFrame:
     """One-dimensional k-means of rounded percents within each account: (account, person, percent, band), band 1 the lowest.
 
     Only the histogram of at most 101 percents reaches the helper; persons get their
-    band by an equi-join on the percent.
+    band by an equi-join on the percent. A percent half way between two centres is in the upper band.
     """
 
     def centres(pdf):
         import pandas as pd
 
-        x, w = pdf["percent"].to_numpy(float), pdf["n"].to_numpy(float)
-        c = np.linspace(x.min(), x.max(), min(k, len(x)))
-        for _ in range(100):
-            own = np.abs(x[:, None] - c[None]).argmin(axis=1)
-            new = np.array([np.average(x[own == j], weights=w[own == j]) if (own == j).any() else c[j] for j in range(len(c))])
-            if np.allclose(new, c):
-                break
-            c = new
-        c = np.unique(np.round(c, 3))
-        return pd.DataFrame({"account": pdf["account"], "percent": pdf["percent"], "band": np.searchsorted((c[1:] + c[:-1]) / 2, x, "right") + 1})
-
-    told = scores.select("account", "person", F.round(100 * F.col("eis")).cast("int").alias("percent"))
+        order = pdf.sort_values("percent")
+        c = one_dimensional_means(order["percent"].to_numpy(float), order["n"].to_numpy(float), k)
+        return pd.DataFrame({"account": pdf["account"], "percent": pdf["percent"], "band": np.searchsorted((c[1:] + c[:-1]) / 2, pdf["percent"].to_numpy(float), "right") + 1})
+
+    told = scores.select("account", "person", F.floor(100 * F.col("eis") + 0.5).cast("int").alias("percent"))
     found = told.groupBy("account", "percent").agg(F.count("*").alias("n")).groupBy("account").applyInPandas(centres, "account string, percent int, band int")
     return told.join(found, ["account", "percent"]).select("account", "person", "percent", "band")
+
+
+def band_floors(banded: DataFrame) -> DataFrame:
+    """(account, person, percent, band) -> (account, band, n, floor, floor_above): the lowest percent of each band and of the next higher one of the account."""
+    floors = banded.groupBy("account", "band").agg(F.count("*").alias("n"), F.min("percent").alias("floor"))
+    return floors.withColumn("floor_above", F.lead("floor").over(Window.partitionBy("account").orderBy("band")))

@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from correspond.operators.series import running_total
 from correspond.operators.tables import written
 
 #: Vectors of queries that are sent to each task at once.
@@ -120,14 +121,31 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFram
 
 def within_budget(rows: DataFrame, keys: list[str], tokens: str, budget: int, *order) -> DataFrame:
     """The first rows of each key whose tokens fit a budget together."""
-    upto = F.sum(tokens).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("upto", upto).where(F.col("upto") <= budget)
+    return running_total(rows, keys, tokens, "upto", *order).where(F.col("upto") <= budget)
 
 
 def batches(rows: DataFrame, keys: list[str], tokens: str, budget: int, *order) -> DataFrame:
     """Numbers runs of rows so that a run has about `budget` tokens."""
-    upto = F.sum(tokens).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("batch", F.floor((upto - F.col(tokens)) / budget).cast("int"))
+    return running_total(rows, keys, tokens, "_upto", *order).withColumn("batch", F.floor((F.col("_upto") - F.col(tokens)) / budget).cast("int")).drop("_upto")
+
+
+def best_within_budget(points: DataFrame, keys: list[str], score: str, tokens: str, budget: int, *order) -> DataFrame:
+    """points(keys, score, tokens, ...) -> those that fit the budget, the highest score first, with rank: what a global answer is reduced from. Points of score 0 or none are left out."""
+    kept = within_budget(points.where(F.col(score) > 0), keys, tokens, budget, F.desc(score), *order)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("upto", *order)))
+
+
+def top_relationships(found: DataFrame, links: DataFrame, k: int = 30) -> DataFrame:
+    """found(query_id, id, rank) of entities, links(source, target, weight, ...) -> (query_id, source, target, weight, rank): the k heaviest links with an end among a query's entities, each once.
+
+    Each entity hands a query its k heaviest links at most, so no more than entities x k meet in a query's group.
+    """
+    ends = links.select(F.explode(F.array("source", "target")).alias("id"), "source", "target", "weight").distinct()
+    heavy = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "source", "target"))
+    wanted = ends.join(found.select("id").distinct(), "id", "left_semi").withColumn("_k", heavy).where(F.col("_k") <= k)
+    met = found.select("query_id", "id").join(wanted, "id").select("query_id", "source", "target", "weight").distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "source", "target"))
+    return met.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 CITED = r"ID:\s*(\S+)"
@@ -150,21 +168,30 @@ def citations(answers: DataFrame, columns=("answer", "context")) -> DataFrame:
 
 
 def resolve(cited: DataFrame, mails: DataFrame) -> DataFrame:
-    """cited(cite_id, cited), mails(mail_id, account_rank, seq) -> the mail meant: same id, else same local part, else one starts with the other (from 8 characters).
+    """cited(cite_id, cited), mails(mail_id, account_rank, seq) -> the mail meant: same id, else same local part, else one starts with the other (cited ids of 8 characters or more).
 
-    Three equi-joins; only what a tier leaves open goes to the next, and the last
-    meets on the first 8 characters.
+    Equi-joins all: only what a tier leaves open goes to the next. For the last, cited
+    ids are cut to the lengths that mail ids have, and mail ids to those that open
+    cited ids have, and what is left meets on the whole of it; so a beginning that
+    all ids share costs nothing. Different cited ids are resolved once.
     """
     ids = mails.select("mail_id", "account_rank", "seq", F.lower("mail_id").alias("low"))
     ids = ids.withColumn("local", F.split_part("low", F.lit("@"), F.lit(1)))
-    asked = cited.select("cite_id", F.lower("cited").alias("c")).withColumn("c_local", F.split_part("c", F.lit("@"), F.lit(1)))
-    first = lambda rows: rows.groupBy("cite_id").agg(F.min_by("mail_id", F.struct("account_rank", "seq")).alias("mail_id"))
-    exact = first(asked.join(ids, F.col("c") == F.col("low"))).withColumn("tier", F.lit(1))
-    open1 = asked.join(exact, "cite_id", "left_anti")
-    local = first(open1.join(ids, F.col("c_local") == F.col("local"))).withColumn("tier", F.lit(2))
-    open2 = open1.join(local, "cite_id", "left_anti").where("char_length(c) >= 8")
-    prefix = first(open2.join(ids, (F.substring("c", 1, 8) == F.substring("low", 1, 8)) & (F.col("c").startswith(F.col("low")) | F.col("low").startswith(F.col("c"))))).withColumn("tier", F.lit(3))
-    return exact.unionByName(local).unionByName(prefix)
+    asked = cited.select("cite_id", F.lower("cited").alias("c"))
+    terms = asked.select("c").distinct().withColumn("c_local", F.split_part("c", F.lit("@"), F.lit(1)))
+    meant = lambda rows: rows.groupBy("c").agg(F.min_by("mail_id", F.struct("account_rank", "seq")).alias("mail_id"))
+    exact = meant(terms.join(ids, F.col("c") == F.col("low"))).withColumn("tier", F.lit(1))
+    open1 = terms.join(exact, "c", "left_anti")
+    local = meant(open1.join(ids, F.col("c_local") == F.col("local"))).withColumn("tier", F.lit(2))
+    open2 = written(open1.join(local, "c", "left_anti").where("char_length(c) >= 8").select("c"), "open")
+    lengths = lambda rows, c: rows.select(F.char_length(c).alias("n")).distinct().agg(F.array_sort(F.collect_list("n"))).first()[0]
+    cuts = lambda c, of: F.explode(F.filter(F.array(*map(F.lit, of)).cast("array<int>"), lambda n: n <= F.char_length(c)))
+    key = lambda c: F.substring(c, F.lit(1), F.col("n"))
+    longer = open2.select("c", cuts("c", lengths(ids, "low")).alias("n")).select("c", key("c").alias("low")).join(ids, "low")
+    shorter = ids.select("mail_id", "account_rank", "seq", "low", cuts("low", lengths(open2, "c")).alias("n")).withColumn("c", key("low")).join(open2, "c")
+    names = ["c", "mail_id", "account_rank", "seq"]
+    prefix = meant(longer.select(names).unionByName(shorter.select(names))).withColumn("tier", F.lit(3))
+    return asked.join(exact.unionByName(local).unionByName(prefix), "c").select("cite_id", "mail_id", "tier")
 
 
 def correct_senders(answers: DataFrame, mails: DataFrame, field: str = "발신인") -> DataFrame:

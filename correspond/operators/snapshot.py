@@ -37,6 +37,9 @@ def ledger_add(ledger: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return ledger.unionByName(done.join(ledger, keys, "left_anti").dropDuplicates(keys))
 
 
-def graph_compose(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of two node or edge tables; each attribute of the later one wins where it has a value."""
+def graph_compose(base: DataFrame, delta: DataFrame, keys: list[str], undirected: bool = False) -> DataFrame:
+    """Union of two node or edge tables; each attribute of the later one wins where it has a value. With undirected, the two keys are one pair in either order."""
+    if undirected:
+        a, b = keys
+        base, delta = (x.withColumns({a: F.least(a, b), b: F.greatest(a, b)}) for x in (base, delta))
     return upsert(base, delta, keys, tuple(c for c in base.columns if c not in keys))

@@ -151,6 +151,17 @@ def graph_compose(spark, d):
     return snapshot.graph_compose(base, delta, ["id"])
 
 
+@query("""WITH e AS (SELECT l_suppkey AS a, l_partkey % 50 AS b, min(l_quantity) AS w, max(l_shipmode_) AS m, min(l_orderkey) AS k FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem) GROUP BY 1, 2),
+o AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w, max(m) AS m FROM e WHERE k % 2 = 0 AND a <= b GROUP BY 1, 2), n AS (SELECT b AS a, a AS b, CASE WHEN k % 3 = 0 THEN NULL ELSE w + 1 END AS w, lower(m) AS m FROM e WHERE a <= b AND k % 5 <> 0)
+SELECT least(coalesce(o.a, n.a), coalesce(o.b, n.b)) AS source, greatest(coalesce(o.a, n.a), coalesce(o.b, n.b)) AS target, coalesce(n.w, o.w) AS weight, coalesce(n.m, o.m) AS mode FROM o FULL JOIN n ON o.a = n.b AND o.b = n.a""")
+def graph_compose_edges(spark, d):
+    """Edges and later ones that name their ends the other way round."""
+    e = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 50).alias("b")).agg(F.min("l_quantity").alias("w"), F.max("l_returnflag").alias("m"), F.min("l_orderkey").alias("k")).where("a <= b")
+    base = e.where("k % 2 = 0").select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("w").alias("weight"), F.col("m").alias("mode"))
+    delta = e.where("k % 5 <> 0").select(F.col("b").alias("source"), F.col("a").alias("target"), F.when(F.col("k") % 3 != 0, F.col("w") + 1).alias("weight"), F.lower("m").alias("mode"))
+    return snapshot.graph_compose(base, delta, ["source", "target"], undirected=True)
+
+
 @query("SELECT l_suppkey AS contact, count(*) FILTER (l_returnflag = 'A') AS sent, count(*) FILTER (l_returnflag = 'R') AS received, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'O') AS casual FROM lineitem WHERE l_suppkey <> 0 GROUP BY 1")
 def contact_stats_graph(spark, d):
     """Contacts by the role in an edge's target, in one pass; the owner (0) is left out."""

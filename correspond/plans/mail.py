@@ -4,8 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
-from correspond.operators import affinity, keywords, series, snapshot
+from correspond.operators import affinity, blocks, facts, keywords, series, snapshot
 from correspond.plans.base import MAIL, WORDS, mail, query, read, words
+from correspond.sources import export
 
 AS_OF = "2001-12-31"
 _TONE = "(CASE kg_tone WHEN 'casual' THEN 1.0::DOUBLE WHEN 'transactional' THEN 0.5 WHEN 'formal' THEN 0.2 WHEN 'notification' THEN 0.1 WHEN 'alert' THEN 0.1 ELSE 0.0 END)"
@@ -58,9 +59,15 @@ def affinity_share(spark, d):
 
 @query()
 def affinity_bands(spark, d):
+    """Iterative, so beyond SQL; held against a plain version in the tests."""
     return affinity.bands(_scores(spark, d))
 
 
+@query()
+def affinity_band_floors(spark, d):
+    return affinity.band_floors(affinity.bands(_scores(spark, d)))
+
+
 @query(f"WITH {_eis()} SELECT account, person, row_number() OVER (PARTITION BY account ORDER BY n DESC, person) AS by_total, row_number() OVER (PARTITION BY account ORDER BY sent DESC, person) AS by_sent, row_number() OVER (PARTITION BY account ORDER BY received DESC, person) AS by_received, row_number() OVER (PARTITION BY account ORDER BY person) AS by_name FROM eis")
 def people_sorted(spark, d):
     place = lambda *order: F.row_number().over(Window.partitionBy("account").orderBy(*order))
@@ -357,18 +364,109 @@ def keyword_rescan(spark, d):
     return keywords.occurrences(read(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), known).select("doc_id", "keyword")
 
 
-@query()
+@query(f"""WITH {WORDS}, c AS (SELECT account, keyword, person, strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM words WHERE person IS NOT NULL GROUP BY 1, 2, 3, 4),
+p AS (SELECT account, keyword, person, '{{' || string_agg('"' || day || '":' || n, ',' ORDER BY day) || '}}' AS days FROM c GROUP BY 1, 2, 3)
+SELECT account, keyword, '{{' || string_agg('"' || person || '":' || days, ',' ORDER BY person) || '}}' AS nested FROM p GROUP BY 1, 2""")
 def keyword_nested_export(spark, d):
-    """keyword -> person -> day -> count as JSON, a row a keyword and account; the long table is the primary form."""
-    daily = words(spark, d).groupBy("account", "keyword", "person", "day").agg(F.count("*").alias("n"))
-    by_person = daily.groupBy("account", "keyword", "person").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("day").cast("string"), "n")))).alias("days"))
-    return by_person.groupBy("account", "keyword").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("person", F.to_json("days")))))).alias("nested"))
+    """keyword -> person -> day -> count as nested JSON objects, a row a keyword and account; the long table is the primary form."""
+    return export.nested_counts(words(spark, d), ["account", "keyword"], "person", "day")
+
+
+_SAID = "'Order ' || seq || ' | ' || person_name || ' <' || person || '>'"
 
 
-@query(f"""WITH {MAIL}, u AS (SELECT account, person, mail_date::DATE AS day, seq, 'Order ' || seq || ' of ' || person_name AS text, unnest([{{'unit': 'month', 'period': strftime(mail_date, '%Y-%m')}}, {{'unit': 'year', 'period': strftime(mail_date, '%Y')}}]) AS u FROM mail),
-b AS (SELECT account, u.unit AS unit, u.period AS period, day, seq, person, left(text, 20) AS text FROM u),
-k AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY account, unit, period ORDER BY day, seq ROWS UNBOUNDED PRECEDING) AS upto FROM b)
-SELECT account, unit, period, count(*) AS n_items, string_agg(text, chr(10) ORDER BY day, seq) AS text, array_to_string(list_sort(list_distinct(list(person))), ',') AS contacts FROM k WHERE upto <= 2000 GROUP BY 1, 2, 3""")
+def _items(spark, d):
+    text = F.format_string("Order %d | %s <%s>", "seq", "person_name", "person")
+    return mail(spark, d, replies=False).select("account", F.to_date("mail_date").alias("day"), "seq", F.col("person").alias("who"), text.alias("text"))
+
+
+_UNITS = "unnest([{'unit': 'month', 'period': strftime(mail_date, '%Y-%m')}, {'unit': 'year', 'period': strftime(mail_date, '%Y')}]) AS u"
+
+
+@query(f"""WITH {MAIL}, u AS (SELECT account, person, mail_date::DATE AS day, seq, left({_SAID}, 500) AS text, {_UNITS} FROM mail),
+k AS (SELECT account, u.unit AS unit, u.period AS period, day, seq, person, text, sum(length(text) + 1) OVER (PARTITION BY account, u.unit, u.period ORDER BY day, seq ROWS UNBOUNDED PRECEDING) AS upto FROM u)
+SELECT account, unit, period, ((upto - length(text) - 1) // 20000)::INTEGER AS part, count(*) AS n_items, string_agg(text, chr(10) ORDER BY day, seq) AS text, array_to_string(list_sort(list_distinct(list(person))), ',') AS contacts FROM k GROUP BY 1, 2, 3, 4""")
 def mail_period_digest(spark, d):
-    m = mail(spark, d, replies=False).select("account", F.to_date("mail_date").alias("day"), "seq", F.col("person").alias("who"), F.format_string("Order %d of %s", "seq", "person_name").alias("text"))
-    return series.first_part(series.digest(m, ["account"], 20, 2000), ["account"]).withColumn("contacts", F.array_join("contacts", ","))
+    """All mails of each month and year, subject and sender first, in parts of some 20,000 characters."""
+    return series.digest(_items(spark, d), ["account"], 500, 20_000).withColumn("contacts", F.array_join("contacts", ","))
+
+
+@query(f"WITH {MAIL}, u AS (SELECT account, person, {_UNITS} FROM mail) SELECT account, u.unit AS unit, u.period AS period, count(*) AS n_items, array_to_string(list_sort(list_distinct(list(person))), ',') AS contacts FROM u GROUP BY 1, 2, 3")
+def mail_period_contacts(spark, d):
+    return series.period_contacts(_items(spark, d), ["account"]).withColumn("contacts", F.array_join("contacts", ","))
+
+
+@query(f"""WITH {MAIL}, s AS (SELECT account, min(mail_date)::DATE AS a, max(mail_date)::DATE AS b FROM mail GROUP BY 1),
+t AS (SELECT account, a, b, unnest(list_distinct(list_concat([a, b], generate_series(date_trunc('month', a), b, CASE WHEN date_diff('day', a, b) / 30.0 > 30 THEN INTERVAL 6 MONTH ELSE INTERVAL 3 MONTH END)::DATE[]))) AS t FROM s)
+SELECT account, row_number() OVER (PARTITION BY account ORDER BY t) AS place, t::DATE AS tick FROM t WHERE t >= a""")
+def timeline_ticks(spark, d):
+    """Calendar ticks of each account's time line."""
+    spans = mail(spark, d, replies=False).groupBy("account").agg(F.to_date(F.min("mail_date")).alias("first"), F.to_date(F.max("mail_date")).alias("last"))
+    return series.ticks(spans).select("account", F.posexplode("ticks").alias("place", "tick")).withColumn("place", F.col("place") + 1)
+
+
+_BOX = """(SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'No-Reply' || c_custkey || '@mail.shop' || c_nationkey || '.com' WHEN 1 THEN 'news' || c_custkey || '@shop.com' WHEN 2 THEN 'newsletter@shop' || c_nationkey || '.com' WHEN 3 THEN '' ELSE 'c' || c_custkey || '@x.org' END AS mail,
+CASE c_custkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN ' GitHub ' ELSE c_name END AS name FROM customer)"""
+
+
+@query(f"""WITH b AS {_BOX}, f AS (SELECT *, nullif(trim(name), '') AS n, string_split(split_part(mail, '@', 2), '.') AS l, regexp_matches(lower(split_part(mail, '@', 1)), '{'|'.join(w.replace('.', '[.]') for w in fn.GENERIC)}') OR lower(trim(name)) IN ({', '.join(f"'{b}'" for b in fn.BRANDS)}) AS brand FROM b)
+SELECT id, CASE WHEN mail = '' THEN coalesce(n, '(알 수 없음)') WHEN brand THEN l[CASE WHEN len(l) >= 3 THEN len(l) - 1 ELSE 1 END] ELSE coalesce(n, split_part(mail, '@', 1)) END AS shown FROM f""")
+def display_names(spark, d):
+    """Names as shown: of brands by domain, of persons by name or local part."""
+    c, key = read(spark, d, "customer"), F.col("c_custkey")
+    box = F.when(key % 5 == 0, F.format_string("No-Reply%d@mail.shop%d.com", key, "c_nationkey")).when(key % 5 == 1, F.format_string("news%d@shop.com", key)).when(key % 5 == 2, F.format_string("newsletter@shop%d.com", "c_nationkey")).when(key % 5 == 3, "").otherwise(F.format_string("c%d@x.org", key))
+    name = F.when(key % 7 == 0, " ").when(key % 7 == 1, " GitHub ").otherwise(F.col("c_name"))
+    return c.select(key.alias("id"), fn.shown_name(box, name).alias("shown"))
+
+
+# --- facts -------------------------------------------------------------------------
+
+@query(f"""WITH {MAIL}, raw AS (SELECT m.*, seq % 3 = 0 AS replies, CASE WHEN direction = 'sent' THEN account ELSE person_name || ' <' || person || '>' END AS sender, CASE WHEN direction = 'sent' THEN person_name || ' <' || person || '>' ELSE account END AS receiver,
+  CASE WHEN direction = 'sent' THEN account ELSE person END AS s FROM mail m),
+p AS (SELECT *, lag(s) OVER w AS q_s, lag(mail_date) OVER w AS q_d FROM raw WINDOW w AS (PARTITION BY account ORDER BY seq)),
+asked AS (SELECT account, s, mail_date, max(seq) AS seq FROM raw GROUP BY 1, 2, 3)
+SELECT p.account, p.mail_id, CASE WHEN p.folder = 'folder3' THEN 'UNKNOWN' ELSE p.folder END AS folder, p.mail_date, p.sender, p.receiver, p.direction, p.person AS counterparty, p.replies AS is_reply,
+  CASE WHEN p.seq % 2 = 0 THEN p.kg_tone END AS kg_tone, CASE WHEN p.replies AND asked.seq IS NOT NULL THEN 'm' || asked.seq || '@example.com' END AS reply_to,
+  CASE WHEN p.replies AND asked.seq IS NOT NULL THEN round(date_diff('second', p.q_d, p.mail_date) / 3600.0::DOUBLE, 2) END AS reply_elapsed_hours
+FROM p LEFT JOIN asked ON p.replies AND asked.account = p.account AND asked.s = p.q_s AND asked.mail_date = p.q_d""")
+def mail_fact(spark, d):
+    """The mail fact from files of blocks: parsed, each id once, with direction, folder, tone by the graph's entities, and replies linked by the header that they quote.
+
+    Every third mail answers the one before it in its account and quotes its time and sender.
+    """
+    m = mail(spark, d, replies=False)
+    received = F.col("direction") == "received"
+    person = F.concat("person_name", F.lit(" <"), "person", F.lit(">"))
+    sender, receiver = F.when(received, person).otherwise(F.col("account")), F.when(received, F.col("account")).otherwise(person)
+    before = lambda c: F.lag(c).over(Window.partitionBy("account").orderBy("seq"))
+    own = F.when(received, F.col("person")).otherwise(F.col("account"))
+    rows = m.withColumns({"q_s": before(own), "q_d": before("mail_date")})
+    at, hour = F.col("q_d"), F.hour("q_d")
+    quote = F.format_string("\n%d년 %d월 %d일 (수) %s %d:%02d, Name <%s>님이 작성:", F.year(at), F.month(at), F.dayofmonth(at), F.when(hour < 12, "오전").otherwise("오후"), F.when(hour % 12 == 0, 12).otherwise(hour % 12), F.minute(at), "q_s")
+    replies = F.col("seq") % 3 == 0
+    raw = rows.select(
+        "account", "seq", "mail_id", F.when(replies, F.format_string("RE: order %d", "seq")).otherwise(F.format_string("About Re: %d", "seq")).alias("subject"), F.when(received, "수신").otherwise("발신").alias("direction_raw"),
+        F.date_format("mail_date", "yyyy-MM-dd HH:mm:ss").alias("date_raw"), sender.alias("sender"), receiver.alias("receiver"), F.when(F.col("folder") != "folder3", F.col("folder")).alias("folder"),
+        F.concat(F.lit("Hello."), F.coalesce(quote, F.lit(""))).alias("body"),
+    )
+    entities = m.where("seq % 2 = 0").select("account", F.upper("mail_id").alias("title"), F.lit("Email").alias("type"), F.concat(F.lit("Subject: x | Tone: "), F.initcap("kg_tone")).alias("description"))
+    text = raw.select("account", "seq", blocks.render(raw).alias("text"))
+    return facts.mail_fact(text, entities).select("account", "mail_id", "folder", "mail_date", "sender", "receiver", "direction", "counterparty", "is_reply", "kg_tone", "reply_to", "reply_elapsed_hours")
+
+
+@query(f"WITH {WORDS}, k AS (SELECT account, keyword FROM words GROUP BY 1, 2 HAVING count(*) >= 2), p AS (SELECT source AS person FROM documents GROUP BY 1 HAVING count(*) >= 2) SELECT account, keyword, person, day, count(*) AS daily_count FROM words JOIN k USING (account, keyword) WHERE person IN (SELECT person FROM p) GROUP BY 1, 2, 3, 4")
+def mail_keyword_fact(spark, d):
+    """Keywords that an account has twice or more, by known person and day."""
+    persons = read(spark, d, "documents").groupBy(F.col("source").alias("person")).agg(F.count("*").alias("n")).where("n >= 2").select("person")
+    return facts.keyword_fact(words(spark, d), persons)
+
+
+@query(f"""WITH {MAIL}, c AS ({_CONTACTS} GROUP BY 1, 2) SELECT account, contact, sent, received, friendly, name, CASE WHEN length(contact) % 2 = 0 THEN 'writes to ' || account END AS description, CASE WHEN length(contact) % 3 = 0 THEN 'old' WHEN length(contact) % 2 = 0 THEN 'new' END AS relation FROM c""")
+def person_fact(spark, d):
+    """Contact counts joined with profiles and merged into the stored persons, whose relation stays where the new profile has none."""
+    m = mail(spark, d, replies=False)
+    contacts = _contacts(m)
+    size = F.char_length("contact")
+    profiles = contacts.where(size % 2 == 0).select("account", "contact", F.concat(F.lit("writes to "), "account").alias("description"), F.when(size % 3 != 0, "new").alias("relation"))
+    stored = contacts.where(size % 3 == 0).select("account", "contact", F.lit(0).cast("long").alias("sent"), F.lit(0).cast("long").alias("received"), F.lit(0).cast("long").alias("friendly"), F.lit("?").alias("name"), F.lit(None).cast("string").alias("description"), F.lit("old").alias("relation"))
+    return facts.person_fact(contacts, profiles, stored)

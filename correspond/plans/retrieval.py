@@ -41,6 +41,26 @@ def vector_topk(spark, d):
     return retrieval.vector_topk(v, q).withColumn("similarity", F.round("similarity", 6)).select("query_id", "id", "similarity", "rank")
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+f AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS r FROM s) WHERE r <= 30),
+l AS (SELECT l_suppkey AS source, l_partkey % 500 AS target, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2),
+m AS (SELECT DISTINCT query_id, source, target, weight FROM f JOIN l ON id = source OR id = target),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, source, target) AS rank FROM m) SELECT query_id, source, target, weight, rank FROM k WHERE rank <= 30""")
+def relationship_topk(spark, d):
+    """The heaviest links around the nearest entities of each query."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = retrieval.vector_topk(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"))
+    links = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 500).alias("target")).agg(F.sum("l_quantity").alias("weight"))
+    return retrieval.top_relationships(found, links)
+
+
+@query("WITH p AS (SELECT source, doc_id, n_chars, (doc_id * 7 % 101) AS score FROM documents), u AS (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM p WHERE score > 0) SELECT source, doc_id, score, upto, row_number() OVER (PARTITION BY source ORDER BY upto, doc_id) AS rank FROM u WHERE upto <= 20000")
+def global_reduce(spark, d):
+    """Points of partial answers by score, as many as a budget holds."""
+    points = read(spark, d, "documents").select("source", "doc_id", "n_chars", (F.col("doc_id") * 7 % 101).alias("score"))
+    return retrieval.best_within_budget(points, ["source"], "score", "n_chars", 20000, "doc_id").select("source", "doc_id", "score", "upto", "rank")
+
+
 @query("SELECT source, doc_id, upto FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM documents) WHERE upto <= 30000")
 def context_budget(spark, d):
     return retrieval.within_budget(read(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], "n_chars", 30000, "doc_id").select("source", "doc_id", "upto")
@@ -99,6 +119,17 @@ def correct_senders(spark, d):
     return retrieval.correct_senders(o.select(k.alias("query_id"), answer.alias("answer")), mails)
 
 
+@query("SELECT o_orderkey AS cite_id, 'message-id-of-archive-' || o_orderkey || '-x' AS mail_id, CASE WHEN o_custkey % 3 = 2 THEN 1 ELSE 3 END::BIGINT AS tier FROM orders")
+def resolve_common_prefix(spark, d):
+    """Ids that all begin alike, cited cut short, with more behind, or in capitals: what they share costs nothing."""
+    o, k, t = read(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey") % 3
+    stem = F.format_string("message-id-of-archive-%d-", k)
+    mails = o.select(F.concat(stem, F.lit("x")).alias("mail_id"), F.lit(0).alias("account_rank"), k.alias("seq"))
+    cited = F.when(t == 0, stem).when(t == 1, F.concat(stem, F.lit("x.more"))).otherwise(F.upper(F.concat(stem, F.lit("x"))))
+    found = retrieval.resolve(o.select(k.alias("cite_id"), cited.alias("cited")), mails)
+    return found.select("cite_id", "mail_id", F.col("tier").cast("long").alias("tier"))
+
+
 @query(f"WITH {MAIL}, c AS (SELECT o_custkey % 200 AS query_id, 'm' || o_orderkey || '@example.com' AS mail_id FROM orders) SELECT query_id, account, count(*) AS n FROM c JOIN mail USING (mail_id) GROUP BY 1, 2")
 def citation_counts(spark, d):
     """Cited mails by account for each answer."""

@@ -287,12 +287,33 @@ def summaries(spark, d):
     return rows.select("owner", "period", F.size("c").cast("long").alias("n_contacts"), F.array_join("c", ",").alias("contacts"), F.row_number().over(Window.partitionBy("owner").orderBy("period")).alias("place"))
 
 
-@query(f"""WITH {CHAT}, u AS (SELECT owner, dt::DATE AS day, seq + (replace(chatroom_id, 'room', '')::BIGINT) * 1000 AS seq, sender, left(text, 30) AS text, unnest([{{'unit': 'month', 'period': strftime(dt, '%Y-%m')}}, {{'unit': 'year', 'period': strftime(dt, '%Y')}}]) AS u FROM chat WHERE text IS NOT NULL),
-b AS (SELECT owner, u.unit AS unit, u.period AS period, day, seq, sender, text FROM u), k AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY owner, unit, period ORDER BY day, seq ROWS UNBOUNDED PRECEDING) AS upto FROM b)
-SELECT owner, unit, period, count(*) AS n_items, string_agg(text, chr(10) ORDER BY day, seq) AS text, array_to_string(list_sort(list_distinct(list(sender))), ',') AS contacts FROM k WHERE upto <= 3000 GROUP BY 1, 2, 3""")
+@query(f"""WITH {CHAT}, u AS (SELECT owner, dt::DATE AS day, seq + (replace(chatroom_id, 'room', '')::BIGINT) * 1000 AS seq, sender, coalesce(left(text, 1500), '') AS text, text IS NULL AS lacks, unnest([{{'unit': 'month', 'period': strftime(dt, '%Y-%m')}}, {{'unit': 'year', 'period': strftime(dt, '%Y')}}]) AS u FROM chat),
+k AS (SELECT owner, u.unit AS unit, u.period AS period, day, seq, sender, text, lacks, sum(length(text) + 1) OVER (PARTITION BY owner, u.unit, u.period ORDER BY day, seq ROWS UNBOUNDED PRECEDING) AS upto FROM u)
+SELECT owner, unit, period, ((upto - length(text) - 1) // 30000)::INTEGER AS part, count(*) AS n_items, coalesce(string_agg(text, chr(10) ORDER BY day, seq) FILTER (NOT lacks), '') AS text, array_to_string(list_sort(list_distinct(list(sender))), ',') AS contacts FROM k GROUP BY 1, 2, 3, 4""")
 def message_period_digest(spark, d):
-    c = chat(spark, d).where("text is not null").select("owner", F.to_date("dt").alias("day"), (F.col("seq") + F.replace("chatroom_id", F.lit("room"), F.lit("")).cast("long") * 1000).alias("seq"), F.col("sender").alias("who"), "text")
-    return series.first_part(series.digest(c, ["owner"], 30, 3000), ["owner"]).withColumn("contacts", F.array_join("contacts", ","))
+    """All messages of each month and year, in parts of some 30,000 characters; one without text counts and adds nothing."""
+    c = chat(spark, d).select("owner", F.to_date("dt").alias("day"), (F.col("seq") + F.replace("chatroom_id", F.lit("room"), F.lit("")).cast("long") * 1000).alias("seq"), F.col("sender").alias("who"), "text")
+    return series.digest(c, ["owner"], 1500, 30_000).withColumn("contacts", F.array_join("contacts", ","))
+
+
+@query(f"""WITH {CHAT}, r AS (SELECT chatroom_id, 'Room ' || (replace(chatroom_id, 'room', '')::BIGINT % 17) AS name, count(*) AS messages, CASE WHEN replace(chatroom_id, 'room', '')::BIGINT % 4 <> 0 THEN (count(*) * 7 % 5)::DOUBLE END AS mood FROM chat GROUP BY 1, 2)
+SELECT chatroom_id, row_number() OVER (ORDER BY name, chatroom_id) AS by_name, row_number() OVER (ORDER BY messages DESC, chatroom_id) AS by_total, row_number() OVER (ORDER BY coalesce(mood, -1) DESC, chatroom_id) AS by_mood FROM r""")
+def rooms_sorted(spark, d):
+    """Places of the rooms by name, messages and mood, those without a mood last. Rooms are aggregated rows, which one task can order."""
+    key = F.replace("chatroom_id", F.lit("room"), F.lit("")).cast("long")
+    r = chat(spark, d).groupBy("chatroom_id").agg(F.count("*").alias("messages")).withColumns({"name": F.format_string("Room %d", key % 17), "mood": F.when(key % 4 != 0, (F.col("messages") * 7 % 5).cast("double"))})
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))
+    return r.select("chatroom_id", place("name", "chatroom_id").alias("by_name"), place(F.desc("messages"), "chatroom_id").alias("by_total"), place(F.coalesce("mood", F.lit(-1.0)).desc(), "chatroom_id").alias("by_mood"))
+
+
+@query(f"""WITH b AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN strptime(strftime(ts, '%Y-%m-%d'), '%Y-%m-%d') ELSE date_trunc('second', ts) END AS t FROM events)
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_id) AS number FROM b""")
+def renumbered_blocks(spark, d):
+    """Blocks after a merge, newest first by dates of two formats (unreadable ones last), numbered anew for each owner."""
+    k = F.col("event_id") % 5
+    raw = F.when(k == 0, "2024-13-45 soon").when(k == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    rows = read(spark, d, "events").select("user_id", "event_id", fn.block_time(raw).alias("t"))
+    return blocks.numbered(rows, ["user_id"], F.col("t").desc_nulls_last(), "event_id").select("user_id", "event_id", "number")
 
 
 # --- mood ------------------------------------------------------------------------------

@@ -15,8 +15,15 @@ def _events(spark, d):
 
 @query("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS checksum FROM events GROUP BY 1")
 def stream_append(spark, d):
-    """Events appended once each; the totals equal those of a rebuild."""
-    return jobs.append_once(spark, _events(spark, d), ["event_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("checksum"))
+    """Events in several files, a third of them sent twice, taken in by two runs of a stream, a file a batch; each counts once, as in a rebuild."""
+    e = read(spark, d, "events")
+    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    stream = lambda: jobs.files(spark, folder, e.schema)
+    e.where("event_id % 3 <> 0").repartition(3, "event_id").write.mode("append").parquet(folder)
+    jobs.append_once(spark, stream(), ["event_id"], f"{folder}-stored")
+    e.where("event_id % 3 <> 1").repartition(2, "event_id").write.mode("append").parquet(folder)
+    rows = jobs.append_once(spark, stream(), ["event_id"], f"{folder}-stored")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("checksum"))
 
 
 @query("SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2")

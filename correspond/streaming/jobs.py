@@ -27,24 +27,43 @@ def _is_file(spark, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
 
 
-def append_once(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a stream whose key was not seen before, over all batches.
+def _parts(spark: SparkSession, at: str, schema, number: int | None = None) -> DataFrame:
+    """The parts that batches left in a folder (those before a batch), by one path: only columns that are asked for are read."""
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch int").parquet(at)
+    return (rows if number is None else rows.where(F.col("batch") < number)).select([f.name for f in schema])
 
-    The ledger is a table in the shared folder, with a part for each batch: a batch
-    that is run again after a failure replaces its own part, so each row counts once,
-    and state doesn't grow in memory.
+
+def append_once(spark: SparkSession, stream: DataFrame, keys: list[str], at: str | None = None) -> DataFrame:
+    """Rows of a stream whose key was not seen before, over all batches and, at the same folder `at`, over all runs: a run goes on where the last one ended.
+
+    Each batch adds a part with its new rows; the ledger is the key columns of earlier
+    parts. A batch that is run again after a failure replaces its own part, so each row
+    counts once, and state doesn't grow in memory.
     """
-    at = f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
+    at = at or f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
+    _started(spark, at, stream.schema)
 
     def each(batch, number):
-        rows = batch.dropDuplicates(keys)
-        if number:
-            old = spark.read.schema(batch.schema).parquet(*(f"{at}/batch={k}" for k in range(number)))
-            rows = rows.join(old, keys, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{at}/batch={number}")
+        known = _parts(spark, at, [batch.schema[k] for k in keys], number)
+        batch.dropDuplicates(keys).join(known, keys, "left_anti").write.mode("overwrite").parquet(f"{at}/batch={number}")
 
     run_batches(stream, each, f"{at}-checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{at}/*")
+    return _parts(spark, at, stream.schema)
+
+
+def append_or_rebuild(spark: SparkSession, stream: DataFrame, keys: list[str], at: str, mode: str = "append") -> DataFrame:
+    """append_once at a folder; in mode `rewrite`, or where an append finds nothing new, the rows are taken in anew from the start, in a folder of their own that replaces nothing until it is complete."""
+    if mode == "append":
+        before = _parts(spark, at, stream.schema).count() if _exists(spark, at) else 0
+        rows = append_once(spark, stream, keys, at)
+        if rows.count() > before:
+            return rows
+    return append_once(spark, stream, keys, f"{at}-rebuilt-{uuid.uuid4().hex}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def daily_counts(spark: SparkSession, stream: DataFrame, at: str, keys: list[str]) -> DataFrame:
@@ -59,7 +78,8 @@ def daily_counts(spark: SparkSession, stream: DataFrame, at: str, keys: list[str
 
 def _started(spark: SparkSession, at: str, schema) -> None:
     """An empty first part, so that a stream without rows has a result too."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{at}/batch=-1")
+    if not _exists(spark, f"{at}/batch=-1"):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{at}/batch=-1")
 
 
 def sync_blocks(spark: SparkSession, stream: DataFrame, owner: str, at: str) -> None:
@@ -74,7 +94,7 @@ def sync_blocks(spark: SparkSession, stream: DataFrame, owner: str, at: str) ->
     _started(spark, at, schema)
 
     def each(batch, number):
-        old = spark.read.schema(schema).parquet(*(f"{at}/batch={k}" for k in range(-1, number))).select(owner, "block_id")
+        old = _parts(spark, at, [schema[owner], schema["block_id"]], number)
         last = old.groupBy(owner).agg(F.max(day).alias("_last"))
         known = old.distinct().withColumn("_known", F.lit(True))
         rows = batch.join(last, owner, "left").join(known, [owner, "block_id"], "left")
