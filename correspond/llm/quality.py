@@ -85,14 +85,14 @@ def mixture_share(of_positive: np.ndarray, of_unlabelled: np.ndarray) -> float:
 
 
 def _sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Features of the documents whose id is among a bounded number of ids."""
+    """Features of the documents whose id is among a bounded number of ids; of an id that repeats, the smallest."""
 
     def of(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "part", "x"])
 
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("part", T.StringType()), T.StructField("x", T.BinaryType())])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "part", F.col("text").cast("binary")).mapInArrow(of, kind).dropDuplicates(["doc_id", "part"])
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "part", F.col("text").cast("binary")).mapInArrow(of, kind).groupBy("doc_id", "part").agg(F.min("x").alias("x"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 6000) -> dict:
