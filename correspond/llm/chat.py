@@ -43,7 +43,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     loss_chars in code points of segment (others: 0 characters).
 
     Null texts, roles and parts count as empty. Turns are formatted row by row, so a
-    conversation of any length is spread over all tasks; its text is its segments in
+    conversation of any length, and a turn's text of any length, is spread over all tasks; its text is its segments in
     order. An empty table gives none.
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(PARTS))
@@ -70,14 +70,14 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Output of format_turns on texts -> (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), one row a conversation.
+    """Output of format_turns on texts -> (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, attachment_tokens), one row a conversation.
 
     Turns follow each other by turn (null first), equal ones by segment. A digest is
     of one string, so a conversation meets in one row here and only here; the turns'
     texts are shuffled once, gathered by map tasks first.
     """
     turn = F.struct("turn", "segment", "loss_start", "loss_chars")
-    gathered = formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum(F.char_length("segment")).alias("formatted_chars"))
+    gathered = formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum(F.char_length("segment")).alias("formatted_chars"), F.sum(F.size("attachments")).alias("n_attachments"), F.sum(F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"])).alias("attachment_tokens"))
 
     def over(name: str, f) -> Column:
         return F.array_join(F.transform(name, f), "")
@@ -86,8 +86,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     split = lambda t: F.split(F.substring_index(F.substring(seg(t), len(TURN) + 1, 1 << 30), END, 1), r"<\|text\|>", 2)
     said = over("turns", lambda t: F.concat(unescape(F.get(split(t), F.lit(0))), F.lit("\n"), unescape(F.get(split(t), F.lit(1))), F.lit("\n")))
     learnt = over("turns", lambda t: unescape(F.substring(seg(t), t["loss_start"] + 1, t["loss_chars"])))
-    out = gathered.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), learnt.alias("learnt"), "formatted_chars")
-    return out.select("conv_id", "n_turns", F.sha2(F.encode("said", "UTF-8"), 256).alias("turns_sha256"), F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2(F.encode("learnt", "UTF-8"), 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"))
+    out = gathered.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), learnt.alias("learnt"), "formatted_chars", "n_attachments", "attachment_tokens")
+    return out.select("conv_id", "n_turns", F.sha2(F.encode("said", "UTF-8"), 256).alias("turns_sha256"), F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2(F.encode("learnt", "UTF-8"), 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"), "n_attachments", "attachment_tokens")
 
 
 def op4_chat(spark, sf_dir):

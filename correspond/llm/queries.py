@@ -50,7 +50,7 @@ g AS (
          coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS learnt,
          sum(length('{chat.TURN}{chat.TEXT}{chat.END}') + length({_escaped("role")}) + length({_escaped("t")}))::BIGINT AS formatted_chars
   FROM c GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM g""",
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens FROM g""",
     "op5_urls": rf"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)}),
 u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -265,6 +265,8 @@ def test_chat(spark):
     got = chat.format_turns(parts).orderBy("turn").collect()
     assert got[0].segment == "<|turn|>user<|text|>see %3C|<|image:0|><|audio:1|><|document:2|>kept<|end|>"
     assert [(a.type, a.ref, a.tokens) for a in got[0].attachments] == [("image", "a.png", 4), ("audio", "b.wav", 38), ("document", "c.pdf", 1800)] and got[1].loss_chars == 0
+    (whole,) = chat.read_back(chat.format_turns(parts)).collect()
+    assert (whole.n_attachments, whole.attachment_tokens) == (3, 1842)
     assert chat.read_back(turns.limit(0)).count() == 0
 
 
