@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from correspond.functions.text import addresses
+
 #: Weights of tones. Fixed values.
 TONES = {"casual": 1.0, "transactional": 0.5, "formal": 0.2, "notification": 0.1, "alert": 0.1}
 
@@ -14,6 +16,12 @@ def tone_score() -> Column:
     return F.when(F.col("llm_tone").isNull(), kg).otherwise((kg + (F.col("llm_tone") == "friendly").cast("double")) / 2)
 
 
+def by_person(mails: DataFrame) -> DataFrame:
+    """mails(account, sender, receiver, direction, ...) of address fields -> a row for each person of a mail: each address of the receivers of a sent mail, or of the senders of a received one, once; the owner's own is left out."""
+    field = F.when(F.col("direction") == "sent", F.col("receiver")).when(F.col("direction") == "received", F.col("sender"))
+    return mails.withColumn("person", F.explode(F.array_distinct(addresses(field)))).where(F.col("person") != F.lower("account"))
+
+
 def intimacy(mails: DataFrame, as_of: str, start: str | None = None, end: str | None = None, end_inclusive_day: bool = True, volume: bool = True, decay: bool = True, persons: DataFrame | None = None) -> DataFrame:
     """Score of every (account, person) in one aggregation: balance, replies and tone, then volume and age.
 

@@ -1,13 +1,15 @@
 """Known keywords in texts."""
 
 from collections import Counter
+from collections.abc import Callable
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from correspond.operators.snapshot import newest
 from correspond.operators.tables import written
 
 #: Keywords of this number at most are looked for one by one inside the JVM.
@@ -66,3 +68,22 @@ def occurrences(texts: DataFrame, keywords: DataFrame, few: int = FEW, block: in
     if parts is None:
         return search(held)
     return parts.unionByName(search(held)) if held else parts
+
+
+def best_words(words: DataFrame, n: int, k: int) -> DataFrame:
+    """words(doc_id, keyword), n documents -> (doc_id, keyword, score) of the k best of each by tf-idf, ties by name.
+
+    Texts are cut into words once, for the counts are written; a word's number of
+    documents is aggregated before it meets them.
+    """
+    tf = written(words.groupBy("doc_id", "keyword").agg(F.count("*").alias("tf")), "counts")
+    df = tf.groupBy("keyword").agg(F.count("*").alias("df"))
+    score = F.round(F.col("tf") * F.log(F.lit(float(1 + n)) / (1 + F.col("df"))), 6)
+    scored = tf.join(df, "keyword").select("doc_id", "keyword", score.alias("score"))
+    return newest(scored, ["doc_id"], k, F.desc("score"), "keyword")
+
+
+def mentions(texts: DataFrame, words_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """texts(text, ...) -> the other columns and keyword, a row for each keyword of a text: words_of(text) gives an array of them, be it a model's (the hook) or, by default, its words of six ASCII letters or more."""
+    words_of = words_of or (lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z]{6,}"), F.lit(0)))
+    return texts.select(*[c for c in texts.columns if c != "text"], F.explode(words_of(F.col("text"))).alias("keyword"))

@@ -148,6 +148,14 @@ def top_relationships(found: DataFrame, links: DataFrame, k: int = 30) -> DataFr
     return met.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def federated_usage(used: DataFrame, cited: DataFrame) -> DataFrame:
+    """used(query_id, input_tokens, output_tokens) by account, cited(query_id, place, account) -> one row a query: summed usage, and the accounts cited, each once, in the order of their first place."""
+    first = cited.where("account is not null").groupBy("query_id", "account").agg(F.min("place").alias("place"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "account"))), lambda x: x["account"])
+    sums = used.groupBy("query_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    return sums.join(first.groupBy("query_id").agg(listed.alias("accounts")), "query_id", "left").withColumn("accounts", F.coalesce("accounts", F.array().cast("array<string>")))
+
+
 CITED = r"ID:\s*(\S+)"
 
 

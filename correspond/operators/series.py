@@ -28,9 +28,10 @@ def dense_months(counts: DataFrame, keys: list[str], start: str, end: str) -> Da
 
 
 def top_counts(rows: DataFrame, keys: list[str], count: str, k: int) -> DataFrame:
-    """The k highest counts of each key, ties by name, with the percent of the highest."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(count), "name")
-    return rows.where(F.col(count) > 0).select("*", F.row_number().over(w).alias("rank"), F.round(100.0 * F.col(count) / F.max(count).over(Window.partitionBy(*keys)), 4).alias("percent")).where(F.col("rank") <= k)
+    """The k highest counts of each key, ties by name, with the percent of the highest. Map tasks keep k rows of a key, so that a hot key is no more than tasks x k rows."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(count), "name"))
+    top = rows.where(F.col(count) > 0).withColumn("rank", place).where(F.col("rank") <= k)
+    return top.withColumn("percent", F.round(100.0 * F.col(count) / F.max(count).over(Window.partitionBy(*keys)), 4))
 
 
 def running_total(rows: DataFrame, keys: list[str], value: str, name: str, *order) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from correspond.operators import keywords
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -82,5 +84,5 @@ WORDS = r"""words AS (
 
 def words(spark, d) -> DataFrame:
     """(account, person, day, doc_id, keyword): a row for each word of six ASCII letters or more."""
-    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))
-    return read(spark, d, "documents").select(F.concat(F.lit("acct"), (F.col("doc_id") % 5).cast("string")).alias("account"), F.col("source").alias("person"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).alias("day"), "doc_id", found.alias("keyword"))
+    texts = read(spark, d, "documents").select(F.concat(F.lit("acct"), (F.col("doc_id") % 5).cast("string")).alias("account"), F.col("source").alias("person"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).alias("day"), "doc_id", "text")
+    return keywords.mentions(texts)

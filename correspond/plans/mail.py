@@ -57,6 +57,15 @@ def affinity_share(spark, d):
     return r.where("rank <= 7 and total > 0").select("account", "person", "rank", F.round(F.col("eis") / F.col("total"), 6).alias("share"))
 
 
+@query(f"""WITH {MAIL}, m AS (SELECT account, seq, direction, is_reply, person AS p1, 'cust' || (seq % 40) || '@example.com' AS p2 FROM mail), x AS (SELECT account, seq, direction, is_reply, p1 AS person FROM m UNION SELECT account, seq, direction, is_reply, p2 FROM m WHERE direction = 'sent')
+SELECT account, person, count(*) AS n, count(*) FILTER (direction = 'sent') AS sent, count(*) FILTER (direction = 'received') AS received, count(*) FILTER (is_reply) AS replies FROM x GROUP BY 1, 2""")
+def affinity_by_addresses(spark, d):
+    """Mails to several persons, and some twice in one field: each counts once for each person."""
+    p2 = F.format_string("CUST%d@Example.com", F.col("seq") % 40)
+    fields = mail(spark, d, replies=False).withColumns({"receiver": F.when(F.col("direction") == "sent", F.format_string("%s <%s>, %s, Me <%s>", "person_name", "person", p2, "account")).otherwise(F.col("account")), "sender": F.when(F.col("direction") == "sent", F.col("account")).otherwise(F.col("person"))})
+    return affinity.intimacy(affinity.by_person(fields.drop("person")), AS_OF).select("account", "person", "n", "sent", "received", "replies")
+
+
 @query()
 def affinity_bands(spark, d):
     """Iterative, so beyond SQL; held against a plain version in the tests."""
@@ -328,9 +337,11 @@ def mail_keyword_daily(spark, d):
     return words(spark, d).where(F.col("day").between("2024-02-01", "2024-02-29")).groupBy("account", "keyword", "day").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {WORDS} SELECT account, keyword, day, person, 'The ' || person AS name, count(*) AS n FROM words WHERE keyword = 'tionth' OR keyword LIKE 'ent%' GROUP BY 1, 2, 3, 4")
+@query(f"WITH {WORDS}, s AS (SELECT source AS person, max(doc_id % 7) AS last FROM documents GROUP BY 1) SELECT account, keyword, day, person, 'The ' || person || ' of state ' || last AS name, count(*) AS n FROM words JOIN s USING (person) WHERE keyword = 'tionth' OR keyword LIKE 'ent%' GROUP BY 1, 2, 3, 4, 5")
 def mail_keyword_mentioners(spark, d):
-    names = read(spark, d, "documents").select(F.col("source").alias("person"), F.concat(F.lit("The "), "source").alias("name")).distinct()
+    """Who mentions a keyword on a day, by the name in each person's latest state."""
+    states = read(spark, d, "documents").select(F.col("source").alias("person"), (F.col("doc_id") % 7).alias("index_date")).distinct()
+    names = snapshot.latest_snapshot(states, ["person"]).select("person", F.format_string("The %s of state %d", "person", "index_date").alias("name"))
     found = words(spark, d).where((F.col("keyword") == "tionth") | F.col("keyword").startswith("ent")).groupBy("account", "keyword", "day", "person").agg(F.count("*").alias("n"))
     return found.join(names, "person", "left")
 
@@ -348,11 +359,8 @@ def keyword_cloud(spark, d):
 @query(f"""WITH {WORDS}, tf AS (SELECT doc_id, keyword, count(*) AS tf FROM words GROUP BY 1, 2), df AS (SELECT keyword, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 s AS (SELECT doc_id, keyword, round(tf * ln((1 + n)::DOUBLE / (1 + df)), 6) AS score FROM tf JOIN df USING (keyword), n) SELECT doc_id, keyword, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) AS k FROM s) WHERE k <= 3""")
 def keyword_tfidf(spark, d):
-    """The three best words of each document: the default of the keyword hook. Document counts are aggregated before they meet the words."""
-    tf = words(spark, d).groupBy("doc_id", "keyword").agg(F.count("*").alias("tf"))
-    n = read(spark, d, "documents").count()
-    scored = tf.join(tf.groupBy("keyword").agg(F.count("*").alias("df")), "keyword").select("doc_id", "keyword", F.round(F.col("tf") * F.log(F.lit(float(1 + n)) / (1 + F.col("df"))), 6).alias("score"))
-    return snapshot.newest(scored, ["doc_id"], 3, F.desc("score"), "keyword")
+    """The three best words of each document: the default of the keyword hook."""
+    return keywords.best_words(words(spark, d).select("doc_id", "keyword"), read(spark, d, "documents").count(), 3)
 
 
 @query(r"""WITH k AS (SELECT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 2)

@@ -178,3 +178,11 @@ def query_cost(spark, d):
     rows = _usage(spark, d).withColumn("scope", scope).join(F.broadcast(_prices(spark)), "model", "left")
     cost = (F.col("input_tokens") * F.coalesce("i", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("o", F.lit(0.0))) / 1000000
     return rows.groupBy("user_id", "scope").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum(cost), 6).alias("cost_usd"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
+
+
+@query(f"WITH u AS (SELECT user_id AS query_id, event_id, {_MODEL} AS account, round(value * 100)::BIGINT AS a, round(value)::BIGINT AS b FROM events), f AS (SELECT query_id, account, min(event_id) AS first FROM u WHERE event_id % 4 <> 0 GROUP BY 1, 2), l AS (SELECT query_id, string_agg(account, ',' ORDER BY first) AS accounts FROM f GROUP BY 1) SELECT query_id, sum(a)::BIGINT AS input_tokens, sum(b)::BIGINT AS output_tokens, any_value(coalesce(accounts, '')) AS accounts FROM u LEFT JOIN l USING (query_id) GROUP BY 1")
+def federated_usage(spark, d):
+    """One row for each query over several accounts: usage of all, and the accounts that it cites in the order in which they first are."""
+    used = _usage(spark, d).withColumnRenamed("model", "account").withColumn("query_id", F.col("user_id"))
+    cited = used.where("event_id % 4 <> 0").select("query_id", F.col("event_id").alias("place"), "account")
+    return retrieval.federated_usage(used, cited).withColumn("accounts", F.array_join("accounts", ","))

@@ -226,6 +226,15 @@ def room_keywords_person(spark, d):
     return _keywords(spark, d).where(F.col("day").between("2024-01-05", "2024-01-20")).groupBy("chatroom_id", "sender", "keyword").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_BLOCKS}, b AS (SELECT DISTINCT chatroom_id, block_id, day FROM blocks), m AS (SELECT chatroom_id, block_id, sender, 'k' || (seq % 7) AS keyword, count(*) AS mention_count FROM blocks GROUP BY 1, 2, 3, 4) SELECT chatroom_id, sender, keyword, sum(mention_count)::BIGINT AS n, count(DISTINCT block_id) AS n_blocks FROM m JOIN b USING (chatroom_id, block_id) WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1, 2, 3")
+def room_keywords_by_block(spark, d):
+    """Keyword facts of blocks joined with the blocks of a range of days."""
+    rows = chatlog.day_blocks(talk(spark, d))
+    facts = rows.groupBy("chatroom_id", "block_id", "sender", F.concat(F.lit("k"), (F.col("seq") % 7).cast("string")).alias("keyword")).agg(F.count("*").alias("mention_count"))
+    days = rows.select("chatroom_id", "block_id", "day").distinct().where(F.col("day").between("2024-01-05", "2024-01-20"))
+    return facts.join(days, ["chatroom_id", "block_id"]).groupBy("chatroom_id", "sender", "keyword").agg(F.sum("mention_count").alias("n"), F.countDistinct("block_id").alias("n_blocks"))
+
+
 @query(f"WITH {_KEYWORDS} SELECT chatroom_id, keyword, strftime(day, '%Y-%m') AS month, count(*) AS n FROM kw GROUP BY 1, 2, 3")
 def room_keyword_monthly(spark, d):
     return _keywords(spark, d).groupBy("chatroom_id", "keyword", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
-from correspond.operators import affinity, blocks, facts, tables
+from correspond.operators import affinity, blocks, facts, keywords, tables
 from correspond.plans.registry import QUERIES
 from correspond.sources import export, readers
 from correspond.streaming import jobs
@@ -150,3 +150,8 @@ def test_facts_of_rooms_and_profiles(spark):
     assert sorted(map(tuple, facts.room_people_fact(said, stored).collect())) == [("r", "a", 2, "knows"), ("r", "c", 5, None)]
     persons = spark.createDataFrame([("o", "2024-01-01", "a", "x"), ("o", "2024-02-01", "a", "y"), ("o", "2024-02-01", "b", " "), ("p", "2024-01-01", "c", None)], "account string, index_date string, person string, description string")
     assert [r.description for r in facts.profiles(persons).collect()] == ["y"]
+
+
+def test_keyword_hook(spark):
+    texts = spark.createDataFrame([(1, "one; two"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keyword) for r in keywords.mentions(texts, lambda t: F.split(t, "; ")).collect()) == [(1, "one"), (1, "two")]
