@@ -13,25 +13,32 @@ from pyspark.sql import types as T
 
 from correspond.llm.common import materialise, small_batches, table
 
-#: Words of all windows that one automaton takes in, some 40 bytes each; for more, texts are scanned again.
-BLOCK_WORDS = 8_000_000
+#: Words of all windows that one automaton takes in, two or three nodes of some 50 bytes each; for more, texts are scanned again.
+BLOCK_WORDS = 2_000_000
+#: Characters that a place of a word's number takes. A node's children are searched one by one, so they had better be few.
+_BASE = 128
 #: ASCII letters are lower-cased, digits stay, all other ASCII separates words; bytes of other characters are parts of words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def _automaton(block: list[tuple[str, list[bytes]]], window: int) -> dict:
-    """Of windows as sequences of numbers of words; value: (words, indexes of pieces)."""
+    """Of windows as strings, each word by its number in `width` characters, which differ by place, so that matches begin and end with words; value: (words, indexes of pieces)."""
     number: dict[bytes, int] = {}
+    for _, words in block:
+        for w in words:
+            number.setdefault(w, len(number))
+    width = 1 if len(number) <= _BASE else 2 if len(number) <= _BASE**2 else 3 if len(number) <= _BASE**3 else 4
+    code = {w: "".join(chr(1 + _BASE * i + n // _BASE**i % _BASE) for i in range(width)) for w, n in number.items()}
     windows = defaultdict(set)
     for k, (_, words) in enumerate(block):
-        codes = [number.setdefault(w, len(number) + 1) for w in words]
-        for i in range(max(1, len(codes) - window + 1)):
-            windows[tuple(codes[i : i + window])].add(k)
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for codes, owners in windows.items():
-        found.add_word(codes, (len(codes), tuple(sorted(owners))))
+        line = "".join(map(code.__getitem__, words))
+        for i in range(max(1, len(words) - window + 1)):
+            windows[line[i * width : (i + window) * width]].add(k)
+    found = ahocorasick.Automaton()
+    for part, owners in windows.items():
+        found.add_word(part, (len(part) // width, tuple(sorted(owners))))
     found.make_automaton()
-    return {"number": number, "find": found}
+    return {"code": code, "find": found, "width": width}
 
 
 def _built(held: dict, window: int) -> dict | None:
@@ -46,10 +53,11 @@ def scan(text: bytes | None, built: dict | None) -> tuple[int, list[tuple[int, i
     words = (text or b"").translate(FOLD).split()
     if not words or not built:
         return len(words), [], set()
-    hits, owners = [], set()
-    for last, (n, own) in built["find"].iter(tuple(map(built["number"].get, words, repeat(0)))):
+    hits, owners, width = [], set(), built["width"]
+    for end, (n, own) in built["find"].iter("".join(map(built["code"].get, words, repeat("\0" * width)))):
         owners.update(own)
-        low, high = last - n + 1, last + 1
+        high = (end + 1) // width
+        low = high - n
         while hits and hits[-1][1] >= low:
             a, b = hits.pop()
             low, high = min(a, low), max(b, high)
