@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
 from correspond.operators import blocks, snapshot
-from correspond.operators.graph import attribute
+from correspond.operators.graph import attribute, pairs
 
 #: Tones that an entity's description may name. Fixed values.
 TONES = ("formal", "casual", "transactional", "notification", "alert")
@@ -67,3 +67,14 @@ def room_people_fact(messages: DataFrame, stored: DataFrame) -> DataFrame:
 def profiles(persons: DataFrame, owner: str = "account") -> DataFrame:
     """persons(owner, index_date, person, description, ...) -> those of each owner's latest state that have a description."""
     return snapshot.latest_snapshot(persons, [owner]).where("trim(description) <> ''")
+
+
+def message_keyword_fact(mentions: DataFrame, participants: DataFrame, least: int = 2) -> DataFrame:
+    """mentions(chatroom_id, block_id, sender, keyword, mention_count) of keywords that a room has `least` times or more, by participants(chatroom_id, block_id, sender) of stored blocks."""
+    often = mentions.groupBy("chatroom_id", "keyword").agg(F.sum("mention_count").alias("_n")).where(F.col("_n") >= least).select("chatroom_id", "keyword")
+    return mentions.join(often, ["chatroom_id", "keyword"], "left_semi").join(participants, ["chatroom_id", "block_id", "sender"], "left_semi")
+
+
+def relationship_fact(links: DataFrame, roster: DataFrame, stored: DataFrame) -> DataFrame:
+    """links(source, target, seq, relation) between persons of the roster(name), merged into stored(person_a, person_b, relation): each pair once, the last link of a pair counting."""
+    return snapshot.upsert(stored, pairs(links, roster), ["person_a", "person_b"], keep_if_null=("relation",))

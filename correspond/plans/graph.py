@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
-from correspond.operators import graph, snapshot
+from correspond.operators import facts, graph, snapshot
 from correspond.plans.base import query, read
 
 _REL = """rel AS (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, min(l_orderkey) AS seq, count(*) AS n, CASE WHEN min(l_orderkey) % 3 = 0 THEN NULL ELSE sum(l_quantity) END AS weight,
@@ -151,6 +151,19 @@ def graph_compose(spark, d):
     return snapshot.graph_compose(base, delta, ["id"])
 
 
+@query(f"""WITH {_REL}, e AS (SELECT source, 'S' || (substr(target, 2)::BIGINT % 60) AS target, seq, CASE WHEN seq % 2 = 0 THEN 'r' || (seq % 5) END AS relation FROM rel WHERE seq % 4 = 0),
+k AS (SELECT least(source, target) AS person_a, greatest(source, target) AS person_b, max_by(relation, seq::BIGINT * 1000000 + n) AS relation FROM (SELECT *, row_number() OVER (ORDER BY relation) AS n FROM e) WHERE source <> target AND substr(source, 2)::BIGINT < 40 AND substr(target, 2)::BIGINT < 40 GROUP BY 1, 2),
+s AS (SELECT 'S' || s_suppkey AS person_a, 'S' || (s_suppkey + 1) AS person_b, 'stored' AS relation FROM supplier WHERE s_suppkey < 9)
+SELECT person_a, person_b, coalesce(k.relation, s.relation) AS relation FROM k FULL JOIN s USING (person_a, person_b)""")
+def relationship_fact(spark, d):
+    """Labelled links between persons of a roster, each pair once, merged into the stored ones."""
+    rel = graph.edges(_relationships(spark, d)).select("source", "target", "relation").join(_relationships(spark, d).select("source", "target", "seq"), ["source", "target"]).where("seq % 4 = 0")
+    links = rel.withColumn("target", F.concat(F.lit("S"), (F.substring("target", 2, 99).cast("long") % 60).cast("string")))
+    roster = spark.range(40).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"))
+    stored = read(spark, d, "supplier").where("s_suppkey < 9").select(F.format_string("S%d", "s_suppkey").alias("person_a"), F.format_string("S%d", F.col("s_suppkey") + 1).alias("person_b"), F.lit("stored").alias("relation"))
+    return facts.relationship_fact(links, roster, stored)
+
+
 @query("""WITH e AS (SELECT l_suppkey AS a, l_partkey % 50 AS b, min(l_quantity) AS w, max(l_shipmode_) AS m, min(l_orderkey) AS k FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem) GROUP BY 1, 2),
 o AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w, max(m) AS m FROM e WHERE k % 2 = 0 AND a <= b GROUP BY 1, 2), n AS (SELECT b AS a, a AS b, CASE WHEN k % 3 = 0 THEN NULL ELSE w + 1 END AS w, lower(m) AS m FROM e WHERE a <= b AND k % 5 <> 0)
 SELECT least(coalesce(o.a, n.a), coalesce(o.b, n.b)) AS source, greatest(coalesce(o.a, n.a), coalesce(o.b, n.b)) AS target, coalesce(n.w, o.w) AS weight, coalesce(n.m, o.m) AS mode FROM o FULL JOIN n ON o.a = n.b AND o.b = n.a""")

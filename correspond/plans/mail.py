@@ -478,3 +478,13 @@ def person_fact(spark, d):
     profiles = contacts.where(size % 2 == 0).select("account", "contact", F.concat(F.lit("writes to "), "account").alias("description"), F.when(size % 3 != 0, "new").alias("relation"))
     stored = contacts.where(size % 3 == 0).select("account", "contact", F.lit(0).cast("long").alias("sent"), F.lit(0).cast("long").alias("received"), F.lit(0).cast("long").alias("friendly"), F.lit("?").alias("name"), F.lit(None).cast("string").alias("description"), F.lit("old").alias("relation"))
     return facts.person_fact(contacts, profiles, stored)
+
+
+@query("""WITH p AS (SELECT c_nationkey AS account, c_custkey % 3 AS index_date, c_custkey AS person, CASE WHEN c_custkey % 5 = 0 THEN '  ' WHEN c_custkey % 7 = 0 THEN NULL ELSE 'about ' || c_name END AS description FROM customer)
+SELECT account, person, description, row_number() OVER (PARTITION BY account ORDER BY person) AS place FROM p JOIN (SELECT account, max(index_date) AS index_date FROM p GROUP BY 1) USING (account, index_date) WHERE trim(description) <> ''""")
+def person_profiles(spark, d):
+    """Descriptions in each account's latest state, in order."""
+    k = F.col("c_custkey")
+    description = F.when(k % 5 == 0, "  ").when(k % 7 != 0, F.concat(F.lit("about "), "c_name"))
+    persons = read(spark, d, "customer").select(F.col("c_nationkey").alias("account"), (k % 3).alias("index_date"), k.alias("person"), description.alias("description"))
+    return facts.profiles(persons).select("account", "person", "description", F.row_number().over(Window.partitionBy("account").orderBy("person")).alias("place"))

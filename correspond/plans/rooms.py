@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
-from correspond.operators import blocks, chatlog, mood, series, snapshot
+from correspond.operators import blocks, chatlog, facts, mood, series, snapshot
 from correspond.plans.base import CHAT, MAIL, TALK, chat, mail, query, read, talk
 
 # --- mail blocks --------------------------------------------------------------------
@@ -235,6 +235,23 @@ def room_keywords_by_block(spark, d):
     return facts.join(days, ["chatroom_id", "block_id"]).groupBy("chatroom_id", "sender", "keyword").agg(F.sum("mention_count").alias("n"), F.countDistinct("block_id").alias("n_blocks"))
 
 
+@query(f"WITH {_BLOCKS}, m AS (SELECT chatroom_id, block_id, day, sender, 'k' || (seq % 997) AS keyword, count(*) AS mention_count FROM blocks GROUP BY 1, 2, 3, 4, 5), o AS (SELECT chatroom_id, keyword FROM m GROUP BY 1, 2 HAVING sum(mention_count) >= 2) SELECT chatroom_id, block_id, sender, keyword, mention_count FROM m JOIN o USING (chatroom_id, keyword) WHERE day < DATE '2024-01-20'")
+def message_keyword_fact(spark, d):
+    """Keyword mentions of blocks that are stored, those before a day, of keywords that a room has twice or more."""
+    rows = chatlog.day_blocks(talk(spark, d))
+    mentions = rows.groupBy("chatroom_id", "block_id", "sender", F.concat(F.lit("k"), (F.col("seq") % 997).cast("string")).alias("keyword")).agg(F.count("*").alias("mention_count"))
+    stored = rows.where("day < date '2024-01-20'").select("chatroom_id", "block_id", "sender").distinct()
+    return facts.message_keyword_fact(mentions, stored).select("chatroom_id", "block_id", "sender", "keyword", "mention_count")
+
+
+@query(f"WITH {CHAT}, c AS (SELECT chatroom_id, sender AS person, count(*) AS messages FROM chat WHERE NOT is_system GROUP BY 1, 2), s AS (SELECT DISTINCT chatroom_id, 'assistant' AS person, 0::BIGINT AS messages, 'answers in ' || chatroom_id AS description FROM chat) SELECT chatroom_id, person, coalesce(c.messages, s.messages) AS messages, s.description AS description FROM c FULL JOIN s USING (chatroom_id, person)")
+def room_people_fact(spark, d):
+    """Message counts of persons merged into those stored, whose descriptions stay."""
+    c = chat(spark, d)
+    stored = c.select("chatroom_id").distinct().select("chatroom_id", F.lit("assistant").alias("person"), F.lit(0).cast("long").alias("messages"), F.concat(F.lit("answers in "), "chatroom_id").alias("description"))
+    return facts.room_people_fact(c, stored)
+
+
 @query(f"WITH {_KEYWORDS} SELECT chatroom_id, keyword, strftime(day, '%Y-%m') AS month, count(*) AS n FROM kw GROUP BY 1, 2, 3")
 def room_keyword_monthly(spark, d):
     return _keywords(spark, d).groupBy("chatroom_id", "keyword", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
