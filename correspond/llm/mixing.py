@@ -3,12 +3,13 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from correspond.llm.common import SPACES, materialise, table
+from correspond.llm.common import SPACES, materialise, sent_if_small, table
+from correspond.operators.series import running_total
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Rows that one window task orders, on average.
-ROWS_A_BIN = 50_000
+#: Copies that one range of virtual time holds, on average, with 8 ranges at least.
+ROWS_A_RANGE = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -39,76 +40,54 @@ def source_targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weight
 
 
 def mix(docs: DataFrame, keep: list[str], share: float = 1.5, epochs: int = 2, weights=WEIGHTS, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> columns `keep` and size, source_size, target, taken, finish, a row for each row of docs.
+    """docs(doc_id, text, source, ...) -> columns `keep` and size, source_size, target, taken, a row for each row of docs.
 
     Each source is shuffled by a hash of doc_id and text and read up to `epochs` times; a copy
     of a document finishes at virtual time (the source's words up to its end, earlier
     rounds included) / target. Copies are put in ranges of that time, the ranges that
-    fit the budget are taken whole, and the range at the limit is sorted and cut.
-    `taken` is the words of the copies taken; `finish` the first copy's time.
-
-    A hot source, and rows that share an id or have none, are spread over hash bins with running totals of
-    the bins, so no task holds a source; only rows that are equal in id and text share
-    a bin for certain. Null text has size 0 and takes nothing; texts of any length are
-    counted whole; null source is a source; equal documents are told apart by their
-    order alone; an empty table gives none; input columns of the result's names are
-    replaced.
+    fit the budget are taken whole, and the range at the limit is sorted and cut. In
+    each source and round that takes all up to one hash, by which rows are chosen: texts
+    are never shuffled. `taken` is the words of the copies taken.
+
+    A hot source, and rows that share an id or have none, are spread over ranges of
+    the hash with running totals, so no task holds a source; rows that are equal in id
+    and text are taken alike. Null text has size 0 and takes nothing; texts of any
+    length are counted whole; null source is a source; an empty table gives none; input
+    columns of the result's names are replaced.
     """
-    names = {"size", "source_size", "target", "taken", "finish"}
+    names = {"size", "source_size", "target", "taken"}
     keep = [c for c in keep if c not in names]
-    shuffled = F.xxhash64(F.lit(seed), "doc_id", "text")
-    sized = docs.select(*dict.fromkeys([*keep, "source"]), word_count(F.col("text")).alias("size"), shuffled.alias("_r"))
+    sized = docs.select(*dict.fromkeys([*keep, "source"]), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_r"))
     light = "text" not in keep  # then the rows themselves are written once and read again
     small = materialise(sized if light else sized.select("source", "size", "_r"), "sizes")
-    n = small.count()
-    bins = max(1, -(-n // ROWS_A_BIN)) * 8
-    bin_of = F.pmod(F.shiftright("_r", 20), F.lit(bins))
-
-    def placed(df: DataFrame) -> DataFrame:
-        """With the source's words before each document."""
-        df = df.withColumn("_bin", bin_of)
-        at = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_bin2"))
-        inside = Window.partitionBy("source", "_bin").orderBy("_r", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.join(offsets, at).withColumn("_end", F.col("_before") + F.sum("size").over(inside)).drop("_source", "_bin2", "_before", "_bin")
-
-    binned = small.groupBy("source", bin_of.alias("bin")).agg(F.sum("size").alias("in_bin"))
-    binned = materialise(binned, "bins")
-    targets = source_targets(binned.groupBy("source").agg(F.sum("in_bin").alias("source_size")), share, epochs, weights)
-    targets = materialise(targets, "targets").select(F.col("source").alias("_source"), "source_size", "target", F.col("sid").alias("_sid"))
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = binned.select("source", F.col("bin").alias("_bin2"), F.coalesce(F.sum("in_bin").over(before), F.lit(0)).alias("_before"))
-    offsets = materialise(offsets.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("source"), "offsets")
-
-    def finish(epoch: Column) -> Column:
-        return F.when((F.col("size") > 0) & (F.col("target") > 0), (epoch * F.col("source_size") + F.col("_end")) / F.col("target"))
-
-    copies = placed(small).select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "*").withColumn("time", finish(F.col("epoch"))).where("time is not null")
-    copies = materialise(copies.select("time", F.floor(F.col("time") * bins).alias("range"), F.col("_sid").alias("sid"), F.col("_r").alias("r"), "size"), "copies")
-    whole = small.agg(F.sum("size")).first()[0] or 0
+    sums = small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sums = materialise(sums, "sums")
+    n, whole = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    ranges = max(1, -(-n // ROWS_A_RANGE)) * 8
+    targets = materialise(source_targets(sums.select("source", "source_size"), share, epochs, weights), "targets").withColumnsRenamed({"source": "_source", "sid": "_sid"})
+    of_source = F.col("source").eqNullSafe(F.col("_source"))
+    placed = running_total(small.select("source", "size", "_r"), ["source"], "size", "_end", "_r", "size").where("size > 0")
+    copies = placed.join(sent_if_small(targets), of_source).where("target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    copies = copies.withColumn("time", (F.col("epoch") * F.col("source_size") + F.col("_end")) / F.col("target"))
+    # At time 1 every source has its target, so nearly all of the budget is used up; what finishes after time 2 is one range.
+    copies = materialise(copies.select("time", F.least(F.floor(F.col("time") * ranges), F.lit(2 * ranges)).alias("range"), F.col("_sid").alias("sid"), F.col("_r").alias("r"), "epoch", "size"), "copies")
     budget = int(share * whole)
-    ranges = copies.groupBy("range").agg(F.sum("size").alias("in_range")).select("range", "in_range", F.sum("in_range").over(Window.orderBy("range")).alias("upto"))
-    limit = ranges.where(F.col("upto") > budget).orderBy("range").select("range", F.col("upto") - F.col("in_range")).first()
-    key = ("time", "sid", "r")
-    if limit is None:
-        last = None
-    else:
-        upto = Window.orderBy(*key, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        at_limit = copies.where(F.col("range") == limit[0]).select(F.struct(*key).alias("key"), (F.sum("size").over(upto) + limit[1]).alias("upto"))
+    upto = copies.groupBy("range").agg(F.sum("size").alias("in_range")).select("range", "in_range", F.sum("in_range").over(Window.orderBy("range")).alias("upto"))
+    limit = upto.where(F.col("upto") > budget).orderBy("range").select("range", F.col("upto") - F.col("in_range")).first()
+    taken = copies
+    if limit is not None:
+        key, row = ("time", "sid", "r"), Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        at_limit = copies.where(F.col("range") == limit[0]).select(F.struct(*key).alias("key"), (F.sum("size").over(row.orderBy(*key, "size")) + limit[1]).alias("upto"))
         last = at_limit.where(F.col("upto") <= budget).agg(F.max("key")).first()[0]
-    out = placed(small if light else sized)
-
-    def is_taken(epoch: int) -> Column:
-        time = finish(F.lit(epoch))
-        if limit is None:
-            ok = time.isNotNull()
-        elif last is None:
-            ok = F.floor(time * bins) < limit[0]
-        else:
-            ok = F.struct(time.alias("time"), F.col("_sid").alias("sid"), F.col("_r").alias("r")) <= F.struct(F.lit(last.time).alias("time"), F.lit(last.sid).alias("sid"), F.lit(last.r).alias("r"))
-        return F.when(time.isNotNull() & ok, F.col("size")).otherwise(F.lit(0))
-
-    return out.select(*keep, "size", "source_size", "target", sum(is_taken(e) for e in range(epochs)).cast("long").alias("taken"), finish(F.lit(0)).alias("finish"))
+        taken = copies.where(F.col("range") < limit[0])
+        if last is not None:
+            taken = taken.unionByName(copies.where((F.col("range") == limit[0]) & (F.struct(*key) <= F.struct(F.lit(last.time).alias("time"), F.lit(last.sid).alias("sid"), F.lit(last.r).alias("r")))))
+    cuts = taken.groupBy("sid").agg(*(F.max(F.when(F.col("epoch") == e, F.col("r"))).alias(f"_cut{e}") for e in range(epochs)))
+    chosen = targets.join(cuts, F.col("_sid") == F.col("sid"), "left").drop("sid")
+    out = (small if light else sized).join(sent_if_small(materialise(chosen, "chosen")), of_source)
+    words = sum((F.when(F.col("_r") <= F.col(f"_cut{e}"), F.col("size")).otherwise(F.lit(0)) for e in range(epochs)), F.lit(0))
+    return out.select(*keep, "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
 def op7_mix(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"), ["doc_id"]).drop("finish")
+    return mix(table(spark, sf_dir, "documents"), ["doc_id"])
