@@ -58,7 +58,7 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the mix takes, each as often as it takes them, twice at most. Texts without a word are never taken; a null source is a source; of rows that tie, those with the smaller hash come first, and equal rows are alike."""
-    rows, back = _aside(docs, "size", "source_size", "target", "taken", "finish")
+    rows, back = _aside(docs, "size", "source_size", "target", "taken")
     times = (F.col("taken") / F.col("size")).cast("int")
     return mix(rows, rows.columns).where("taken > 0").select("*", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select(back)
 
