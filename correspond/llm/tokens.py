@@ -175,7 +175,7 @@ class Encoder:
     tokenizer's normaliser and word pattern never look past white space; `direct` is for tokenizers where they do.
     Where tokens mark the end of a word, letters and the punctuation after them are tokenised apart."""
 
-    def __init__(self, json: str, direct: bool = False, remember: int = 400_000):
+    def __init__(self, json: str, direct: bool = False, remember: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -236,7 +236,7 @@ def _encoder(held: dict) -> Encoder:
     return held["encoder"]
 
 
-def _gathered(batches, most: int = 8 << 20):
+def _gathered(batches, most: int = 4 << 20):
     """Joins small batches to some MB, in which words repeat more."""
     held, size = [], 0
     for batch in batches:
@@ -249,7 +249,7 @@ def _gathered(batches, most: int = 8 << 20):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _slices(texts: pa.Array, most: int = 8 << 20):
+def _slices(texts: pa.Array, most: int = 4 << 20):
     """(start, rows) of runs of texts of some MB together, or one text."""
     sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), 0
     upto = np.cumsum(sizes)
