@@ -487,3 +487,17 @@ def test_mix_rows_without_id(spark):
         own = got.where(F.col("source") == s)
         target, taken = own.agg(F.first("target"), F.sum("taken")).first()
         assert abs(target - taken) <= 100
+
+
+def test_clashing_columns(spark, docs):
+    """Columns that operators use for their own results, in their inputs."""
+    names = ("head", "content", "learn", "segment", "share", "n", "held_out", "score", "lang_pred", "_words", "_text", "n_words", "h", "lengths", "short")
+    odd = docs.drop("score", "held_out").select("*", *(F.lit("7").alias(c) for c in names))
+    assert sorted(map(str, language.languages(odd).collect())) == sorted(map(str, language.languages(docs).collect()))
+    assert sorted(map(str, rules.quality_rules(odd).collect())) == sorted(map(str, rules.quality_rules(docs).collect()))
+    said = docs.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), chat.text_part(F.col("text")).alias("parts"))
+    more = said.select("*", *(F.lit("7").alias(c) for c in names))
+    assert sorted(map(str, chat.format_turns(more).collect())) == sorted(map(str, chat.format_turns(said).collect()))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.com/"), F.col("source")).alias("url"))
+    rule = spark.createDataFrame([("com", "/s", "block")], "host string, path string, verdict string")
+    assert sorted(map(str, urls.judge(pages.select("*", *(F.lit("7").alias(c) for c in names)), rule).collect())) == sorted(map(str, urls.judge(pages, rule).collect()))
