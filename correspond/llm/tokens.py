@@ -236,7 +236,7 @@ def _encoder(held: dict) -> Encoder:
     return held["encoder"]
 
 
-def _gathered(batches, most: int = 4 << 20):
+def _gathered(batches, most: int = 6 << 20):
     """Joins small batches to some MB, in which words repeat more."""
     held, size = [], 0
     for batch in batches:
@@ -249,7 +249,7 @@ def _gathered(batches, most: int = 4 << 20):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _slices(texts: pa.Array, most: int = 4 << 20):
+def _slices(texts: pa.Array, most: int = 6 << 20):
     """(start, rows) of runs of texts of some MB together, or one text."""
     sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), 0
     upto = np.cumsum(sizes)
