@@ -1,10 +1,15 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from correspond.llm import chat, decontaminate, language, mixing, pii, quality, rules, simhash, tokens, urls
+import functools
+
+from correspond.llm import chat, decontaminate, imatch, language, mixing, pii, quality, resample, rules, search, simhash, tokens, urls
 
 QUERIES = {
     f.__name__: f
-    for f in (quality.op1_quality, pii.op2_pii, rules.op3_rules, chat.op4_chat, urls.op5_urls, simhash.op6_simhash, mixing.op7_mix, tokens.op8_token_output, decontaminate.op9_decontaminate, language.op10_language)
+    for f in (
+        quality.op1_quality, pii.op2_pii, rules.op3_rules, chat.op4_chat, urls.op5_urls, simhash.op6_simhash, mixing.op7_mix, tokens.op8_token_output,
+        decontaminate.op9_decontaminate, language.op10_language, search.op11_search, resample.op12_resample, imatch.op13_imatch,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +23,9 @@ def _escaped(column: str) -> str:
 
 _FOLDED = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: The remainders of the sixteen half bytes under the reflected polynomial of crc32.
+_CRC_NIBBLES = [functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), n) for n in range(16)]
+
 ORACLE_SQL = {
     "op3_rules": r"""
 WITH w AS (
@@ -78,4 +86,36 @@ items AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FR
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r) LEFT JOIN spans USING (r)""",
+    "op11_search": rf"""
+WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_FOLDED} AS w FROM documents) WHERE len(w) > 0),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS (SELECT row_number() OVER () AS r, item_id, {_FOLDED} AS w FROM benchmark),
+qt AS (SELECT r, t, count(*) AS times FROM (SELECT r, unnest(w) AS t FROM q) GROUP BY r, t),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT row_number() OVER () AS k, unnest(w) AS t FROM d) GROUP BY k, t),
+own AS (SELECT row_number() OVER () AS k, doc_id, 25 + (75 * n * n_docs) // n_terms AS m, n_docs FROM d, whole),
+tw AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, whole WHERE t IN (SELECT t FROM qt) GROUP BY t),
+s AS (SELECT r, k, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM qt JOIN tw USING (t) JOIN p USING (t) JOIN own USING (k) GROUP BY r, k),
+o AS (SELECT r, doc_id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id) AS rank FROM s JOIN own USING (k) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o JOIN q USING (r) WHERE rank <= 10""",
+    "op12_resample": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents),
+terms AS (SELECT DISTINCT unnest(w) AS t FROM d UNION SELECT DISTINCT unnest({_FOLDED}) AS t FROM benchmark),
+nibbles AS (SELECT t, list_transform(range(2 * octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), i + 2 * (1 - i % 2), 1))::BIGINT) AS b FROM terms),
+-- crc32 by half bytes, the lower one first
+crc AS (
+  SELECT t, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 4, ([{", ".join(map(str, _CRC_NIBBLES))}])[1 + (xor(c, x) & 15)])), 4294967295) % {resample.BUCKETS} AS bucket
+  FROM nibbles),
+raw AS (SELECT bucket, count(*) AS s FROM (SELECT unnest(w) AS t FROM d) JOIN crc USING (t) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM (SELECT unnest({_FOLDED}) AS t FROM benchmark) JOIN crc USING (t) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM raw)::BIGINT + {resample.BUCKETS} AS all_s, (SELECT coalesce(sum(t), 0) FROM target)::BIGINT + {resample.BUCKETS} AS all_t),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(target.t, 0) + 1) * all_s / ((s + 1) * all_t)))::BIGINT AS gain
+  FROM raw LEFT JOIN target USING (bucket), sums),
+heavy AS (SELECT r, sum(gain)::BIGINT AS weight FROM (SELECT r, unnest(w) AS t FROM d) JOIN crc USING (t) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN heavy USING (r)),
+able AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= ({resample.PERCENT} * n) // 100 THEN rank END AS rank FROM scored LEFT JOIN able USING (r)""",
 }
