@@ -42,14 +42,23 @@ def parse_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*keys, "mail_id", "r.*")
 
 
+#: How a reply names the mail that it answers: when, and by whom; and the time in it. Fixed values.
+QUOTE = r"(\d{4}년 \d{1,2}월 \d{1,2}일[^,]+),\s*(.+?)님이 작성:"
+QUOTE_TIME = r"(\d{4})년 (\d{1,2})월 (\d{1,2})일[^(]*\([^)]+\)\s*(오전|오후)\s*(\d{1,2}):(\d{2})"
+
+
 def quoted(text: Column) -> tuple[Column, Column]:
-    """Address and minute (`YYYY-MM-DD HH:MM`) of the mail that a body quotes; nulls without one."""
-    pattern = r"(\d{4})년 (\d{1,2})월 (\d{1,2})일[^(]*\([^)]+\)\s*(오전|오후)\s*(\d{1,2}):(\d{2})[^<]*<([^>]+)>"
-    g = lambda k: F.regexp_extract(text, pattern, k)
+    """Address and minute (`YYYY-MM-DD HH:MM`) of the mail that a body quotes; nulls without one.
+
+    The first passage that ends in the marker counts, and nothing beyond it: a sender is an address in angle
+    brackets, or all that stands before the marker; a date without the marker, or a marker without a readable time, is no quote.
+    """
+    when, who = (F.regexp_extract(text, QUOTE, k) for k in (1, 2))
+    g = lambda k: F.regexp_extract(when, QUOTE_TIME, k)
     hour = F.when((g(4) == "오후") & (g(5) != "12"), g(5).cast("int") + 12).when((g(4) == "오전") & (g(5) == "12"), 0).otherwise(g(5).cast("int"))
     minute = F.format_string("%s-%02d-%02d %02d:%s", g(1), g(2).cast("int"), g(3).cast("int"), hour, g(6))
-    found = text.rlike(pattern)
-    return F.when(found, F.lower(g(7))), F.when(found, minute)
+    found, inner = when.rlike(QUOTE_TIME), F.regexp_extract(who, "<([^>]+)>", 1)
+    return F.when(found, F.lower(F.when(inner != "", inner).otherwise(F.trim(who)))), F.when(found, minute)
 
 
 def reply_links(mails: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from correspond.operators import scan
 from correspond.operators.keywords import occurrences
+from correspond.operators.tables import written
 
 _DATE = r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"
 _TIME = r"(오전|오후)\s*(\d{1,2}):(\d{2})"
@@ -14,6 +16,13 @@ SYSTEM = rf"^{_DATE}\s+{_TIME}:\s*(.*)$"
 PC = rf"^\[(.+?)\]\s*\[{_TIME}\]\s*(.*)$"
 #: Messages of a block at most. Fixed value.
 BLOCK = 400
+#: Line ends besides those of text files, and white space at the end of a line, both in patterns. Fixed values.
+LINE_ENDS = r"\R|[\x1c-\x1e]"
+TRAILING = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+#: How an export's first line gives a room's name. Fixed value.
+ROOM_HINT = r"(?d)카카오톡\s*대화\s*[:：]?\s*(.+)"
+#: Lines of a file that one task scans.
+SEGMENT = 100_000
 
 
 def hour_of(half: Column, hour: Column) -> Column:
@@ -22,17 +31,27 @@ def hour_of(half: Column, hour: Column) -> Column:
     return F.when((half == "오후") & (h != 12), h + 12).when((half == "오전") & (h == 12), 0).otherwise(h)
 
 
+def room_name(text: Column, fallback: Column) -> Column:
+    """A room's name from the first line with text among an export's first five: what follows the hint; without the hint, or nothing after it, the fallback."""
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    first = F.get(F.filter(F.transform(F.slice(F.split(text, LINE_ENDS, 6), 1, 5), bare), lambda x: x != ""), F.lit(0))
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(first, ROOM_HINT, 1)), F.lit("")), fallback)
+
+
 def lines_of(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole texts -> (keys, line_no, line), split at every kind of line end."""
-    return texts.select(*keys, F.posexplode(F.split("text", r"\R|[\x1c-\x1e]")).alias("line_no", "line"))
+    """Whole texts -> (keys, line_no, line), split at every kind of line end. Files that are larger than a row should be are read by sources.readers.export_lines."""
+    return texts.select(*keys, F.posexplode(F.split("text", LINE_ENDS)).alias("line_no", "line"))
 
 
-def parse_export(lines: DataFrame, file: str = "file") -> DataFrame:
+def parse_export(lines: DataFrame, file: str = "file", segment: int = SEGMENT) -> DataFrame:
     """(file, line_no, line) -> (file, message, dt, sender, text, is_system).
 
     The date is carried forward over a file's lines; a line that starts no message
-    continues the one before; lines before the first message and blank ones fall away.
+    continues the one before; lines before the first message and blank ones fall away, and so does white space at
+    the end of lines. Files are scanned in segments of so many lines, each of which goes on from the date and the message that
+    those before leave open, so one file is spread over all tasks; only the lines of one message meet in one.
     """
+    lines = lines.select(file, "line_no", F.regexp_replace("line", TRAILING, "").alias("line"))
     line = F.col("line")
     get = lambda p, k: F.regexp_extract(line, p, k)
     date = lambda p: F.format_string("%s-%02d-%02d", get(p, 1), get(p, 2).cast("int"), get(p, 3).cast("int")).cast("date")
@@ -43,17 +62,18 @@ def parse_export(lines: DataFrame, file: str = "file") -> DataFrame:
     rows = lines.withColumn("kind", kind)
     pick = lambda options, other=None: F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in options.items()), F.lit(other))
     own = F.when(line.rlike(SEPARATORS[0]), date(SEPARATORS[0])).when(F.col("kind") == "sep", date(SEPARATORS[1])).when(F.col("kind") == "mobile", date(MOBILE[0])).when(F.col("kind") == "alt", date(MOBILE[1])).when(F.col("kind") == "system", date(SYSTEM))
-    before = Window.partitionBy(file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("day", F.last(own, ignorenulls=True).over(before))
-    start = F.coalesce(F.col("kind").isin("mobile", "alt", "system") | ((F.col("kind") == "pc") & F.col("day").isNotNull()), F.lit(False))
     clock = {"mobile": (MOBILE[0], 4), "alt": (MOBILE[1], 4), "system": (SYSTEM, 4), "pc": (PC, 2)}
     hour = pick({k: hour_of(get(p, i), get(p, i + 1)) for k, (p, i) in clock.items()})
     minute = pick({k: get(p, i + 2).cast("int") for k, (p, i) in clock.items()})
     sender = pick({"mobile": get(MOBILE[0], 7), "alt": get(MOBILE[1], 7), "pc": get(PC, 1)})
     said = pick({"mobile": get(MOBILE[0], 8), "alt": get(MOBILE[1], 8), "system": get(SYSTEM, 7), "pc": get(PC, 5)})
+    # Lines are told apart once; the scans read no more than the columns that they need.
+    rows = rows.where("kind is not null or trim(line) <> ''").select(file, "line_no", F.floor(F.col("line_no") / segment).alias("_segment"), "kind", own.alias("own"), hour.alias("hour"), minute.alias("minute"), sender.alias("sender"), said.alias("said"), F.when(F.col("kind").isNull() | (F.col("kind") == "pc"), F.col("line")).alias("line"))
+    rows = scan.carry_forward(written(rows, "lines"), [file], "_segment", "line_no", F.col("own"), "day")
+    start = F.coalesce(F.col("kind").isin("mobile", "alt", "system") | ((F.col("kind") == "pc") & F.col("day").isNotNull()), F.lit(False))
     dt = F.expr("timestampadd(MINUTE, hour * 60 + minute, cast(day as timestamp_ntz))")
-    rows = rows.withColumns({"start": start, "hour": hour, "minute": minute, "sender": sender, "said": F.when(start, said).otherwise(line)})
-    rows = rows.withColumn("message", F.sum(F.col("start").cast("long")).over(before)).where("message > 0 and (start or (kind is null or kind = 'pc') and trim(line) <> '')")
+    rows = scan.running_count(rows.withColumn("start", start), [file], "_segment", "line_no", F.col("start"), "message")
+    rows = rows.where("message > 0 and (start or kind is null or kind = 'pc')").withColumn("said", F.when(F.col("start"), F.col("said")).otherwise(F.col("line")))
     first = F.when(F.col("start"), F.struct(dt.alias("dt"), F.trim("sender").alias("sender"), (F.col("kind") == "system").alias("is_system")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), "\n")
     return rows.groupBy(file, "message").agg(F.max(first).alias("m"), text.alias("text")).select(file, "message", "m.dt", "m.sender", "text", "m.is_system")
@@ -67,11 +87,43 @@ def day_blocks(messages: DataFrame, room: str = "chatroom_id") -> DataFrame:
 
 
 def block_facts(rows: DataFrame, room: str = "chatroom_id") -> DataFrame:
-    """Each block's real messages, participants in the order they first speak, and their number."""
+    """Each block's real messages, participants in the order they first speak, and their number.
+
+    Where rows have a column `listed`, the participants that the block's header lists count instead, unless it lists nobody."""
     real = ~F.coalesce("is_system", F.lit(False)) & F.col("sender").isNotNull()
-    first = rows.groupBy(room, "block_id", "sender").agg(F.count_if(real).alias("n"), F.min(F.when(real, F.col("place"))).alias("at"))
-    who = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "sender")))), lambda x: x["sender"])
-    return first.groupBy(room, "block_id").agg(F.sum("n").alias("message_count"), F.count("at").alias("participant_count"), who.alias("participants"))
+    listed = F.max("listed") if "listed" in rows.columns else F.lit(None).cast("array<string>")
+    first = rows.groupBy(room, "block_id", "sender").agg(F.count_if(real).alias("n"), F.min(F.when(real, F.col("place"))).alias("at"), listed.alias("listed"))
+    spoke = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "sender")))), lambda x: x["sender"])
+    facts = first.groupBy(room, "block_id").agg(F.sum("n").alias("message_count"), spoke.alias("spoke"), F.max("listed").alias("listed"))
+    who = F.when(F.size("listed") > 0, F.col("listed")).otherwise(F.col("spoke"))
+    return facts.select(room, "block_id", "message_count", F.size(who).cast("long").alias("participant_count"), who.alias("participants"))
+
+
+#: Header lines of a stored block, what stands for nobody, and the body. Fixed values.
+BLOCK_HEADER = {"block_id": "ID", "room": "채팅방", "block_date": "날짜", "participants": "참여자"}
+NOBODY = "알 수 없음"
+BLOCK_BODY = r"(?s)\[대화 내용\]\s*\n(.*?)(?:\n=+|\z)"
+#: A line of a stored block that starts a message: the time, and a notice or a sender with what they say. Fixed value.
+MESSAGE_LINE = r"(?d)^(\d{2}:\d{2})\s+(?:\[알림\]\s?(.*)|([^:\n]+?):\s(.*))$"
+
+
+def render_blocks(rows: DataFrame, room: str = "chatroom_id", name: str = "room_name") -> DataFrame:
+    """Messages of day_blocks with the room's name -> (room, block_id, text) as stored: header, participants in the order they first speak, lines."""
+    facts = block_facts(rows, room).select(room, "block_id", "participants")
+    named = rows.groupBy(room, "block_id").agg(F.max(name).alias("_name"))
+    head = [F.concat(F.lit(f"{BLOCK_HEADER[c]}: "), v) for c, v in (("block_id", F.col("block_id")), ("room", F.col("_name")), ("block_date", F.substring("block_id", 1, 10)), ("participants", F.when(F.size("participants") > 0, F.array_join("participants", ", ")).otherwise(F.lit(NOBODY))))]
+    bar = F.lit("=" * 60)
+    text = F.concat_ws("\n", bar, *head, F.lit(""), F.lit("[대화 내용]"), "text", bar)
+    return render_lines(rows, room).join(facts, [room, "block_id"]).join(named, [room, "block_id"]).select(room, "block_id", text.alias("text"))
+
+
+def stored_blocks(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """texts(keys, seq, text) -> (keys, block_id, room, block_date, listed, text): each block of an id once, by its first text; texts without an id, as the later parts of a cut block, are left out. text is the body."""
+    g = lambda name: F.trim(F.regexp_extract("text", rf"(?md)^{name}:\s*(.+)$", 1))
+    fields = {c: g(name) for c, name in BLOCK_HEADER.items()}
+    listed = F.filter(F.transform(F.split(fields["participants"], ","), lambda x: F.trim(x)), lambda x: (x != "") & (x != NOBODY))
+    first = texts.withColumn("block_id", fields["block_id"]).where("block_id <> ''").groupBy(*keys, "block_id").agg(F.min_by("text", "seq").alias("text"))
+    return first.select(*keys, "block_id", fields["room"].alias("room"), F.nullif(fields["block_date"], F.lit("")).alias("block_date"), listed.alias("listed"), F.regexp_extract("text", BLOCK_BODY, 1).alias("text"))
 
 
 def render_lines(rows: DataFrame, room: str = "chatroom_id") -> DataFrame:
@@ -82,15 +134,16 @@ def render_lines(rows: DataFrame, room: str = "chatroom_id") -> DataFrame:
 
 
 def parse_lines(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Block texts -> (keys, message, time, sender, text, is_system): a line that starts with a time starts a message, others go on."""
-    start = r"^(\d{2}:\d{2}) (?:(\[알림\]) |([^:\n]+): )(.*)$"
+    """Bodies of blocks -> (keys, message, time, sender, text, is_system): a line that starts with a time starts a message, others go on."""
     w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = blocks.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("start", F.col("line").rlike(start))
+    rows = lines_of(blocks, keys).withColumn("start", F.col("line").rlike(MESSAGE_LINE))
     rows = rows.withColumn("message", F.sum(F.col("start").cast("int")).over(w)).where("message > 0")
-    get = lambda k: F.when(F.col("start"), F.regexp_extract("line", start, k))
-    said = F.struct("line_no", F.coalesce(get(4), F.col("line")).alias("said"))
+    get = lambda k: F.when(F.col("start"), F.regexp_extract("line", MESSAGE_LINE, k))
+    notice = F.col("line").rlike(r"^\d{2}:\d{2}\s+\[알림\]")
+    said = F.struct("line_no", F.when(~F.col("start"), F.col("line")).when(notice, get(2)).otherwise(get(4)).alias("said"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["said"]), "\n")
-    return rows.groupBy(*keys, "message").agg(F.max(get(1)).alias("time"), F.nullif(F.max(get(3)), F.lit("")).alias("sender"), text.alias("text"), F.max(get(2) != "").alias("is_system"))
+    sender = F.max(F.when(F.col("start") & ~notice, F.trim(get(3))))
+    return rows.groupBy(*keys, "message").agg(F.max(get(1)).alias("time"), sender.alias("sender"), text.alias("text"), F.max(F.col("start") & notice).alias("is_system"))
 
 
 def mentions(blocks: DataFrame, keywords: DataFrame) -> DataFrame:

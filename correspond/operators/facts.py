@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
 from correspond.operators import blocks, snapshot
-from correspond.operators.graph import attribute, pairs
+from correspond.operators.graph import pairs
 
 #: Tones that an entity's description may name. Fixed values.
 TONES = ("formal", "casual", "transactional", "notification", "alert")
 
 
 def tones(entities: DataFrame) -> DataFrame:
-    """entities(account, title, type, description) -> (account, title, kg_tone) of mails, title in capitals; one tone a mail, of several the last by name."""
-    tone = F.lower(F.regexp_extract(attribute(F.col("description"), "Tone"), r"^(\w+)", 1))
-    named = entities.where(F.upper("type") == "EMAIL").select("account", F.upper("title").alias("title"), tone.alias("kg_tone"))
-    return named.where(F.col("kg_tone").isin(*TONES)).groupBy("account", "title").agg(F.max("kg_tone").alias("kg_tone"))
+    """entities(account, title, type, description) -> (account, title, kg_tone) of mails, title in capitals; one tone a mail: of several entities of a mail the last by seq, or by name where entities have no seq."""
+    tone = F.lower(F.regexp_extract("description", r"(?U)Tone:\s*(\w+)", 1))
+    seq = F.col("seq") if "seq" in entities.columns else F.lit(0)
+    named = entities.where(F.upper("type") == "EMAIL").select("account", F.upper("title").alias("title"), tone.alias("kg_tone"), seq.alias("seq"))
+    return named.where(F.col("kg_tone").isin(*TONES)).groupBy("account", "title").agg(F.max(F.struct("seq", "kg_tone")).alias("t")).select("account", "title", "t.kg_tone")
 
 
 def mail_fact(texts: DataFrame, entities: DataFrame, tone_of: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -76,5 +77,5 @@ def message_keyword_fact(mentions: DataFrame, participants: DataFrame, least: in
 
 
 def relationship_fact(links: DataFrame, roster: DataFrame, stored: DataFrame) -> DataFrame:
-    """links(source, target, seq, relation) between persons of the roster(name), merged into stored(person_a, person_b, relation): each pair once, the last link of a pair counting."""
-    return snapshot.upsert(stored, pairs(links, roster), ["person_a", "person_b"], keep_if_null=("relation",))
+    """links(source, target, seq, relation, description) between persons of the roster(name), merged into stored(person_a, person_b, relation, description): each pair once, the last link of a pair counting."""
+    return snapshot.upsert(stored, pairs(links, roster), ["person_a", "person_b"])

@@ -38,10 +38,41 @@ def degrees(links: DataFrame) -> DataFrame:
 
 
 def pairs(links: DataFrame, roster: DataFrame) -> DataFrame:
-    """Undirected labelled pairs of persons in the roster(name); the last link of a pair wins."""
+    """links(source, target, seq, relation, description) -> undirected labelled pairs of persons in the roster(name), with relation and description of a pair's last link; of two that share the last place, the higher by relation and description."""
     known = roster.select("name").distinct()
-    kept = links.where("relation is not null and source <> target").join(known.withColumnRenamed("name", "source"), "source", "left_semi").join(known.withColumnRenamed("name", "target"), "target", "left_semi")
-    return kept.groupBy(F.least("source", "target").alias("person_a"), F.greatest("source", "target").alias("person_b")).agg(F.max_by("relation", "seq").alias("relation"))
+    kept = links.where("relation <> '' and string(source) <> '' and string(target) <> '' and source <> target").join(known.withColumnRenamed("name", "source"), "source", "left_semi").join(known.withColumnRenamed("name", "target"), "target", "left_semi")
+    return kept.groupBy(F.least("source", "target").alias("person_a"), F.greatest("source", "target").alias("person_b")).agg(F.max(F.struct("seq", "relation", "description")).alias("l")).select("person_a", "person_b", "l.relation", "l.description")
+
+
+def contact_counts(relationships: DataFrame, entities: DataFrame, owners: DataFrame, keys: list[str], stored: DataFrame | None = None) -> DataFrame:
+    """Mail contacts from a graph: (keys, contact, name, sent, received, friendly).
+
+    relationships(keys, source, target, description), entities(keys, seq, title, type, description),
+    owners(keys, owner). A description that speaks of a recipient counts as sent to the target, of a sender as received
+    from it, and of a copy as neither; who has one of the two is a contact, but for the owner. friendly are
+    all relationships from casual mails. Names come from the last person entity of the title,
+    the first of several; `none` is no name. Contacts are told in lower case; of titles that differ in case alone the last counts.
+    stored(keys, contact, name, sent, received, friendly) is added up with the new counts of the contacts that the graph has, whose
+    missing names it keeps; its other contacts stay as they are.
+    """
+    says = lambda word: F.coalesce(F.col("description").contains(word), F.lit(False))
+    person, mail = F.upper("type") == "PERSON", F.upper("type") == "EMAIL"
+    casual = entities.where(mail & F.col("description").contains("Tone: casual")).select(*keys, F.col("title").alias("source"), F.lit(1).alias("_casual")).distinct()
+    copy = says("참조")
+    edge = relationships.join(casual, [*keys, "source"], "left").groupBy(*keys, "target").agg(F.count_if(says("수신자") & ~copy).alias("sent"), F.count_if(says("발신자") & ~copy).alias("received"), F.count("_casual").alias("friendly"))
+    known = edge.where("sent + received > 0").join(owners.select(*keys, F.upper("owner").alias("target")), [*keys, "target"], "left_anti")
+    name = F.trim(F.regexp_extract("description", r"(?d)Name:\s*(.+)", 1))
+    name = F.when(F.lower(name) == "none", "").when(name.contains(","), F.trim(F.split_part(name, F.lit(","), F.lit(1)))).otherwise(name)
+    names = entities.where(person).groupBy(*keys, F.upper("title").alias("_upper")).agg(F.max_by(F.coalesce(name, F.lit("")), "seq").alias("name"))
+    told = known.withColumn("_upper", F.upper("target")).join(names, [*keys, "_upper"], "left")
+    row = F.struct("target", F.coalesce("name", F.lit("")).alias("name"), "sent", "received", "friendly")
+    new = told.groupBy(*keys, F.lower("target").alias("contact")).agg(F.max(row).alias("r")).select(*keys, "contact", "r.name", "r.sent", "r.received", "r.friendly")
+    if stored is None:
+        return new
+    old = stored.select(*keys, "contact", *(F.col(c).alias(f"_{c}") for c in ("name", "sent", "received", "friendly")))
+    both = new.join(old, [*keys, "contact"], "full")
+    counts = ((F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("sent", "received", "friendly"))
+    return both.select(*keys, "contact", F.coalesce(F.nullif("name", F.lit("")), "_name", F.lit("")).alias("name"), *counts)
 
 
 def parse_records(texts: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from correspond.operators.prefixes import best_beginnings
 from correspond.operators.series import running_total
 from correspond.operators.tables import written
 
@@ -65,10 +66,40 @@ def date_range(text: Column, as_of: str) -> Column:
     return out
 
 
+#: Levels of spans of days: the highest is of some 2,900 years.
+LEVELS = 21
+
+
+def _spans(first: Column, last: Column) -> Column:
+    """The fewest spans of 2^level days, each at a multiple of its length, that make up the days first to last (numbers): two a level at most."""
+    spans = []
+    for k in range(LEVELS):
+        low, high = F.shiftright(first + F.lit((1 << k) - 1), k), F.shiftright(last + 1, k)
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        cell = lambda x: F.struct(F.lit(k).alias("level"), x.cast("int").alias("cell"))  # noqa: E731, B023
+        spans += [F.when((low < high) & odd(low), cell(low)), F.when((low < high) & odd(high), cell(high - 1))]
+    return F.filter(F.array(*spans), lambda s: s.isNotNull())
+
+
 def in_ranges(queries: DataFrame, mails: DataFrame, at: str = "mail_date") -> DataFrame:
-    """queries(query_id, start, end) x mails in the days start to end, by an equi-join on the day: no range is compared with all mails."""
-    days = queries.select("*", F.explode(F.sequence("start", "end")).alias("day"))
-    return days.join(mails.withColumn("day", F.to_date(at)), "day")
+    """queries(query_id, start, end) x mails between start and end: days, both included, or times.
+
+    A range is made up of spans of days whose lengths are powers of two, ten years of some 20, and a mail meets
+    the spans of the lengths in use that its day is in, by an equi-join; so a range costs no row a day, and no range is compared with all mails.
+    """
+    number = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
+    spans = queries.select("*", F.explode(_spans(number("start"), number("end"))).alias("_s")).select("*", "_s.level", "_s.cell").drop("_s").withColumnsRenamed({"level": "_level", "cell": "_cell"})
+    used = sorted(r[0] for r in spans.select("_level").distinct().collect())
+    if not used:
+        return spans.join(mails.withColumn("day", F.to_date(at)).limit(0), F.lit(True)).drop("_level", "_cell")
+    day = number(at)
+    dated = mails.withColumn("day", F.to_date(at)).select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), F.shiftright(day, k).cast("int").alias("_cell")) for k in used))).alias("_m")).select("*", "_m.*").drop("_m")
+    met = spans.join(dated, ["_level", "_cell"]).drop("_level", "_cell")
+    kinds = dict(queries.dtypes)
+    for c, keeps in (("start", F.col(at) >= F.col("start")), ("end", F.col(at) <= F.col("end"))):
+        if kinds[c] != "date":
+            met = met.where(keeps)
+    return met
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
@@ -157,11 +188,13 @@ def federated_usage(used: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 CITED = r"ID:\s*(\S+)"
+#: Marks that an answer may put around an id, in a class of a pattern. Fixed values.
+AROUND = r"\]),.;:》」』"
 
 
 def _bare(token: Column) -> Column:
-    """Without punctuation around it."""
-    return F.regexp_replace(token, r"^[\[\]().,;:'\"]+|[\[\]().,;:'\"]+$", "")
+    """Without marks around it; others, such as opening brackets and quotes, belong to the id."""
+    return F.regexp_replace(token, rf"^[{AROUND}]+|[{AROUND}]+$", "")
 
 
 def citations(answers: DataFrame, columns=("answer", "context")) -> DataFrame:
@@ -178,28 +211,21 @@ def citations(answers: DataFrame, columns=("answer", "context")) -> DataFrame:
 def resolve(cited: DataFrame, mails: DataFrame) -> DataFrame:
     """cited(cite_id, cited), mails(mail_id, account_rank, seq) -> the mail meant: same id, else same local part, else one starts with the other (cited ids of 8 characters or more).
 
-    Equi-joins all: only what a tier leaves open goes to the next. For the last, cited
-    ids are cut to the lengths that mail ids have, and mail ids to those that open
-    cited ids have, and what is left meets on the whole of it; so a beginning that
-    all ids share costs nothing. Different cited ids are resolved once.
+    Of several mails that fit, the first by account_rank and seq is meant. Different cited ids are resolved once; those that neither
+    equi-join resolves meet the mails in the order of ids, see best_beginnings.
     """
-    ids = mails.select("mail_id", "account_rank", "seq", F.lower("mail_id").alias("low"))
-    ids = ids.withColumn("local", F.split_part("low", F.lit("@"), F.lit(1)))
-    asked = cited.select("cite_id", F.lower("cited").alias("c"))
-    terms = asked.select("c").distinct().withColumn("c_local", F.split_part("c", F.lit("@"), F.lit(1)))
-    meant = lambda rows: rows.groupBy("c").agg(F.min_by("mail_id", F.struct("account_rank", "seq")).alias("mail_id"))
-    exact = meant(terms.join(ids, F.col("c") == F.col("low"))).withColumn("tier", F.lit(1))
-    open1 = terms.join(exact, "c", "left_anti")
-    local = meant(open1.join(ids, F.col("c_local") == F.col("local"))).withColumn("tier", F.lit(2))
-    open2 = written(open1.join(local, "c", "left_anti").where("char_length(c) >= 8").select("c"), "open")
-    lengths = lambda rows, c: rows.select(F.char_length(c).alias("n")).distinct().agg(F.array_sort(F.collect_list("n"))).first()[0]
-    cuts = lambda c, of: F.explode(F.filter(F.array(*map(F.lit, of)).cast("array<int>"), lambda n: n <= F.char_length(c)))
-    key = lambda c: F.substring(c, F.lit(1), F.col("n"))
-    longer = open2.select("c", cuts("c", lengths(ids, "low")).alias("n")).select("c", key("c").alias("low")).join(ids, "low")
-    shorter = ids.select("mail_id", "account_rank", "seq", "low", cuts("low", lengths(open2, "c")).alias("n")).withColumn("c", key("low")).join(open2, "c")
-    names = ["c", "mail_id", "account_rank", "seq"]
-    prefix = meant(longer.select(names).unionByName(shorter.select(names))).withColumn("tier", F.lit(3))
-    return asked.join(exact.unionByName(local).unionByName(prefix), "c").select("cite_id", "mail_id", "tier")
+    local = lambda c: F.split_part(c, F.lit("@"), F.lit(1))
+    ids = mails.groupBy(F.lower("mail_id").alias("key")).agg(F.min(F.struct("account_rank", "seq", "mail_id")).alias("best"))
+    locals_ = ids.groupBy(local(F.col("key")).alias("c_local")).agg(F.min("best").alias("by_local"))
+    asked = cited.select("cite_id", F.lower("cited").alias("key"))
+    terms = asked.select("key").distinct().withColumn("c_local", local(F.col("key")))
+    both = terms.join(ids, "key", "left").join(locals_, "c_local", "left")
+    tier = F.when(F.col("best").isNotNull(), 1).when(F.col("by_local").isNotNull(), 2)
+    tiers = written(both.select("key", F.coalesce("best", "by_local").alias("best"), tier.alias("tier")), "tiers")
+    known, left = tiers.where("tier is not null"), tiers.where("tier is null and char_length(key) >= 8").select("key")
+    if not left.isEmpty():
+        known = known.unionByName(best_beginnings(left, ids).withColumn("tier", F.lit(3)))
+    return asked.join(known, "key").select("cite_id", "best.mail_id", "tier")
 
 
 def correct_senders(answers: DataFrame, mails: DataFrame, field: str = "발신인") -> DataFrame:

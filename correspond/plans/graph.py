@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
-from correspond.operators import facts, graph, snapshot
+from correspond.operators import communities, facts, graph, snapshot
 from correspond.plans.base import query, read
 
 _REL = """rel AS (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, min(l_orderkey) AS seq, count(*) AS n, CASE WHEN min(l_orderkey) % 3 = 0 THEN NULL ELSE sum(l_quantity) END AS weight,
@@ -54,12 +54,22 @@ def entity_attributes(spark, d):
     return _entities(spark, d).select("title", none(F.trim(F.split_part(a("Name"), F.lit(","), F.lit(1)))).alias("name"), a("Summary").alias("summary"), none(a("OrgName")).alias("org"), a("Subject").alias("subject"))
 
 
-@query("SELECT upper('m' || p_partkey) AS mail_id, lower(p_type) AS tone FROM part WHERE p_size % 2 = 0 AND lower(p_type) IN ('economy', 'small')")
+_MAILS = """told AS (SELECT o_custkey % 5 AS account, CASE WHEN o_orderkey % 4 = 0 THEN 'M' ELSE 'm' END || (o_orderkey - o_orderkey % 2) AS title, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 'topic' ELSE 'Email' END AS type,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Subject: a | Tone:  Alert' WHEN '2-HIGH' THEN 'Tone: formal | Subject: b' WHEN '3-MEDIUM' THEN 'Tone: friendly' WHEN '4-NOT SPECIFIED' THEN 'no word of it' WHEN '5-LOW' THEN 'Subject: c' || chr(10) || 'Tone: casual | x' END AS description FROM orders)"""
+
+
+def _mails(spark, d):
+    """Entities of mails and topics, two of a mail by turns."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    description = F.when(p == "1-URGENT", "Subject: a | Tone:  Alert").when(p == "2-HIGH", "Tone: formal | Subject: b").when(p == "3-MEDIUM", "Tone: friendly").when(p == "4-NOT SPECIFIED", "no word of it").when(p == "5-LOW", "Subject: c\nTone: casual | x")
+    title = F.concat(F.when(k % 4 == 0, "M").otherwise("m"), (k - k % 2).cast("string"))
+    return read(spark, d, "orders").select((F.col("o_custkey") % 5).alias("account"), title.alias("title"), k.alias("seq"), F.when(k % 7 == 0, "topic").otherwise("Email").alias("type"), description.alias("description"))
+
+
+@query(rf"WITH {_MAILS}, t AS (SELECT *, lower(regexp_extract(description, 'Tone:\s*(\w+)', 1)) AS tone FROM told WHERE upper(type) = 'EMAIL') SELECT account, upper(title) AS title, max_by(tone, seq) AS kg_tone FROM t WHERE tone IN ('formal', 'casual', 'transactional', 'notification', 'alert') GROUP BY ALL")
 def kg_tone_map(spark, d):
-    """Tones of mails in descriptions, of an allowed list."""
-    e = _entities(spark, d).where("type = 'EMAIL'")
-    tone = F.lower(F.regexp_extract("description", r"Tone:\s*(\w+)", 1))
-    return e.select(F.upper(F.regexp_extract("description", r"ID:\s*(\w+)", 1)).alias("mail_id"), tone.alias("tone")).where(F.col("tone").isin("economy", "small"))
+    """Tones of mails in descriptions, of those that count as one; the last of a mail's."""
+    return facts.tones(_mails(spark, d))
 
 
 @query("WITH e AS (SELECT 'S' || l_suppkey AS node FROM lineitem UNION ALL SELECT 'P' || l_partkey FROM lineitem) SELECT node, count(*) AS degree FROM e GROUP BY 1")
@@ -67,10 +77,10 @@ def node_degree(spark, d):
     return graph.degrees(read(spark, d, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target")))
 
 
-@query("WITH l AS (SELECT l_suppkey % 90 AS s, l_partkey % 90 AS t, l_orderkey * 10 + l_linenumber AS k, l_partkey, l_suppkey, CASE WHEN l_orderkey % 3 <> 0 THEN 'r' || l_returnflag END AS relation FROM lineitem) SELECT least(s, t) AS person_a, greatest(s, t) AS person_b, max_by(relation, k * 1000000 + l_partkey) AS relation FROM l WHERE relation IS NOT NULL AND s <> t AND s IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND t IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1, 2")
+@query("WITH l AS (SELECT l_suppkey % 90 AS s, l_partkey % 90 AS t, l_orderkey * 10 + l_linenumber AS k, l_partkey, l_suppkey, CASE WHEN l_orderkey % 3 <> 0 THEN 'r' || l_returnflag END AS relation, 'as told by ' || l_orderkey AS description FROM lineitem) SELECT least(s, t) AS person_a, greatest(s, t) AS person_b, max_by(relation, k * 1000000 + l_partkey) AS relation, max_by(description, k * 1000000 + l_partkey) AS description FROM l WHERE relation IS NOT NULL AND s <> t AND s IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND t IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1, 2")
 def relationship_pairs(spark, d):
     li = read(spark, d, "lineitem")
-    links = li.select((F.col("l_suppkey") % 90).alias("source"), (F.col("l_partkey") % 90).alias("target"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit("r"), "l_returnflag")).alias("relation"))
+    links = li.select((F.col("l_suppkey") % 90).alias("source"), (F.col("l_partkey") % 90).alias("target"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit("r"), "l_returnflag")).alias("relation"), F.format_string("as told by %d", "l_orderkey").alias("description"))
     return graph.pairs(links, read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("name")))
 
 
@@ -131,6 +141,18 @@ def graph_components(spark, d):
     return graph.components(_relationships(spark, d).select("source", "target"))
 
 
+@query()
+def graph_communities(spark, d):
+    """Communities of fifteen at most among suppliers and parts, level by level."""
+    return communities.communities(_relationships(spark, d).select("source", "target", "weight"))
+
+
+@query()
+def community_level(spark, d):
+    """The level of the most communities."""
+    return communities.common_level(graph_communities(spark, d))
+
+
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 150 - 1) + 1, 1350)) AS s FROM w WHERE len(w) > 0)
 SELECT doc_id, (s // 1350)::INTEGER AS chunk, len(w[s + 1:s + 1500])::INTEGER AS n_words, array_to_string(w[s + 1:s + 1500], ' ') AS text FROM c""")
 def chunk_documents(spark, d):
@@ -151,16 +173,16 @@ def graph_compose(spark, d):
     return snapshot.graph_compose(base, delta, ["id"])
 
 
-@query(f"""WITH {_REL}, e AS (SELECT source, 'S' || (substr(target, 2)::BIGINT % 60) AS target, seq, CASE WHEN seq % 2 = 0 THEN 'r' || (seq % 5) END AS relation FROM rel WHERE seq % 4 = 0),
-k AS (SELECT least(source, target) AS person_a, greatest(source, target) AS person_b, max_by(relation, seq::BIGINT * 1000000 + n) AS relation FROM (SELECT *, row_number() OVER (ORDER BY relation) AS n FROM e) WHERE source <> target AND substr(source, 2)::BIGINT < 40 AND substr(target, 2)::BIGINT < 40 GROUP BY 1, 2),
-s AS (SELECT 'S' || s_suppkey AS person_a, 'S' || (s_suppkey + 1) AS person_b, 'stored' AS relation FROM supplier WHERE s_suppkey < 9)
-SELECT person_a, person_b, coalesce(k.relation, s.relation) AS relation FROM k FULL JOIN s USING (person_a, person_b)""")
+@query(f"""WITH {_REL}, e AS (SELECT source, 'S' || (substr(target, 2)::BIGINT % 60) AS target, seq, 'r' || (seq % 5) AS relation, 'sold ' || n AS description FROM rel WHERE seq % 4 = 0),
+k AS (SELECT least(source, target) AS person_a, greatest(source, target) AS person_b, max(row(seq, relation, description)) AS l FROM e WHERE source <> target AND substr(source, 2)::BIGINT < 40 AND substr(target, 2)::BIGINT < 40 GROUP BY 1, 2),
+s AS (SELECT 'S' || s_suppkey AS person_a, 'S' || (s_suppkey + 1) AS person_b, 'stored' AS relation, 'long ago' AS description FROM supplier WHERE s_suppkey < 9)
+SELECT person_a, person_b, CASE WHEN l IS NULL THEN s.relation ELSE l[2] END AS relation, CASE WHEN l IS NULL THEN s.description ELSE l[3] END AS description FROM k FULL JOIN s USING (person_a, person_b)""")
 def relationship_fact(spark, d):
-    """Labelled links between persons of a roster, each pair once, merged into the stored ones."""
-    rel = graph.edges(_relationships(spark, d)).select("source", "target", "relation").join(_relationships(spark, d).select("source", "target", "seq"), ["source", "target"]).where("seq % 4 = 0")
+    """Labelled links between persons of a roster, each pair once with what is told of it, merged into the stored ones."""
+    rel = graph.edges(_relationships(spark, d)).select("source", "target", "relation", "description").join(_relationships(spark, d).select("source", "target", "seq"), ["source", "target"]).where("seq % 4 = 0")
     links = rel.withColumn("target", F.concat(F.lit("S"), (F.substring("target", 2, 99).cast("long") % 60).cast("string")))
     roster = spark.range(40).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"))
-    stored = read(spark, d, "supplier").where("s_suppkey < 9").select(F.format_string("S%d", "s_suppkey").alias("person_a"), F.format_string("S%d", F.col("s_suppkey") + 1).alias("person_b"), F.lit("stored").alias("relation"))
+    stored = read(spark, d, "supplier").where("s_suppkey < 9").select(F.format_string("S%d", "s_suppkey").alias("person_a"), F.format_string("S%d", F.col("s_suppkey") + 1).alias("person_b"), F.lit("stored").alias("relation"), F.lit("long ago").alias("description"))
     return facts.relationship_fact(links, roster, stored)
 
 
@@ -175,13 +197,45 @@ def graph_compose_edges(spark, d):
     return snapshot.graph_compose(base, delta, ["source", "target"], undirected=True)
 
 
-@query("SELECT l_suppkey AS contact, count(*) FILTER (l_returnflag = 'A') AS sent, count(*) FILTER (l_returnflag = 'R') AS received, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'O') AS casual FROM lineitem WHERE l_suppkey <> 0 GROUP BY 1")
+_CONTACTS = f"""{_MAILS}, r AS (SELECT o_custkey % 5 AS account, CASE WHEN o_orderkey % 4 = 0 THEN 'M' ELSE 'm' END || (o_orderkey - o_orderkey % 2) AS source, CASE WHEN l_suppkey % 10 = 3 THEN 'supp' ELSE 'SUPP' END || l_suppkey || '@X.COM' AS target,
+  CASE WHEN l_returnflag = 'A' THEN '이메일의 발신자는 누구이다.' WHEN l_returnflag = 'R' THEN '이메일의 수신자는 누구이다.' WHEN l_linestatus = 'O' THEN '이메일의 참조 수신자는 누구이다.' END AS description FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+casual AS (SELECT DISTINCT account, title FROM told WHERE upper(type) = 'EMAIL' AND contains(description, 'Tone: casual')),
+c AS (SELECT r.account, target, count(*) FILTER (contains(description, '수신자') AND NOT contains(description, '참조')) AS sent, count(*) FILTER (contains(description, '발신자') AND NOT contains(description, '참조')) AS received, count(title) AS friendly
+  FROM r LEFT JOIN casual ON casual.account = r.account AND title = source GROUP BY 1, 2),
+p AS (SELECT n_regionkey AS account, 'supp' || s_suppkey || '@x.com' AS contact, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Ms ' || s_name ELSE s_name END AS name FROM supplier, (SELECT DISTINCT n_regionkey FROM nation)),
+new AS (SELECT c.account, lower(target) AS contact, coalesce(name, '') AS name, sent, received, friendly FROM c LEFT JOIN p ON p.account = c.account AND p.contact = lower(target) WHERE sent + received > 0 AND upper('supp' || c.account || '@x.com') <> target)"""
+
+
+def _contact_graph(spark, d):
+    li, o = read(spark, d, "lineitem"), read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    k, flag = F.col("l_orderkey"), F.col("l_returnflag")
+    source = F.concat(F.when(k % 4 == 0, "M").otherwise("m"), (k - k % 2).cast("string"))
+    target = F.concat(F.when(F.col("l_suppkey") % 10 == 3, "supp").otherwise("SUPP"), F.col("l_suppkey").cast("string"), F.lit("@X.COM"))
+    role = F.when(flag == "A", "이메일의 발신자는 누구이다.").when(flag == "R", "이메일의 수신자는 누구이다.").when(F.col("l_linestatus") == "O", "이메일의 참조 수신자는 누구이다.")
+    relationships = li.join(o, "l_orderkey").select((F.col("o_custkey") % 5).alias("account"), source.alias("source"), target.alias("target"), role.alias("description"))
+    accounts = read(spark, d, "nation").select(F.col("n_regionkey").alias("account")).distinct()
+    n = F.col("s_suppkey") % 4
+    name = F.when(n == 0, "Name: None").when(n == 1, F.concat(F.lit("Role: x\nName:  Ms "), "s_name", F.lit(" , other"))).otherwise(F.concat(F.lit("Name: "), "s_name"))
+    older = F.array(F.struct(F.lit(1).alias("seq"), F.lit("Name: outdated").alias("description")), F.struct(F.lit(2).alias("seq"), name.alias("description")))
+    people = read(spark, d, "supplier").crossJoin(F.broadcast(accounts)).select("account", F.format_string("Supp%d@x.com", "s_suppkey").alias("title"), F.lit("person").alias("type"), F.explode(older).alias("e")).select("account", "e.seq", "title", "type", "e.description")
+    owners = accounts.select("account", F.format_string("supp%d@x.com", "account").alias("owner"))
+    return relationships, _mails(spark, d).select("account", "seq", "title", "type", "description").unionByName(people), owners
+
+
+@query(f"WITH {_CONTACTS} SELECT * FROM new")
 def contact_stats_graph(spark, d):
-    """Contacts by the role in an edge's target, in one pass; the owner (0) is left out."""
-    role = F.when(F.col("l_returnflag") == "A", "발신자").when(F.col("l_returnflag") == "R", "수신자").otherwise("참조(CC) 수신자")
-    e = read(spark, d, "lineitem").where("l_suppkey <> 0").select(F.col("l_suppkey").alias("contact"), role.alias("target"), "l_linestatus")
-    sender, receiver = F.col("target").contains("발신자"), F.col("target").contains("수신자") & ~F.col("target").contains("CC")
-    return e.groupBy("contact").agg(F.count_if(sender).alias("sent"), F.count_if(receiver).alias("received"), F.count_if(sender & (F.col("l_linestatus") == "O")).alias("casual"))
+    """Contacts of each account by what relationships tell of them: senders, recipients but for copies, casual mails; the owner is left out."""
+    return graph.contact_counts(*_contact_graph(spark, d), ["account"])
+
+
+@query(f"WITH {_CONTACTS}, old AS (SELECT account, contact, 'old name' AS name, 1 AS sent, 2 AS received, 3 AS friendly FROM new WHERE contact LIKE '%7@x.com' OR name = '' UNION ALL SELECT 0, 'gone@x.com', 'gone', 1, 1, 0) SELECT account, contact, coalesce(nullif(new.name, ''), old.name, '') AS name, coalesce(new.sent, 0) + coalesce(old.sent, 0) AS sent, coalesce(new.received, 0) + coalesce(old.received, 0) AS received, coalesce(new.friendly, 0) + coalesce(old.friendly, 0) AS friendly FROM new FULL JOIN old USING (account, contact)")
+def contact_stats_graph_append(spark, d):
+    """The same, added to stored counts."""
+    parts = _contact_graph(spark, d)
+    new = graph.contact_counts(*parts, ["account"])
+    old = new.where("contact like '%7@x.com' or name = ''").select(F.col("account").cast("long").alias("account"), "contact", F.lit("old name").alias("name"), F.lit(1).alias("sent"), F.lit(2).alias("received"), F.lit(3).alias("friendly"))
+    gone = spark.range(1).select(F.col("id").alias("account"), F.lit("gone@x.com"), F.lit("gone"), F.lit(1), F.lit(1), F.lit(0))
+    return graph.contact_counts(*parts, ["account"], stored=old.union(gone))
 
 
 @query("""WITH t AS (SELECT o_custkey AS person, p_type AS topic, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY n DESC, topic) AS k FROM t),

@@ -75,18 +75,18 @@ def report_batches(spark, d):
 
 def _answers(spark, d):
     k = F.col("o_orderkey")
-    answer = F.when(k % 5 == 0, "nothing here").otherwise(F.format_string("See [Data: x] **ID: M%d@example.com).** then\nID: 2\nand ID: m%d@example.com, and ID: m%d@example.com].", k, k + 1, k))
+    answer = F.when(k % 5 == 0, "nothing here").otherwise(F.format_string("See [Data: x] **ID: M%d@example.com).** then\nID: 2\nand ID: m%d@example.com, and ID: m%d@example.com]》. (ID: 』(m%d@x'」; )", k, k + 1, k, k))
     return read(spark, d, "orders").select(k.alias("query_id"), answer.alias("answer"), F.format_string("ID: ctx%d@example.com", k).alias("context"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k FROM orders) SELECT k AS query_id, 0 AS place, CASE WHEN k % 5 = 0 THEN 'ctx' || k || '@example.com' ELSE 'M' || k || '@example.com' END AS cited FROM a
-UNION ALL SELECT k, 1, 'm' || (k + 1) || '@example.com' FROM a WHERE k % 5 <> 0 UNION ALL SELECT k, 2, 'm' || k || '@example.com' FROM a WHERE k % 5 <> 0""")
+UNION ALL SELECT k, 1, 'm' || (k + 1) || '@example.com' FROM a WHERE k % 5 <> 0 UNION ALL SELECT k, 2, 'm' || k || '@example.com' FROM a WHERE k % 5 <> 0 UNION ALL SELECT k, 3, '(m' || k || '@x'||chr(39) FROM a WHERE k % 5 <> 0""")
 def extract_citations(spark, d):
     rows = _answers(spark, d).withColumn("answer", F.regexp_replace(F.col("answer"), r"\*+|#+", ""))
     return retrieval.citations(rows)
 
 
-@query(r"SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 5 = 0 THEN 'nothing here' ELSE 'See   then' || chr(10) || 'and  and' END AS shown FROM orders")
+@query(r"SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 5 = 0 THEN 'nothing here' ELSE 'See   then' || chr(10) || 'and  and  ( )' END AS shown FROM orders")
 def strip_ids(spark, d):
     return _answers(spark, d).select("query_id", fn.strip_ids(F.col("answer")).alias("shown"))
 

@@ -69,28 +69,39 @@ def person_mail_bodies(spark, d):
     return refs.join(read_again, ["account", "mail_id"]).select("account", "person", "mail_id", "direction", "subject", "body", place.alias("place"))
 
 
-_QUOTES = """q AS (SELECT o_orderkey AS seq, o_custkey % 50 AS cust, o_orderdate + to_minutes((o_orderkey * 37) % 1440) AS t, o_orderkey % 3 = 0 AS is_reply FROM orders)"""
+_QUOTES = r"""o AS (SELECT o_orderkey AS seq, o_custkey % 50 AS cust, o_orderdate + to_minutes((o_orderkey * 37) % 1440) AS t, o_orderkey % 3 = 0 AS is_reply, (o_orderkey // 3) % 7 AS form FROM orders),
+head AS (SELECT *, year(t) || '년 ' || month(t) || '월 ' || day(t) || '일 ' || CASE form WHEN 5 THEN '' ELSE '(목) ' END || CASE WHEN hour(t) < 12 THEN '오전' ELSE '오후' END || ' ' || CASE hour(t) % 12 WHEN 0 THEN 12 ELSE hour(t) % 12 END || ':' || lpad(minute(t)::VARCHAR, 2, '0') AS told FROM o),
+said AS (SELECT *, CASE WHEN NOT is_reply THEN 'No quote' ELSE 'Yes.' || chr(10) || CASE form WHEN 1 THEN told || ', C' || cust || '@X.com님이 작성:' WHEN 2 THEN told || ', C' || cust || '@X.com님이 작성:' || chr(10) || 'from <k@x.com>'
+  WHEN 3 THEN told || ', as K <k@x.com> said' WHEN 4 THEN told || ', Lee, Kim <C' || cust || '@X.com>님이 작성:' || chr(10) || told || ', J <j@x.com>님이 작성:' ELSE told || ', 이름 <C' || cust || '@X.com>님이 작성:' END END AS body FROM head),
+m AS (SELECT *, regexp_extract(body, '(\d{4}년 \d{1,2}월 \d{1,2}일[^,]+),\s*(.+?)님이 작성:', 1) AS whole, regexp_extract(body, '(\d{4}년 \d{1,2}월 \d{1,2}일[^,]+),\s*(.+?)님이 작성:', 2) AS who FROM said),
+q AS (SELECT *, regexp_matches(whole, '\d{4}년 \d{1,2}월 \d{1,2}일[^(]*\([^)]+\)\s*(오전|오후)\s*\d{1,2}:\d{2}') AS found, lower(coalesce(nullif(regexp_extract(who, '<([^>]+)>', 1), ''), trim(who))) AS quote_sender FROM m)"""
 
 
 def _quotes(spark, d):
-    """Replies quote the header of an earlier mail: when and by whom."""
+    """Replies that quote the header of an earlier mail, when and by whom, in seven forms: names, bare addresses, more addresses after them, no marker, two quotes, no weekday."""
     key = F.col("o_orderkey")
     t = F.expr("timestampadd(MINUTE, (o_orderkey * 37) % 1440, o_orderdate)")
-    o = read(spark, d, "orders").select(key.alias("seq"), (F.col("o_custkey") % 50).alias("cust"), t.alias("t"), (key % 3 == 0).alias("is_reply"))
+    o = read(spark, d, "orders").select(key.alias("seq"), (F.col("o_custkey") % 50).alias("cust"), t.alias("t"), (key % 3 == 0).alias("is_reply"), F.floor(key / 3) % 7)
+    o = o.toDF("seq", "cust", "t", "is_reply", "form")
     half, hour = F.when(F.hour("t") < 12, "오전").otherwise("오후"), F.when(F.hour("t") % 12 == 0, 12).otherwise(F.hour("t") % 12)
-    quote = F.format_string("%d년 %d월 %d일 (목) %s %d:%02d, 이름 <C%d@X.com>님이 작성:", F.year("t"), F.month("t"), F.dayofmonth("t"), half, hour, F.minute("t"), F.col("cust"))
+    at = F.format_string("%d년 %d월 %d일 %s%s %d:%02d", F.year("t"), F.month("t"), F.dayofmonth("t"), F.when(F.col("form") == 5, "").otherwise("(목) "), half, hour, F.minute("t"))
+    form, bare = F.col("form"), F.format_string("%s, C%d@X.com님이 작성:", at, F.col("cust"))
+    quote = (
+        F.when(form == 1, bare).when(form == 2, F.concat(bare, F.lit("\nfrom <k@x.com>"))).when(form == 3, F.concat(at, F.lit(", as K <k@x.com> said")))
+        .when(form == 4, F.format_string("%s, Lee, Kim <C%d@X.com>님이 작성:\n%s, J <j@x.com>님이 작성:", at, F.col("cust"), at)).otherwise(F.format_string("%s, 이름 <C%d@X.com>님이 작성:", at, F.col("cust")))
+    )
     return o.withColumn("body", F.when(F.col("is_reply"), F.concat(F.lit("Yes.\n"), quote)).otherwise("No quote"))
 
 
-@query(f"WITH {_QUOTES} SELECT seq, CASE WHEN is_reply THEN 'c' || cust || '@x.com' END AS sender, CASE WHEN is_reply THEN strftime(t, '%Y-%m-%d %H:%M') END AS minute FROM q")
+@query(f"WITH {_QUOTES} SELECT seq, CASE WHEN found THEN quote_sender END AS sender, CASE WHEN found THEN strftime(t, '%Y-%m-%d %H:%M') END AS minute FROM q")
 def reply_quote_parse(spark, d):
     sender, minute = blocks.quoted(F.col("body"))
     return _quotes(spark, d).select("seq", sender.alias("sender"), minute.alias("minute"))
 
 
 @query(f"""WITH {_QUOTES}, asked AS (SELECT 'c' || cust || '@x.com' AS s, strftime(t, '%Y-%m-%d %H:%M') AS m, max(seq) AS seq, max_by(t, seq) AS t FROM q WHERE NOT is_reply GROUP BY 1, 2),
-r AS (SELECT seq, cust, t, date_trunc('day', t) AS day, (seq * 37) % 1440 AS x FROM q WHERE is_reply)
-SELECT 'm' || r.seq AS mail_id, 'm' || asked.seq AS reply_to, round(date_diff('second', asked.t, r.t + INTERVAL 3 HOUR) / 3600.0::DOUBLE, 2) AS hours FROM r LEFT JOIN asked ON s = 'c' || r.cust || '@x.com' AND m = strftime(r.t, '%Y-%m-%d %H:%M')""")
+r AS (SELECT seq, quote_sender, t FROM q WHERE found)
+SELECT 'm' || r.seq AS mail_id, 'm' || asked.seq AS reply_to, round(date_diff('second', asked.t, r.t + INTERVAL 3 HOUR) / 3600.0::DOUBLE, 2) AS hours FROM r LEFT JOIN asked ON s = r.quote_sender AND m = strftime(r.t, '%Y-%m-%d %H:%M')""")
 def reply_link(spark, d):
     """Mails that quote a sender and a minute, and the last mail of that sender in that minute."""
     sender, minute = blocks.quoted(F.col("body"))
@@ -124,13 +135,13 @@ def incremental_merge(spark, d):
 
 # --- chat ------------------------------------------------------------------------------
 
-_LINES = r"array_to_string(list_filter(regexp_split_to_array(text, '\n'), lambda x: trim(x) <> ''), chr(10))"
+_LINES = r"array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n'), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> ''), chr(10))"
 
 
-@query(f"WITH {CHAT} SELECT chatroom_id, row_number() OVER (PARTITION BY chatroom_id ORDER BY seq) AS message, strftime(dt, '%Y-%m-%d %H:%M') AS at, CASE WHEN NOT is_system THEN sender END AS sender, {_LINES} AS text, is_system FROM chat WHERE text IS NOT NULL")
+@query(f"WITH {CHAT} SELECT chatroom_id, row_number() OVER (PARTITION BY chatroom_id ORDER BY seq) AS message, strftime(dt, '%Y-%m-%d %H:%M') AS at, CASE WHEN NOT is_system THEN sender END AS sender, {_LINES} AS text, is_system FROM chat")
 def chat_parse(spark, d):
     """Conversations written as an export (mobile and PC lines by turns, system lines), and read again."""
-    c = chat(spark, d).where("text is not null")
+    c = chat(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
     half, hour = F.when(F.hour("dt") < 12, "오전").otherwise("오후"), F.when(F.hour("dt") % 12 == 0, 12).otherwise(F.hour("dt") % 12)
     clock = F.format_string("%s %d:%02d", half, hour, F.minute("dt"))
     day = F.format_string("%d년 %d월 %d일", F.year("dt"), F.month("dt"), F.dayofmonth("dt"))
@@ -158,17 +169,42 @@ def participant_facts(spark, d):
     return chatlog.day_blocks(talk(spark, d)).groupBy("chatroom_id", "block_id", "sender").agg(F.count("*").alias("sent_message"))
 
 
-@query(f"WITH {CHAT} SELECT chatroom_id, row_number() OVER (PARTITION BY chatroom_id ORDER BY seq) AS message, strftime(dt, '%H:%M') AS time, CASE WHEN NOT is_system THEN sender END AS sender, text, is_system FROM chat WHERE text IS NOT NULL")
+def _stored(spark, d):
+    """Conversations as the texts of stored blocks: in a third of the rooms the header lists others than those who speak, in a third nobody; each block comes again in later texts, cut off and whole."""
+    rows = chatlog.day_blocks(chat(spark, d).withColumn("text", F.coalesce("text", F.lit("")))).withColumn("room_name", F.concat(F.lit(" "), "chatroom_id"))
+    third = F.regexp_extract("chatroom_id", r"\d+", 0).cast("long") % 3
+    header = F.when(third == 0, F.regexp_replace("text", "참여자: [^\n]*", "참여자: 이영희,  김철수 , ,알 수 없음")).when(third == 1, F.regexp_replace("text", "참여자: [^\n]*", "참여자: 알 수 없음")).otherwise(F.col("text"))
+    texts = chatlog.render_blocks(rows).select("chatroom_id", header.alias("text"))
+    more = F.array(F.struct(F.lit(0).alias("seq"), F.col("text").alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("later part\n23:59 nobody: cut off").alias("text")), F.struct(F.lit(2).alias("seq"), F.concat("text", F.lit("\n23:59 nobody: again")).alias("text")))
+    return texts.select("chatroom_id", F.explode(more).alias("t")).select("chatroom_id", "t.seq", "t.text")
+
+
+@query(f"WITH {CHAT} SELECT chatroom_id, row_number() OVER (PARTITION BY chatroom_id ORDER BY seq) AS message, strftime(dt, '%H:%M') AS time, CASE WHEN NOT is_system THEN sender END AS sender, coalesce(text, '') AS text, is_system FROM chat")
 def chat_block_parse(spark, d):
-    rows = chatlog.day_blocks(chat(spark, d).where("text is not null"))
-    return chatlog.parse_lines(chatlog.render_lines(rows), ["chatroom_id", "block_id"]).drop("block_id")
+    """Messages of stored blocks: the first text of each id counts."""
+    return chatlog.parse_lines(chatlog.stored_blocks(_stored(spark, d), ["chatroom_id"]), ["chatroom_id", "block_id"]).drop("block_id")
+
+
+@query(f"""WITH {CHAT}, f AS (SELECT chatroom_id, strftime(dt, '%Y-%m-%d') AS block_date, sender, count(*) AS n, min(seq) AS p0 FROM chat WHERE NOT is_system GROUP BY 1, 2, 3),
+b AS (SELECT chatroom_id, strftime(min(dt), '%Y-%m-%d') AS block_date, regexp_extract(chatroom_id, '\\d+')::BIGINT % 3 AS third FROM chat GROUP BY 1),
+s AS (SELECT chatroom_id, sum(n)::BIGINT AS n, count(*) AS k, string_agg(sender, ',' ORDER BY p0) AS who FROM f GROUP BY 1)
+SELECT chatroom_id, block_date || '_01' AS block_id, block_date, chatroom_id AS room, coalesce(n, 0) AS message_count, CASE third WHEN 0 THEN 2 ELSE coalesce(k, 0) END AS participant_count, CASE third WHEN 0 THEN '이영희,김철수' ELSE coalesce(who, '') END AS participants FROM b LEFT JOIN s USING (chatroom_id)""")
+def stored_block_facts(spark, d):
+    """Facts of stored blocks: participants of the header, or those who speak where it lists nobody."""
+    found = chatlog.stored_blocks(_stored(spark, d), ["chatroom_id"])
+    said = chatlog.parse_lines(found, ["chatroom_id", "block_id"]).withColumnRenamed("message", "place")
+    facts_ = chatlog.block_facts(said.join(found.select("chatroom_id", "block_id", "listed"), ["chatroom_id", "block_id"]))
+    return facts_.join(found.select("chatroom_id", "block_id", "block_date", "room"), ["chatroom_id", "block_id"]).withColumn("participants", F.array_join("participants", ","))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(list_filter(string_split(text, chr(10))[1:5], lambda x: trim(x) <> '')[1]), ''), 'room ' || doc_id) AS name FROM documents")
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN chr(10) || '  카카오톡 대화 : ' || text WHEN 1 THEN '친구 님과 카카오톡 대화' || chr(10) || text WHEN 2 THEN repeat(chr(10), 5) || '카카오톡 대화 방' WHEN 3 THEN '저장한 카카오톡대화：방' || (doc_id % 9) || ' ' || chr(10) || text WHEN 4 THEN text || chr(10) || '카카오톡 대화 방' END AS text FROM documents),
+f AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: trim(x)), lambda x: x <> '')[1] AS line FROM t)
+SELECT doc_id, coalesce(nullif(trim(regexp_extract(line, '카카오톡\s*대화\s*[:：]?\s*(.+)', 1)), ''), 'room ' || doc_id) AS name FROM f""")
 def room_name(spark, d):
-    """The first line of five that isn't blank."""
-    first = F.filter(F.slice(F.split("text", "\n"), 1, 5), lambda x: F.trim(x) != "")
-    return read(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.trim(F.get(first, F.lit(0))), F.lit("")), F.format_string("room %d", "doc_id")).alias("name"))
+    """Exports that begin with a hint, with one that names nobody, too late for one, with one of another form, without one, and empty ones."""
+    k, text = F.col("doc_id") % 6, F.col("text")
+    forms = F.when(k == 0, F.concat(F.lit("\n  카카오톡 대화 : "), text)).when(k == 1, F.concat(F.lit("친구 님과 카카오톡 대화\n"), text)).when(k == 2, F.lit("\n" * 5 + "카카오톡 대화 방")).when(k == 3, F.concat(F.format_string("저장한 카카오톡대화：방%d \n", F.col("doc_id") % 9), text)).when(k == 4, F.concat(text, F.lit("\n카카오톡 대화 방")))
+    return read(spark, d, "documents").select("doc_id", chatlog.room_name(forms, F.format_string("room %d", "doc_id")).alias("name"))
 
 
 @query("SELECT c_custkey AS id, sha1(trim(' ' || c_name || ' ')) AS room_id FROM customer")

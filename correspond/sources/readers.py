@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from correspond.operators.blocks import split_blocks
+from correspond.operators import scan
+from correspond.operators.blocks import SEPARATOR
+from correspond.operators.chatlog import LINE_ENDS
 
 #: Names that a column of a graph table goes by, the first that is there counting. Fixed values.
 NAMES = {
@@ -17,16 +19,23 @@ MODEL_FOLDERS, EMBEDDING_FOLDER = ("community_reporting", "extract_graph", "summ
 _USAGE = "result struct<response:struct<model:string,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>>>, broken string"
 
 
+def _records(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, _split, _id, value) of the records of text files, read in splits: _split is where in the file a split begins, and _id rises with the records of one."""
+    return spark.read.text(path, **options).select(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value")
+
+
 def block_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, text) of the blocks in text files; a file is read whole, as a block may have any lines."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return split_blocks(files, ["file"])
+    """(file, seq, text) of the blocks in text files, trimmed, empty ones left out; seq counts what stands between separators from 0.
+
+    Files are read in splits of spark.sql.files.maxPartitionBytes: a block that crosses an edge belongs to the split in which it begins, so no row holds more than a block."""
+    numbered = scan.placed(_records(spark, path, lineSep=SEPARATOR), ["file"], "_split", ["_id"], "seq")
+    return numbered.select("file", "seq", F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
 
 
 def export_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of chat exports, lines numbered from 0."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n", -1).alias("lines"))
-    return files.select("file", F.posexplode("lines").alias("line_no", "line"))
+    """(file, line_no, line) of chat exports, lines numbered from 0; files are read in splits, as by block_files."""
+    lines = _records(spark, path).select("file", "_split", "_id", F.posexplode(F.split("value", LINE_ENDS)).alias("_part", "line"))
+    return scan.placed(lines, ["file"], "_split", ["_id", "_part"], "line_no").select("file", "line_no", "line")
 
 
 def id_text_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -42,10 +42,48 @@ def test_mail_blocks(spark):
 
 
 def test_quoted_header(spark):
-    rows = ["2026년 3월 5일 (목) 오후 3:20, 홍길동 <A@x.com>님이 작성:", "2026년 3월 5일 (목) 오후 12:05, x <b@x>님이", "2026년 3월 5일 (목) 오전 12:05, x <b@x>님이", "none"]
-    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    at = "2026년 3월 5일 (목) 오후"
+    cases = [
+        (f"{at} 3:20, 홍길동 <A@x.com>님이 작성:", "a@x.com", "2026-03-05 15:20"), (f"{at} 12:05, x <b@x>님이 작성:", "b@x", "2026-03-05 12:05"), ("2026년 3월 5일 (목) 오전 12:05, x <b@x>님이 작성:", "b@x", "2026-03-05 00:05"),
+        (f"{at} 3:20, A@x.com님이 작성:", "a@x.com", "2026-03-05 15:20"), (f"{at} 3:20,  A@x.com 님이 작성:\n<b@y.com> wrote", "a@x.com", "2026-03-05 15:20"), (f"{at} 3:20, x <b@x>님이", None, None),
+        (f"We meet {at} 3:20, ask Kim <k@x.com>", None, None), ("2026년 3월 5일 오후 3:20, x <b@x>님이 작성:", None, None), (f"{at} 3:20, Lee, Kim <c@x>님이 작성: {at} 4:20, <d@x>님이 작성:", "c@x", "2026-03-05 15:20"),
+        (f"{at} 3:20 no comma\n{at} 4:20, <d@x>님이 작성:", "d@x", "2026-03-05 15:20"), ("none", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, t string")
     s, m = blocks.quoted(F.col("t"))
-    assert [(r[0], r[1]) for r in df.select(s, m).collect()] == [("a@x.com", "2026-03-05 15:20"), ("b@x", "2026-03-05 12:05"), ("b@x", "2026-03-05 00:05"), (None, None)]
+    assert [tuple(r) for r in df.orderBy("k").select(s, m).collect()] == [c[1:] for c in cases]
+
+
+def test_contact_counts(spark):
+    rel = [("M1", "A@X.COM", "이메일의 발신자는 A이다."), ("M1", "B@X.COM", "이메일의 수신자는 B이다."), ("M1", "C@X.COM", "이메일의 참조 수신자는 C이다."), ("M2", "B@X.COM", "이메일의 수신자는 B이다."), ("M2", "ME@X.COM", "이메일의 수신자는 나이다."), ("M1", "B@X.COM", None), ("m1", "A@X.COM", "x")]
+    ent = [(1, "M1", "email", "Subject: s | Tone: casual"), (2, "M2", "EMAIL", "Tone: formal"), (3, "a@x.com", "Person", "Name: Kim, Lee"), (4, "B@X.COM", "PERSON", "Name: None"), (5, "A@X.COM", "PERSON", "OrgName: Z\nRole: Name:  Park , Choi"), (6, "B@X.COM", "TOPIC", "Name: no")]
+    rel = spark.createDataFrame([("u", *r) for r in rel], "account string, source string, target string, description string")
+    ent = spark.createDataFrame([("u", *r) for r in ent], "account string, seq long, title string, type string, description string")
+    own = spark.createDataFrame([("u", "me@x.com")], "account string, owner string")
+    got = {r.contact: tuple(r)[2:] for r in graph.contact_counts(rel, ent, own, ["account"]).collect()}
+    assert got == {"a@x.com": ("Z", 0, 1, 1), "b@x.com": ("", 2, 0, 2)}  # the reference's pattern takes the first `Name:`, that of OrgName too
+    old = spark.createDataFrame([("u", "b@x.com", "Bo", 5, 1, 0), ("u", "z@x.com", "Zed", 1, 0, 0)], "account string, contact string, name string, sent long, received long, friendly long")
+    got = {r.contact: tuple(r)[2:] for r in graph.contact_counts(rel, ent, own, ["account"], old).collect()}
+    assert got == {"a@x.com": ("Z", 0, 1, 1), "b@x.com": ("Bo", 7, 1, 2), "z@x.com": ("Zed", 1, 0, 0)}
+
+
+def test_room_name(spark):
+    texts = ["카카오톡 대화 : 가족톡\n...", "\n\n저장한 카카오톡대화： 방 \n", "가족톡 님과 카카오톡 대화\n카카오톡 대화 둘", "\n" * 5 + "카카오톡 대화 방", "안녕\n카카오톡 대화 방", "", None, "카카오톡 대화:"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(chatlog.room_name(F.col("t"), F.lit("file"))).collect()] == ["가족톡", "방", "file", "file", "file", "file", "file", ":"]
+
+
+def test_stored_blocks(spark):
+    head = "====\n[대화 1]\n\nID: 2024-01-01_01\n채팅방:  가족 \n날짜: 2024-01-01\n참여자: {}\n\n[대화 내용]\n{}\n====="
+    lines = "09:00 홍: 안녕: 하세요\n둘째\n\n09:01 [알림] 김: 들어왔습니다\n09:02  이 : a\n9:03 no start"
+    texts = [(1, head.format("홍, 이, ,알 수 없음", lines)), (2, head.format("x", "09:00 z: later")), (3, "no id\n09:00 z: x"), (0, "ID:  b2\n참여자: 알 수 없음\n[대화 내용]\n09:00 홍: x\n09:01 [알림] y")]
+    found = chatlog.stored_blocks(spark.createDataFrame([("r", *t) for t in texts], "chatroom_id string, seq int, text string"), ["chatroom_id"])
+    got = {r.block_id: r for r in found.collect()}
+    assert set(got) == {"2024-01-01_01", "b2"} and got["2024-01-01_01"].room == "가족" and got["2024-01-01_01"].listed == ["홍", "이"] and got["b2"].listed == [] and got["b2"].block_date is None
+    said = chatlog.parse_lines(found, ["chatroom_id", "block_id"])
+    assert [tuple(r)[2:] for r in said.where("block_id <> 'b2'").orderBy("message").collect()] == [(1, "09:00", "홍", "안녕: 하세요\n둘째\n", False), (2, "09:01", None, "김: 들어왔습니다", True), (3, "09:02", "이", "a\n9:03 no start", False)]
+    facts_ = chatlog.block_facts(said.withColumnRenamed("message", "place").join(found.select("chatroom_id", "block_id", "listed"), ["chatroom_id", "block_id"]))
+    assert {r.block_id: (r.message_count, r.participant_count, r.participants) for r in facts_.collect()} == {"2024-01-01_01": (2, 2, ["홍", "이"]), "b2": (1, 1, ["홍"])}
 
 
 def test_chat_export(spark):
@@ -136,9 +174,9 @@ def test_citations_and_records(spark):
 
 
 def test_pairs(spark):
-    links = spark.createDataFrame([("A", "B", 1, "x"), ("B", "A", 2, "y"), ("A", "A", 3, "z"), ("A", "X", 4, "w")], "source string, target string, seq long, relation string")
+    links = spark.createDataFrame([("A", "B", 1, "x", "one"), ("B", "A", 2, "y", None), ("A", "A", 3, "z", ""), ("A", "X", 4, "w", ""), ("A", "B", 5, "", "no label"), ("A", "B", 6, None, "none")], "source string, target string, seq long, relation string, description string")
     roster = spark.createDataFrame([("A",), ("B",)], "name string")
-    assert [tuple(r) for r in graph.pairs(links, roster).collect()] == [("A", "B", "y")]
+    assert [tuple(r) for r in graph.pairs(links, roster).collect()] == [("A", "B", "y", None)]
 
 
 def test_profile(spark):
