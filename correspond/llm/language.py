@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from correspond.llm.common import held_out, small_batches, table, unit
+from correspond.llm.common import held_out, sent_if_small, small_batches, table, unit
 
 #: Hashed n-grams of 1 to 3 bytes.
 WIDTH = 2048
@@ -68,16 +68,17 @@ def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return loss.argmin(axis=1), e.max(axis=1) / e.sum(axis=1), lead
 
 
-def fit(docs: DataFrame, max_a_language: int = 1000, max_documents: int = 16_000, max_languages: int = 2000) -> dict | None:
+def fit(docs: DataFrame, max_a_language: int = 1000, max_documents: int = 16_000) -> dict | None:
     """Trains on documents that aren't held out and have a language, by hash: about max_a_language of each, and about max_documents
-    in all, shared evenly, which bounds what the driver holds (4 KB a document). Of more languages than max_languages the most frequent are learnt."""
+    in all, shared evenly, but at least the one of the smallest hash of each language, however many there are. The driver holds 4 KB a document."""
+    number = F.coalesce(unit(F.struct("doc_id", F.xxhash64("text")), 19), F.lit(0.0))
     known = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(number).alias("least")).collect()
     if not counts:
         return None
     of_each = min(max_a_language, max(1, max_documents // len(counts)))
-    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, of_each / r.n)) for r in counts], "lang string, share double")
-    drawn = known.join(F.broadcast(share), "lang").where(F.coalesce(unit(F.struct("doc_id", F.xxhash64("text")), 19), F.lit(0.0)) < F.col("share"))
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, of_each / r.n), r.least) for r in counts], "lang string, share double, least double")
+    drawn = known.join(sent_if_small(share), "lang").where((number < F.col("share")) | (number <= F.col("least")))
 
     def of(batches):
         for batch in batches:

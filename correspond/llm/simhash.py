@@ -72,29 +72,6 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> lis
     return links
 
 
-def _run_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[list, list]:
-    """Close pairs inside the runs of equal `group`, which is sorted: short runs by comparing each fingerprint with those a few places on, long ones as a tile."""
-    edges = np.flatnonzero(np.diff(group)) + 1
-    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(group)]))
-    long_run, a, b = ends - starts > 32, [], []
-    for k in np.flatnonzero(long_run):
-        tile = fp[starts[k] : ends[k]]
-        for x, y in _forest(tile, tile, True, radius):
-            a.append(x)
-            b.append(y)
-    inside = np.repeat(~long_run, ends - starts)
-    f, g = fp[inside], group[inside]
-    for d in range(1, 32):
-        if len(f) <= d:
-            break
-        close = np.flatnonzero((g[d:] == g[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius))
-        a += f[close].tolist()
-        b += f[close + d].tolist()
-        if not (g[d:] == g[:-d]).any():
-            break
-    return a, b
-
-
 def close_links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """distinct(fp) -> (a, b): links that connect exactly those fingerprints that are connected by pairs of `radius` differing bits or fewer.
 

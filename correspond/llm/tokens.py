@@ -1,6 +1,7 @@
 """Token-ID shards: a wavelet matrix of each shard's ids in one compressed file."""
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -170,16 +171,30 @@ def unpack_shard(blob: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 _WORD = r"^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<after>[!-/:-@\[-`{-~]*)$"
 
 
+#: Normaliser, word pattern and mark of a word's end with which white space has no token and no word goes past it. Fixed values of the vocabulary files.
+_WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    "</w>",
+)
+
+
+def wordwise(tokenizer_json: str) -> bool:
+    """Whether pieces between white space may be tokenised one by one, and in lower case: for tokenizers that are known to work so alone."""
+    told = json.loads(tokenizer_json)
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    return (told.get("normalizer"), steps[0], told.get("model", {}).get("end_of_word_suffix")) == _WORDWISE and not told.get("post_processor")
+
+
 class Encoder:
-    """Ids of whole texts. Pieces between ASCII white space are tokenised one by one and remembered, as the
-    tokenizer's normaliser and word pattern never look past white space; `direct` is for tokenizers where they do.
-    Where tokens mark the end of a word, letters and the punctuation after them are tokenised apart."""
+    """Ids of whole texts. With a tokenizer whose words end at white space (see wordwise), pieces between ASCII white space are tokenised
+    one by one and remembered, letters and the punctuation after them apart; with any other, or `direct`, each text is tokenised whole."""
 
-    def __init__(self, json: str, direct: bool = False, remember: int = 200_000):
+    def __init__(self, tokenizer_json: str, direct: bool = False, remember: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.direct, self.remember = Tokenizer.from_str(json), direct, remember
+        self.tokenizer, self.direct, self.remember = Tokenizer.from_str(tokenizer_json), direct or not wordwise(tokenizer_json), remember
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
@@ -263,7 +278,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_json: str, end: int = 2,
     """Encodes docs(doc_id long, text) and writes shard files, as rows (part, seq, first_id, n_ids, file), to a table at path.
 
     Shards follow each other in ascending doc_id (null first; equal ids by their text's hash),
-    each of shard_ids ids or a little more, as documents are never cut. Null text
+    each of shard_ids ids or a little more, as documents are never cut: a text of more ids
+    than that is a shard, which must be less than 2 GB. Null text
     counts as empty: the end id alone. An empty table makes an empty one.
     Spark's writer commits whole files only, so a lost executor leaves no trace.
     """
@@ -330,9 +346,9 @@ def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     with open(tokenizer, encoding="utf-8") as f:
-        json = f.read()
+        tokenizer_json = f.read()
     path = f"{shared_dir(docs.sparkSession)}/token-shards-{uuid.uuid4().hex}"
-    write_shards(docs, path, json)
+    write_shards(docs, path, tokenizer_json)
     return read_shards(docs.sparkSession, path)
 
 
