@@ -16,9 +16,9 @@ SYSTEM = rf"^{_DATE}\s+{_TIME}:\s*(.*)$"
 PC = rf"^\[(.+?)\]\s*\[{_TIME}\]\s*(.*)$"
 #: Messages of a block at most. Fixed value.
 BLOCK = 400
-#: Line ends besides those of text files, and white space at the end of a line, both in patterns. Fixed values.
+#: Line ends, as a pattern, and the characters of white space that are taken off a line's end. Fixed values.
 LINE_ENDS = r"\R|[\x1c-\x1e]"
-TRAILING = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+TRAILING = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How an export's first line gives a room's name. Fixed value.
 ROOM_HINT = r"(?d)카카오톡\s*대화\s*[:：]?\s*(.+)"
 #: Lines of a file that one task scans.
@@ -51,30 +51,34 @@ def parse_export(lines: DataFrame, file: str = "file", segment: int = SEGMENT) -
     the end of lines. Files are scanned in segments of so many lines, each of which goes on from the date and the message that
     those before leave open, so one file is spread over all tasks; only the lines of one message meet in one.
     """
-    lines = lines.select(file, "line_no", F.regexp_replace("line", TRAILING, "").alias("line"))
+    lines = lines.select(file, "line_no", F.rtrim("line", F.lit(TRAILING)).alias("line"))
     line = F.col("line")
-    get = lambda p, k: F.regexp_extract(line, p, k)
-    date = lambda p: F.format_string("%s-%02d-%02d", get(p, 1), get(p, 2).cast("int"), get(p, 3).cast("int")).cast("date")
-    kind = F.lit(None)
-    cases = [*((p, "sep") for p in SEPARATORS), (MOBILE[0], "mobile"), (MOBILE[1], "alt"), (SYSTEM, "system"), (PC, "pc")]
-    for p, name in reversed(cases):
-        kind = F.when(line.rlike(p), F.lit(name)).otherwise(kind)
-    rows = lines.withColumn("kind", kind)
-    pick = lambda options, other=None: F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in options.items()), F.lit(other))
-    own = F.when(line.rlike(SEPARATORS[0]), date(SEPARATORS[0])).when(F.col("kind") == "sep", date(SEPARATORS[1])).when(F.col("kind") == "mobile", date(MOBILE[0])).when(F.col("kind") == "alt", date(MOBILE[1])).when(F.col("kind") == "system", date(SYSTEM))
-    clock = {"mobile": (MOBILE[0], 4), "alt": (MOBILE[1], 4), "system": (SYSTEM, 4), "pc": (PC, 2)}
-    hour = pick({k: hour_of(get(p, i), get(p, i + 1)) for k, (p, i) in clock.items()})
-    minute = pick({k: get(p, i + 2).cast("int") for k, (p, i) in clock.items()})
-    sender = pick({"mobile": get(MOBILE[0], 7), "alt": get(MOBILE[1], 7), "pc": get(PC, 1)})
-    said = pick({"mobile": get(MOBILE[0], 8), "alt": get(MOBILE[1], 8), "system": get(SYSTEM, 7), "pc": get(PC, 5)})
-    # Lines are told apart once; the scans read no more than the columns that they need.
-    rows = rows.where("kind is not null or trim(line) <> ''").select(file, "line_no", F.floor(F.col("line_no") / segment).alias("_segment"), "kind", own.alias("own"), hour.alias("hour"), minute.alias("minute"), sender.alias("sender"), said.alias("said"), F.when(F.col("kind").isNull() | (F.col("kind") == "pc"), F.col("line")).alias("line"))
-    rows = scan.carry_forward(written(rows, "lines"), [file], "_segment", "line_no", F.col("own"), "day")
-    start = F.coalesce(F.col("kind").isin("mobile", "alt", "system") | ((F.col("kind") == "pc") & F.col("day").isNotNull()), F.lit(False))
-    dt = F.expr("timestampadd(MINUTE, hour * 60 + minute, cast(day as timestamp_ntz))")
-    rows = scan.running_count(rows.withColumn("start", start), [file], "_segment", "line_no", F.col("start"), "message")
+    # Of each grammar: year, month, day, half of the day, hour, minute, sender, what is said. A line is read once by the one that it fits.
+    groups = lambda *order: "\0".join(f"${k}" if k else "" for k in order)
+    cases = [*(("sep", p, groups(1, 2, 3)) for p in SEPARATORS), *(("message", p, groups(1, 2, 3, 4, 5, 6, 7, 8)) for p in MOBILE), ("system", SYSTEM, groups(1, 2, 3, 4, 5, 6, 0, 7)), ("pc", PC, groups(0, 0, 0, 2, 3, 4, 1, 5))]
+    fits = None
+    for k, (_, p, _) in enumerate(cases):
+        fits = F.when(line.rlike(p), k) if fits is None else fits.when(line.rlike(p), k)
+    rows = lines.withColumn("fits", fits)
+    read, kind = F.lit(None), F.lit(None)
+    for k, (name, p, order) in enumerate(cases):
+        read = F.when(F.col("fits") == k, F.regexp_replace(line, p, order)).otherwise(read)
+        kind = F.when(F.col("fits") == k, name).otherwise(kind)
+    rows = rows.select(file, "line_no", "line", kind.alias("kind"), F.split(read, "\0", 8).alias("g"))
+    g = lambda k: F.get("g", F.lit(k))
+    own = F.when(F.col("kind") != "pc", F.make_date(g(0).cast("int"), g(1).cast("int"), g(2).cast("int")))
+    clock = F.when(F.col("kind") != "sep", hour_of(g(3), g(4)) * 60 + g(5).cast("int"))
+    sender, kept = F.when(F.col("kind").isin("message", "pc"), F.trim(g(6))), F.when(F.col("kind").isNull() | (F.col("kind") == "pc"), line)
+    rows = rows.select(file, "line_no", F.floor(F.col("line_no") / segment).alias("_segment"), "kind", own.alias("own"), clock.alias("minutes"), sender.alias("sender"), F.when(F.col("kind") != "sep", g(7)).alias("said"), kept.alias("line"))
+    # Lines are read once; the scans take no more than the columns that they need.
+    rows = written(rows, "lines").where("kind is not null or line <> ''")
+    several = not rows.where("_segment > 0").isEmpty()
+    rows = scan.carry_forward(rows, [file], "_segment", "line_no", F.col("own"), "day", several)
+    start = F.coalesce(F.col("kind").isin("message", "system") | ((F.col("kind") == "pc") & F.col("day").isNotNull()), F.lit(False))
+    dt = F.expr("timestampadd(MINUTE, minutes, cast(day as timestamp_ntz))")
+    rows = scan.running_count(rows.withColumn("start", start), [file], "_segment", "line_no", F.col("start"), "message", several)
     rows = rows.where("message > 0 and (start or kind is null or kind = 'pc')").withColumn("said", F.when(F.col("start"), F.col("said")).otherwise(F.col("line")))
-    first = F.when(F.col("start"), F.struct(dt.alias("dt"), F.trim("sender").alias("sender"), (F.col("kind") == "system").alias("is_system")))
+    first = F.when(F.col("start"), F.struct(dt.alias("dt"), "sender", (F.col("kind") == "system").alias("is_system")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), "\n")
     return rows.groupBy(file, "message").agg(F.max(first).alias("m"), text.alias("text")).select(file, "message", "m.dt", "m.sender", "text", "m.is_system")
 

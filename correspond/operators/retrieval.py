@@ -215,11 +215,11 @@ def resolve(cited: DataFrame, mails: DataFrame) -> DataFrame:
     equi-join resolves meet the mails in the order of ids, see best_beginnings.
     """
     local = lambda c: F.split_part(c, F.lit("@"), F.lit(1))
-    ids = mails.groupBy(F.lower("mail_id").alias("key")).agg(F.min(F.struct("account_rank", "seq", "mail_id")).alias("best"))
-    locals_ = ids.groupBy(local(F.col("key")).alias("c_local")).agg(F.min("best").alias("by_local"))
+    ids = mails.select(F.lower("mail_id").alias("key"), F.struct("account_rank", "seq", "mail_id").alias("best"))
+    by_local = ids.groupBy(local(F.col("key")).alias("c_local")).agg(F.min("best").alias("by_local"))
     asked = cited.select("cite_id", F.lower("cited").alias("key"))
-    terms = asked.select("key").distinct().withColumn("c_local", local(F.col("key")))
-    both = terms.join(ids, "key", "left").join(locals_, "c_local", "left")
+    same = asked.select("key").distinct().join(ids, "key", "left").groupBy("key").agg(F.min("best").alias("best"))
+    both = same.withColumn("c_local", local(F.col("key"))).join(by_local, "c_local", "left")
     tier = F.when(F.col("best").isNotNull(), 1).when(F.col("by_local").isNotNull(), 2)
     tiers = written(both.select("key", F.coalesce("best", "by_local").alias("best"), tier.alias("tier")), "tiers")
     known, left = tiers.where("tier is not null"), tiers.where("tier is null and char_length(key) >= 8").select("key")

@@ -10,26 +10,31 @@ def _before(summaries: DataFrame, keys: list[str], segment: str, value: Column)
     return summaries.select(*keys, segment, value.over(earlier).alias("_before"))
 
 
-def carry_forward(rows: DataFrame, keys: list[str], segment: str, order: str, value: Column, name: str) -> DataFrame:
+def carry_forward(rows: DataFrame, keys: list[str], segment: str, order: str, value: Column, name: str, several: bool = True) -> DataFrame:
     """rows with the last value, up to and with each row, that isn't null.
 
     `segment` rises with `order` inside keys. A segment is scanned by itself; it begins with
-    the last value of the segments before, so a key of any number of rows is spread over as many tasks as it has segments.
+    the last value of the segments before, so a key of any number of rows is spread over as many tasks as it has segments. If no
+    key has several, there is nothing to hand on.
     """
+    own = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, segment).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     valued = rows.withColumn("_value", value)
+    if not several:
+        return valued.withColumn(name, own).drop("_value")
     last = valued.where("_value is not null").groupBy(*keys, segment).agg(F.max_by("_value", order).alias("_last"))
     # Segments without a value of their own hand on what they got.
     every = valued.select(*keys, segment).distinct().join(last, [*keys, segment], "left")
     before = _before(every, keys, segment, F.last("_last", ignorenulls=True))
-    own = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, segment).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return valued.withColumn("_own", own).join(before, [*keys, segment]).withColumn(name, F.coalesce("_own", "_before")).drop("_value", "_own", "_before")
 
 
-def running_count(rows: DataFrame, keys: list[str], segment: str, order: str, flag: Column, name: str) -> DataFrame:
+def running_count(rows: DataFrame, keys: list[str], segment: str, order: str, flag: Column, name: str, several: bool = True) -> DataFrame:
     """rows with the number of rows, up to and with each one, of which `flag` is true; in segments like carry_forward."""
     flagged = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long"))
-    before = _before(flagged.groupBy(*keys, segment).agg(F.sum("_flag").alias("_n")), keys, segment, F.sum("_n"))
     own = F.sum("_flag").over(Window.partitionBy(*keys, segment).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not several:
+        return flagged.withColumn(name, own).drop("_flag")
+    before = _before(flagged.groupBy(*keys, segment).agg(F.sum("_flag").alias("_n")), keys, segment, F.sum("_n"))
     return flagged.withColumn("_own", own).join(before, [*keys, segment]).withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_flag", "_own", "_before")
 
 
