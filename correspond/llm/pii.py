@@ -45,7 +45,7 @@ def valid(kind: str, s: str) -> bool:
     return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
 
 
-_SPELT = re.compile(r"(?i)[a-z0-9._%+-]+(?: ?@ ?| ?[\[({] ?(?:at|@) ?[\])}] ?| at )[a-z0-9-]+(?:(?: ?\. ?| ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot )[a-z0-9-]+)+")
+_SPELT = re.compile(r"(?i)[a-z0-9._%+-]+(?:(?: ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot )[a-z0-9_%+-]+)*(?: ?@ ?| ?[\[({] ?(?:at|@) ?[\])}] ?| at )[a-z0-9-]+(?:(?:\.| \. | ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot )[a-z0-9-]+)+")
 _SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
 _NUMBER = re.compile(r"[0-9][0-9 ./_-]*[0-9]")
 _CALL = re.compile(r"[(+]?[0-9][0-9 ()./-]*[0-9]")
@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- the model ---------------------------------------------------------------
 
-WINDOW, STRIDE, HIDDEN = 96, 48, 16
+WINDOW, STRIDE, HIDDEN = 96, 48, 24
 TAGS = 1 + 2 * len(FOUND)  # outside; first and further characters of each kind
 CHARS = 100  # padding, 95 printable ASCII characters, other white space, other control, letters beyond ASCII, others
 _CODE = np.full(128, 97, np.uint8)
@@ -228,6 +228,9 @@ class _Maker:
         labels = [self.word() + self.num(int(self.r.integers(0, 2))), *self.pick(["example", "com"], ["org"], ["net"], ["de"])]
         if not hard:
             return name + "@" + ".".join(labels)
+        if self.r.random() < 0.2:  # full stops of the name as well
+            at, dot = self.pick((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"))
+            return f"{self.word()}{dot}{self.word()}{self.num(int(self.r.integers(0, 3)))}{at}{dot.join(labels)}"
         at, dot = self.pick((" at ", " dot "), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" (at) ", "."), (" @ ", " . "), (" [at] ", "."))
         return name + at + dot.join(labels)
 
@@ -259,7 +262,7 @@ class _Maker:
     def decoy(self) -> str:
         return self.pick(
             self.num(int(self.r.integers(1, 12))), f"{self.r.integers(1990, 2030)}-{self.num(2)}-{self.num(2)}", f"{self.num(1)}.{self.num(1)}.{self.num(2)}", f"{self.r.integers(256, 999)}.{self.num(3)}.{self.num(3)}.{self.num(3)}",
-            f"@{self.word()}{self.num(2)}", f"{self.num(2)},{self.num(3)}.{self.num(2)}", f"Version {self.num(1)}.{self.num(1)}", f"{self.num(2)}:{self.num(2)}", f"commit {self.chars('0123456789abcdef', 7)}",
+            f"@{self.word()}{self.num(2)}", f"{self.num(2)},{self.num(3)}.{self.num(2)}", f"Version {self.num(1)}.{self.num(1)}", f"{self.num(2)}:{self.num(2)}", f"commit {self.chars('0123456789abcdef', self.pick(7, 40))}", f"{self.pick('sha256', 'SHA-256', 'sha256sum', 'checksum', 'digest')}{self.pick(' ', ': ', ':', '=')}{self.chars('0123456789abcdef', 64)}", f"{self.pick('md5', 'MD5', 'etag', 'revision', 'sha1')}{self.pick(' ', ': ', ':', '=')}{self.chars('0123456789abcdef', self.pick(32, 40))}",
             f"https://{self.word()}.com/{self.word()}-{self.num(6)}/{self.word()}", f"{self.word()} at {self.word()} {self.num(2)}", f"{self.num(4)}-{self.num(4)}", f"{self.word()}_{self.word()}_{self.num(3)}", f"no. {self.num(int(self.r.integers(4, 9)))}", f"{self.num(3)} x {self.num(3)} x {self.num(2)}",
         )
 
@@ -307,7 +310,7 @@ def made_up_texts(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int
     return [maker.text(_PROSE * 2, 1.0, 1 / 3) for _ in range(n)]
 
 
-def train(x, y, epochs: int = 14, size: int = 150, rate: float = 0.03, seed: int = 3) -> dict:
+def train(x, y, epochs: int = 16, size: int = 300, rate: float = 0.04, seed: int = 3) -> dict:
     """Adam over shuffled batches, in float32."""
     m, r, step = {k: v.astype(np.float32) for k, v in new_model().items()}, np.random.default_rng(seed), 0
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
@@ -343,6 +346,10 @@ def _explained(text: str, start: int, spans) -> bool:
     return all(len(m[0]) < 9 or any(a < m.end() + start and m.start() + start < b for _, a, b in spans) for m in _MIXED.finditer(window))
 
 
+#: The models of the last training windows, so that the same ones are learnt from once.
+_FITTED: dict[str, dict] = {}
+
+
 def fit(docs: DataFrame, max_windows: int = 1200) -> dict:
     """Trains on at most max_windows windows of documents (by hash order) with the spans of the patterns as labels, and on made-up ones."""
     n = docs.count()
@@ -361,7 +368,12 @@ def fit(docs: DataFrame, max_windows: int = 1200) -> dict:
     drawn = docs.where(F.coalesce(unit(F.col("doc_id"), 17), F.lit(1.0)) < min(1.0, 8.0 * max_windows / max(1, n)))
     rows = small_batches(drawn.select("text")).mapInArrow(of, "h long, text string, spans array<string>").orderBy("h", "text", "spans").limit(max_windows).collect()
     windows = [(r.text, [(int(k), int(a), int(b)) for a, b, k in (s.split(":") for s in r.spans)]) for r in rows]
-    return train(*labelled_windows(windows))
+    name = hashlib.sha256(repr(windows).encode(errors="surrogatepass")).hexdigest()
+    if name not in _FITTED:
+        while len(_FITTED) >= 4:
+            del _FITTED[next(iter(_FITTED))]
+        _FITTED[name] = train(*labelled_windows(windows))
+    return _FITTED[name]
 
 
 def _pieces(tags, sure, length: int) -> list[tuple[int, int, int, float]]:
@@ -418,28 +430,64 @@ def best_spans(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-#: Characters inside a run of which no span of a kind ends.
-_RUNS = {1: "0123456789", 2: "0123456789", 3: "0123456789", 4: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"}
+#: Runs of characters inside which no span of a kind begins or ends.
+_RUNS = {0: re.compile("[A-Za-z0-9_%+-]+"), 1: re.compile("[0-9]+"), 2: re.compile("[0-9]+"), 3: re.compile("[0-9]+"), 4: re.compile("[A-Za-z0-9_/+-]+")}
+#: What a span is looked for by around the place where the model sees one, and how far.
+_AROUND, _FAR = {0: _SPELT, 2: _NUMBER, 3: _CALL}, 96
+_DIGITS = re.compile("[0-9]+")
+
+
+def _nearby(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """The plausible span that has most in common with one that isn't; of numbers side by side, any that follow each other may be one."""
+    found = []
+    for m in _AROUND[kind].finditer(text, max(0, a - _FAR), min(len(text), b + _FAR)):
+        spans = [m.span()]
+        if kind == 2:
+            runs = [d.span() for d in _DIGITS.finditer(text, *m.span())]
+            spans += [(runs[i][0], runs[j][1]) for i in range(len(runs)) for j in range(i, min(i + 6, len(runs)))]
+        found += [s for s in spans if s[0] < b and a < s[1] and plausible(FOUND[kind], text[slice(*s)])]
+    return max(found, key=lambda s: (min(s[1], b) - max(s[0], a), s[0] - s[1]), default=(a, b))
+
+
+def _run(pattern: re.Pattern, text: str, p: int, seen: tuple[int, int]) -> tuple[int, int]:
+    """The whole run that the character at p belongs to, of any length; seen: the last one looked at."""
+    if seen[0] <= p < seen[1]:
+        return seen
+    a, step = p, 256
+    while a and pattern.fullmatch(text, max(0, a - step), a):
+        a, step = max(0, a - step), 2 * step
+    while a and pattern.match(text[a - 1]):
+        a -= 1
+    return a, pattern.match(text, p).end()
 
 
-def _tidy(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
-    """To the ends of the runs of digits or characters that a span stands in, without blanks and punctuation at either end that no span has there."""
+def _tidy(kind: int, text: str, a: int, b: int, seen: dict) -> tuple[int, int]:
+    """To the ends of the runs of digits or characters that a span stands in, without blanks and punctuation at either end that no span has there. seen: the last run of each kind."""
     edge = " \t\r\n\"',;:!?#%*$&" + ("" if kind == 3 else "(") + ("" if kind == 4 else "=")
     while a < b and text[a] in edge:
         a += 1
     while a < b and text[b - 1] in edge + ".)":
         b -= 1
-    run = _RUNS.get(kind, "")
-    while a < b < len(text) and text[b] in run and b - a < 4096:
-        b += 1
-    while 0 < a < b and text[a - 1] in run and b - a < 4096:
-        a -= 1
+    run = _RUNS.get(kind)
+    if run and a < b:
+        if run.match(text[b - 1]):
+            seen[kind] = _run(run, text, b - 1, seen.get(kind, (0, 0)))
+            b = seen[kind][1]
+        if run.match(text[a]):
+            seen[kind] = _run(run, text, a, seen.get(kind, (0, 0)))
+            a = seen[kind][0]
+    if a < b and kind in _AROUND and not plausible(FOUND[kind], text[a:b]):  # the model sees the place; the form tells the ends
+        return _nearby(kind, text, a, b)
     return a, b
 
 
-def model_spans(texts: list[str], model: dict, own: list[list[tuple[int, int, int]]], least: float = 0.7) -> list[list[tuple[int, int, int]]]:
+#: Mean probability that a span of each kind needs: less where its form tells more.
+LEAST = {"email": 0.6, "ip": 0.6, "card": 0.3, "phone": 0.4, "secret": 0.6}
+
+
+def model_spans(texts: list[str], model: dict, own: list[list[tuple[int, int, int]]], least: dict[str, float] = LEAST) -> list[list[tuple[int, int, int]]]:
     """Spans of whole texts that touch none of `own`: windows are decoded by the CRF, spans across windows joined, and of the
-    plausible ones of mean probability `least` or more those are chosen that don't overlap and together are the most certain characters."""
+    plausible ones of mean probability `least` or more for their kind those are chosen that don't overlap and together are the most certain characters."""
     places = [(k, a) for k, t in enumerate(texts) for a in window_starts(t).tolist()]
     found = [[] for _ in texts]
     for p in range(0, len(places), 512):
@@ -452,19 +500,23 @@ def model_spans(texts: list[str], model: dict, own: list[list[tuple[int, int, in
         for j in np.flatnonzero((tags > 0).any(axis=0)):
             k, a = part[j]
             n = min(WINDOW, len(texts[k]) - a)
-            found[k] += [(kind, a + t, a + end, p / (end - t), t == 0 and a > 0, end == n and a + n < len(texts[k])) for kind, t, end, p in _pieces(tags[:, j], sure[:, j], n)]
+            for kind, t, end, p in _pieces(tags[:, j], sure[:, j], n):
+                left = t == 0 and a > 0
+                # No window has more of a secret that begins here: it goes on to the end of its run of characters, see _tidy.
+                right = end == n and a + n < len(texts[k]) and (FOUND[kind] != "secret" or left or t > STRIDE)
+                found[k].append((kind, a + t, a + end, p / (end - t), left, right))
     out = []
     for text, pieces, taken in zip(texts, found, own, strict=True):
-        spans = []
-        for kind, a, b, p in joined(pieces) if pieces else ():
-            a, b = _tidy(kind, text, a, b)
-            if p >= least and a < b and plausible(FOUND[kind], text[a:b]) and all(b <= c or d <= a for _, c, d in taken):
+        spans, seen = [], {}
+        for kind, a, b, p in sorted(joined(pieces)) if pieces else ():
+            a, b = _tidy(kind, text, a, b, seen)
+            if p >= least[FOUND[kind]] and a < b and plausible(FOUND[kind], text[a:b]) and all(b <= c or d <= a for _, c, d in taken):
                 spans.append((kind, a, b, p * (b - a)))
         out.append(best_spans(spans))
     return out
 
 
-def personal_data(docs: DataFrame, least: float = 0.7) -> DataFrame:
+def personal_data(docs: DataFrame, least: dict[str, float] = LEAST) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans), a row for each row of docs.
 
     The counts and the digest are those of the patterns, whose spans stay. The model
