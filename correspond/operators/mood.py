@@ -52,19 +52,43 @@ def normalised(value: Column, *keys) -> Column:
     return F.when(high == low, 50.0).otherwise(100 * (value - low) / (high - low))
 
 
-def mood_scores(messages: DataFrame, private: DataFrame, units=("month", "year")) -> DataFrame:
-    """messages(owner, chatroom_id, dt, seq, sender, text), private(chatroom_id, unit, period, private_ratio) -> (chatroom_id, unit, period, mood_score).
-
-    Of the private ratio (50 where it is missing), tone and speed among the room's
-    periods, and activity among the owner's rooms. All rooms in one job.
-    """
+def room_stats(messages: DataFrame, private: DataFrame, units=("month", "year")) -> DataFrame:
+    """messages(owner, chatroom_id, dt, seq, sender, text), private(chatroom_id, unit, period, private_ratio) -> (owner, chatroom_id, unit, period, tone, messages, balance, gap, private_ratio): what a score needs of each room by itself."""
     tones = messages.select("owner", "chatroom_id", tone_markers(F.col("text")).alias("tone"), periods(F.col("dt"), units).alias("p")).groupBy("owner", "chatroom_id", "p.unit", "p.period").agg(F.avg("tone").alias("tone"))
     keys = ["chatroom_id", "unit", "period"]
-    rows = tones.join(balance(messages, units), keys).join(response_gaps(messages, units), keys, "left").join(private, keys, "left")
-    speed = 1 / (F.coalesce("gap", F.lit(1440.0)) + 1)
-    rows = rows.withColumn("speed", speed)
+    rows = tones.join(balance(messages, units), keys).join(response_gaps(messages, units), keys, "left").join(private.select(*keys, "private_ratio"), keys, "left")
+    return rows.select("owner", *keys, "tone", "messages", "balance", "gap", "private_ratio")
+
+
+def scores(stats: DataFrame) -> DataFrame:
+    """room_stats of all rooms of their owners -> (chatroom_id, unit, period, mood_score)."""
+    rows = stats.withColumn("speed", 1 / (F.coalesce("gap", F.lit(1440.0)) + 1))
     room, owner = ("chatroom_id", "unit"), ("owner", "unit")
     ratio = F.least(F.greatest(F.coalesce("private_ratio", F.lit(50.0)), F.lit(0.0)), F.lit(100.0))
     activity = normalised(F.col("messages"), *owner) * (0.5 + 0.5 * F.col("balance"))
     score = WEIGHTS["private"] * ratio + WEIGHTS["tone"] * normalised(F.col("tone"), *room) + WEIGHTS["activity"] * activity + WEIGHTS["speed"] * normalised(F.col("speed"), *room)
-    return rows.select(*keys, F.round(score, 2).alias("mood_score"))
+    return rows.select("chatroom_id", "unit", "period", F.round(score, 2).alias("mood_score"))
+
+
+def mood_scores(messages: DataFrame, private: DataFrame, units=("month", "year")) -> DataFrame:
+    """messages(owner, chatroom_id, dt, seq, sender, text), private(chatroom_id, unit, period, private_ratio) -> (chatroom_id, unit, period, mood_score).
+
+    Of the private ratio (50 where it is missing), tone and speed among the room's
+    periods, and activity among the owner's rooms. All rooms in one job.
+    """
+    return scores(room_stats(messages, private, units))
+
+
+#: Columns of room_stats as they are stored.
+STATS = "owner string, chatroom_id string, unit string, period string, tone double, messages long, balance double, gap double, private_ratio double"
+
+
+def refresh(stored, messages: DataFrame, private: DataFrame, units=("month", "year"), batch: int | None = None) -> DataFrame:
+    """Scores after some rooms have changed: (chatroom_id, unit, period, mood_score) of all rooms of the owners concerned, whose scores depend on each other.
+
+    stored: Snapshots of room_stats by owner. messages(owner, ...) holds all messages of the changed rooms, and of no others: only their statistics are worked
+    out anew and take the place of their old ones; those of the owners' other rooms are read from the store, and other owners' not at all.
+    """
+    owners = messages.select("owner").distinct()
+    stored.replace(room_stats(messages, private, units), ["owner", "chatroom_id"], batch, "moods")
+    return scores(stored.of(owners))

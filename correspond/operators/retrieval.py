@@ -1,16 +1,12 @@
 """Retrieval by date and vector, budgets, and citations."""
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from correspond.operators.prefixes import best_beginnings
 from correspond.operators.series import running_total
 from correspond.operators.tables import written
-
-#: Vectors of queries that are sent to each task at once.
-QUERY_BLOCK = 2000
+from correspond.operators.vectors import nearest
 
 
 def date_range(text: Column, as_of: str) -> Column:
@@ -103,51 +99,8 @@ def in_ranges(queries: DataFrame, mails: DataFrame, at: str = "mail_date") -> Da
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
-    """The k nearest rows of vectors(id, embedding) to each of queries(query_id, embedding) by cosine.
-
-    Queries go out in blocks of QUERY_BLOCK, of which the driver holds one; what a
-    block but the last finds is written. A task keeps the best k of each query over
-    its batches, so what is shuffled is queries x tasks x k rows. A null vector is
-    left out, a zero vector has a similarity of 0.
-    """
-    kind = "query_id long, id long, similarity double"
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-
-    def search(block: list) -> DataFrame:
-        ids = np.array([q for q, _ in block], np.int64)
-        q = np.array([v for _, v in block], np.float64)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def near(batches):
-            names, q = sent.value
-            best = {}
-            for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v]
-                if not rows:
-                    continue
-                x = np.array([v for _, v in rows], np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                own = np.array([i for i, _ in rows], np.int64)
-                for a in range(0, len(names), 256):
-                    s = q[a : a + 256] @ x.T
-                    i = np.broadcast_to(own, s.shape)
-                    if a in best:
-                        s, i = np.hstack((best[a][0], s)), np.hstack((best[a][1], i))
-                    order = np.lexsort((i, -s), axis=1)[:, :k]
-                    best[a] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            for a, (s, i) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[a : a + 256], s.shape[1])), pa.array(i.ravel()), pa.array(s.ravel())], ["query_id", "id", "similarity"])
-
-        found = vectors.select("id", "embedding").where("embedding is not null").mapInArrow(near, kind)
-        return found.withColumn("rank", place).where(F.col("rank") <= k)
-
-    block = []
-    parts = vectors.sparkSession.range(0).select(*(F.lit(0).cast(t).alias(c) for c, t in (("query_id", "long"), ("id", "long"), ("similarity", "double"), ("rank", "int"))))
-    for row in queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator():
-        if len(block) == QUERY_BLOCK:
-            parts, block = parts.unionByName(written(search(block), "nearest")), []
-        block.append((row[0], row[1]))
-    return parts.unionByName(search(block)) if block else parts
+    """The k nearest rows of vectors(id, embedding) to each of queries(query_id, embedding) by cosine, with similarity and rank; see vectors.nearest. A null or empty vector is left out, a zero vector has a similarity of 0."""
+    return nearest(vectors, queries, k)[0]
 
 
 def within_budget(rows: DataFrame, keys: list[str], tokens: str, budget: int, *order) -> DataFrame:

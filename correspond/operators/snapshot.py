@@ -19,8 +19,19 @@ def first_per(rows: DataFrame, keys: list[str], *order) -> DataFrame:
 
 
 def newest(rows: DataFrame, keys: list[str], cap, *order) -> DataFrame:
-    """At most `cap` rows of each key (a number or a column)."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= cap).drop("_k")
+    """The first rows of each key in an order, `cap` at most: a number, or a column that is the same for all rows of a key (null: all rows).
+
+    The largest cap of a column is asked for first, so that a map task keeps no more rows of a key than that; keys without a cap aren't ordered at all.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if isinstance(cap, int):
+        return rows.withColumn("_k", place).where(F.col("_k") <= cap).drop("_k")
+    capped = rows.withColumn("_cap", cap)
+    most = capped.agg(F.max("_cap")).first()[0]
+    if most is None:
+        return rows
+    held = capped.where("_cap > 0").withColumn("_k", place).where(F.col("_k") <= most).where("_k <= _cap").drop("_k", "_cap")
+    return held.unionByName(capped.where("_cap is null").drop("_cap"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[str, ...] = ()) -> DataFrame:

@@ -137,15 +137,6 @@ def test_components(spark):
     assert dict(found.select("node", "component").collect()) == dict(zip("abcdefghijk", "aaaddfggggg", strict=True))
 
 
-def test_vectors_in_blocks(spark, monkeypatch):
-    rows = [(i, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(40)]
-    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
-    q = v.select(F.col("id").alias("query_id"), "embedding")
-    whole = sorted(map(tuple, retrieval.vector_topk(v, q, 4).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
-    assert len(whole) == 160 and sorted(map(tuple, retrieval.vector_topk(v, q, 4).collect())) == whole
-
-
 def test_latest_day(spark):
     old = spark.createDataFrame([("r", "2024-01-01_01", "o"), ("r", "2024-01-02_01", "o")], "room string, block_id string, v string")
     new = spark.createDataFrame([("r", "2024-01-02_01", "n"), ("r", "2024-01-01_01", "n")], "room string, block_id string, v string")

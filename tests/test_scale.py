@@ -5,11 +5,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from correspond.operators import blocks, chatlog, communities, prefixes, retrieval, scan
+from correspond.operators import blocks, chatlog, communities, prefixes, retrieval, scan, snapshot, vectors
 from correspond.sources import readers
 
 R = random.Random(4)
@@ -232,3 +233,38 @@ def test_communities_of_a_table(spark):
     top = found.agg(F.max("level")).first()[0]
     plain = spark.createDataFrame(list(plain_communities([tuple(r) for r in li.collect()], 15).items()), "node string, community string")
     assert communities.modularity(li, found.where(F.col("level") == top).select("node", "community")) >= 0.95 * communities.modularity(li, plain) > 0
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    """In clusters with a crowd of copies, and in no order at all, with vectors and queries of no length: equal to all pairs, of which clusters leave most out."""
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    for spread, most in ((0.05, 0.5), (5.0, 1.0)):
+        x = r.normal(size=(12, 6))[r.integers(12, size=900)] + spread * r.normal(size=(900, 6))
+        x[100:400] = x[100]
+        x[7] = x[500] = 0
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [])]
+        v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+        q = v.where("id % 30 = 7 or id > 1999 or id = 100").select(F.col("id").alias("query_id"), "embedding")
+        found, work = vectors.nearest(v, q, 10, cells=24)
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        want = []
+        for i in [i for i in range(900) if i % 30 == 7 or i == 100]:
+            s = np.round(unit @ unit[i], 9)
+            want += [(i, int(j), k + 1) for k, j in enumerate(np.lexsort((np.arange(900), -s))[:10])]
+        got = found.collect()
+        assert sorted((g.query_id, g.rank) for g in got) == sorted((i, k) for i, _, k in want)
+        by_place = {(i, k): np.round(unit[j] @ unit[i], 9) for i, j, k in want}
+        assert all(abs(g.similarity - by_place[g.query_id, g.rank]) < 1e-8 for g in got)
+        compared, pairs = work.first()
+        assert pairs == 31 * 900 and compared <= most * pairs
+    assert vectors.nearest(v.limit(0), q)[0].count() == 0 and vectors.nearest(v, q.limit(0))[0].count() == 0
+
+
+def test_caps_of_a_column(spark):
+    rows = [(a, i, c) for a, n, c in (("hot", 3000, 7), ("some", 40, 20), ("few", 3, 9), ("none", 10, 0), ("free", 50, None)) for i in range(n)]
+    df = spark.createDataFrame(rows, "account string, at long, cap int").repartition(5)
+    got = snapshot.newest(df, ["account"], F.col("cap"), F.desc("at"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((a, i, c) for a, n, c in (("hot", 3000, 7), ("some", 40, 20), ("few", 3, 9), ("free", 50, None)) for i in range(n) if c is None or i >= n - c), key=str)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
