@@ -121,12 +121,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame, size: int = 1500, overlap: int = 150) -> DataFrame:
-    """Documents in pieces of `size` words, each `overlap` words into the one before."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    """(doc_id, chunk, n_words, text): documents in pieces of `size` words, each `overlap` words into the one before, cut out of the text as it is. For tokens of a tokenizer see tokens.token_chunks."""
+    words = F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))  # each with the white space before it
     step = size - overlap
     rows = docs.select("doc_id", words.alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - overlap - 1), F.lit(step))
-    return rows.select("doc_id", F.posexplode(starts).alias("chunk", "start"), "w").select("doc_id", "chunk", F.slice("w", F.col("start") + 1, F.lit(size)).alias("w")).select("doc_id", "chunk", F.size("w").alias("n_words"), F.array_join("w", " ").alias("text"))
+    cut = rows.select("doc_id", F.posexplode(starts).alias("chunk", "start"), "w").select("doc_id", "chunk", F.slice("w", F.col("start") + 1, F.lit(size)).alias("w"))
+    return cut.select("doc_id", "chunk", F.size("w").alias("n_words"), F.regexp_replace(F.array_join("w", ""), r"^\s+", "").alias("text"))
 
 
 def neighbours(links: DataFrame, people: DataFrame) -> DataFrame:

@@ -153,8 +153,8 @@ def community_level(spark, d):
     return communities.common_level(graph_communities(spark, d))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 150 - 1) + 1, 1350)) AS s FROM w WHERE len(w) > 0)
-SELECT doc_id, (s // 1350)::INTEGER AS chunk, len(w[s + 1:s + 1500])::INTEGER AS n_words, array_to_string(w[s + 1:s + 1500], ' ') AS text FROM c""")
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 150 - 1) + 1, 1350)) AS s FROM w WHERE len(w) > 0)
+SELECT doc_id, (s // 1350)::INTEGER AS chunk, len(w[s + 1:s + 1500])::INTEGER AS n_words, regexp_replace(array_to_string(w[s + 1:s + 1500], ''), '^\s+', '') AS text FROM c""")
 def chunk_documents(spark, d):
     return graph.chunks(read(spark, d, "documents"))
 

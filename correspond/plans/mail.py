@@ -1,12 +1,16 @@
 """Queries on mails: scores, series, contacts, keywords, snapshots."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
 from correspond.operators import affinity, blocks, facts, keywords, series, snapshot
+from correspond.operators.tables import shared_dir
 from correspond.plans.base import MAIL, WORDS, mail, query, read, words
 from correspond.sources import export
+from correspond.sources.snapshots import Snapshots
 
 AS_OF = "2001-12-31"
 _TONE = "(CASE kg_tone WHEN 'casual' THEN 1.0::DOUBLE WHEN 'transactional' THEN 0.5 WHEN 'formal' THEN 0.2 WHEN 'notification' THEN 0.1 WHEN 'alert' THEN 0.1 ELSE 0.0 END)"
@@ -223,6 +227,19 @@ def upsert_person(spark, d):
     return snapshot.upsert(old, new, ["person"], keep_if_null=("label",))
 
 
+@query("""WITH o AS (SELECT c_nationkey::BIGINT AS account, c_custkey AS person, c_acctbal AS mails, c_mktsegment AS label FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_nationkey::BIGINT AS account, c_custkey AS person, c_acctbal * 2 AS mails, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE lower(c_mktsegment) END AS label FROM customer WHERE c_nationkey % 5 = 1)
+SELECT account, person, CASE WHEN n.mails IS NOT NULL THEN n.mails ELSE o.mails END AS mails, coalesce(n.label, o.label) AS label FROM o FULL JOIN n USING (account, person)""")
+def person_snapshots(spark, d):
+    """Persons kept as snapshots: a first batch, then one of a few accounts that is replayed; a reader sees the last snapshot."""
+    c = read(spark, d, "customer").withColumn("account", F.col("c_nationkey").cast("long"))
+    store = Snapshots(spark, f"{shared_dir(spark)}/persons-{uuid.uuid4().hex}", "account long, person long, mails double, label string", ["account"], parts=8)
+    store.merge(c.where("c_custkey % 3 <> 0").select("account", F.col("c_custkey").alias("person"), F.col("c_acctbal").alias("mails"), F.col("c_mktsegment").alias("label")), ["account", "person"], batch=0)
+    new = c.where("c_nationkey % 5 = 1").select("account", F.col("c_custkey").alias("person"), (F.col("c_acctbal") * 2).alias("mails"), F.when(F.col("c_custkey") % 4 != 0, F.lower("c_mktsegment")).alias("label"))
+    for _ in range(2):
+        store.merge(new, ["account", "person"], batch=1, keep_if_null=("label",))
+    return store.current()
+
+
 @query("SELECT DISTINCT l_orderkey AS mail_id, 'part' || l_partkey || '.pdf' AS filename FROM lineitem WHERE l_linenumber <= 4")
 def attachment_ledger(spark, d):
     rows = read(spark, d, "lineitem").select("l_linenumber", F.col("l_orderkey").alias("mail_id"), F.concat(F.lit("part"), F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("filename"))

@@ -1,11 +1,15 @@
 """Queries on chats: parsing, blocks, counts, mood; and on mail blocks."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from correspond.functions import text as fn
 from correspond.operators import blocks, chatlog, facts, mood, series, snapshot
+from correspond.operators.tables import shared_dir
 from correspond.plans.base import CHAT, MAIL, TALK, chat, mail, query, read, talk
+from correspond.sources.snapshots import Snapshots
 
 # --- mail blocks --------------------------------------------------------------------
 
@@ -426,10 +430,14 @@ y AS (SELECT *, CASE WHEN max(tone) OVER r = min(tone) OVER r THEN 50.0::DOUBLE
 mood AS (SELECT chatroom_id, unit, period, round(0.35::DOUBLE * least(100, greatest(0, coalesce(private_ratio, 50))) + 0.35::DOUBLE * tn + 0.15::DOUBLE * an + 0.15::DOUBLE * sn, 2) AS mood_score FROM y)"""
 
 
-def _mood(spark, d):
+def _mood_inputs(spark, d):
     m = _rooms(spark, d)
     private = m.where("chatroom_id < 'r3'").select("chatroom_id", F.date_format("dt", "yyyy-MM-dd").alias("period")).distinct().select("chatroom_id", F.lit("day").alias("unit"), "period", (F.substring("period", 9, 2).cast("int") * 5).cast("double").alias("private_ratio"))
-    return mood.mood_scores(m, private, _UNITS)
+    return m, private
+
+
+def _mood(spark, d):
+    return mood.mood_scores(*_mood_inputs(spark, d), _UNITS)
 
 
 @query(f"WITH {_MOOD} SELECT * FROM mood")
@@ -437,6 +445,16 @@ def mood_score(spark, d):
     return _mood(spark, d)
 
 
+@query(f"WITH {_MOOD} SELECT * FROM mood")
+def mood_after_changes(spark, d):
+    """Moods of all rooms after some had more messages: worked out for all without these, then for the changed rooms alone, with those of their owners."""
+    m, private = _mood_inputs(spark, d)
+    store = Snapshots(spark, f"{shared_dir(spark)}/moods-{uuid.uuid4().hex}", mood.STATS, ["owner"], parts=8)
+    mood.refresh(store, m.where("chatroom_id > 'r1' or seq % 3 <> 0"), private, _UNITS)
+    mood.refresh(store, m.where("chatroom_id <= 'r1'"), private, _UNITS)
+    return mood.scores(store.current())
+
+
 @query(f"WITH {_MOOD} SELECT chatroom_id, round(coalesce(avg(mood_score) FILTER (unit = 'day'), avg(mood_score) FILTER (unit = 'month')), 8) AS mood FROM mood WHERE unit = 'day' AND period BETWEEN '2024-01-03' AND '2024-01-12' OR unit = 'month' AND period = '2024-01' GROUP BY 1")
 def room_mood_avg(spark, d):
     """Over a range: of the finer unit if there are rows, else of the coarser."""

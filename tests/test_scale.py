@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from correspond.operators import blocks, chatlog, communities, prefixes, retrieval, scan, snapshot, vectors
+from correspond.operators import blocks, chatlog, communities, prefixes, retrieval, scan, snapshot, tokens, vectors
 from correspond.sources import readers
 
 R = random.Random(4)
@@ -268,3 +268,28 @@ def test_caps_of_a_column(spark):
     got = snapshot.newest(df, ["account"], F.col("cap"), F.desc("at"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((a, i, c) for a, n, c in (("hot", 3000, 7), ("some", 40, 20), ("few", 3, 9), ("free", 50, None)) for i in range(n) if c is None or i >= n - c), key=str)
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_chunks(spark):
+    """Cut where a loop over the tokens cuts, out of the text as it is; with a tokenizer's tokens and with any others."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [None, "", "one", "  two  words\n", *(" ".join("".join(R.choice("abcé日 ") for _ in range(8)) for _ in range(R.randrange(200))) for _ in range(20))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        told = f.read()
+    whole = Tokenizer.from_str(told)
+    words = lambda many: [[m.span() for m in re.finditer(r"\S+", t)] for t in many]
+    for offsets, plain in ((tokens.tokenizer_offsets(told), lambda t: whole.encode(t, add_special_tokens=False).offsets), (words, lambda t: words([t])[0])):
+        for size, overlap in ((40, 7), (1500, 150)):
+            want = []
+            for i, t in enumerate(texts):
+                spans, first, n = plain(t or ""), 0, 0
+                while first < len(spans) and (n == 0 or first + overlap < len(spans)):
+                    own = spans[first : first + size]
+                    want.append((i, n, len(own), t[own[0][0] : max(e for _, e in own)]))
+                    first, n = first + size - overlap, n + 1
+            got = tokens.token_chunks(df, offsets, size, overlap).collect()
+            assert sorted((r.doc_id, r.chunk, r.n_tokens, r.text) for r in got) == want and all(texts[r.doc_id][r.start : r.end] == r.text for r in got)
+        assert {r.doc_id: r.n for r in tokens.token_counts(df, "text", "n", offsets).collect()} == {i: len(plain(t or "")) for i, t in enumerate(texts)}
