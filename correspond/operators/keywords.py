@@ -84,6 +84,6 @@ def best_words(words: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def mentions(texts: DataFrame, words_of: Callable[[Column], Column] | None = None) -> DataFrame:
-    """texts(text, ...) -> the other columns and keyword, a row for each keyword of a text: words_of(text) gives an array of them, be it a model's (the hook) or, by default, its words of six ASCII letters or more."""
-    words_of = words_of or (lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z]{6,}"), F.lit(0)))
+    """texts(text, ...) -> the other columns and keyword, a row for each keyword of a text: words_of(text) gives an array of them, be it a model's (the hook) or, by default, its words of six letters or more, of any script."""
+    words_of = words_of or (lambda text: F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{6,}"), F.lit(0)))
     return texts.select(*[c for c in texts.columns if c != "text"], F.explode(words_of(F.col("text"))).alias("keyword"))

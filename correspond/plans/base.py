@@ -79,10 +79,10 @@ def talk(spark, d) -> DataFrame:
 
 WORDS = r"""words AS (
   SELECT 'acct' || (doc_id % 5) AS account, source AS person, DATE '2024-01-01' + (doc_id % 90)::INTEGER AS day, doc_id, w AS keyword
-  FROM (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM documents))"""
+  FROM (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '\p{L}{6,}')) AS w FROM documents))"""
 
 
 def words(spark, d) -> DataFrame:
-    """(account, person, day, doc_id, keyword): a row for each word of six ASCII letters or more."""
+    """(account, person, day, doc_id, keyword): a row for each word of six letters or more."""
     texts = read(spark, d, "documents").select(F.concat(F.lit("acct"), (F.col("doc_id") % 5).cast("string")).alias("account"), F.col("source").alias("person"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).alias("day"), "doc_id", "text")
     return keywords.mentions(texts)
