@@ -64,3 +64,15 @@ def stream_sessions(spark, d):
     s = jobs.closed_sessions(spark, stream, "ts", ["user_id"], "4 hours")
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return s.select("user_id", text("started"), text("ended"), "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n, max(ts) + INTERVAL 4 HOUR > (SELECT max(ts) FROM events) AS is_open FROM s GROUP BY user_id, k""")
+def stream_all_sessions(spark, d):
+    """Each user's sessions, open ones marked, from batches whose times overlap throughout: later ones lengthen and join sessions of earlier ones."""
+    e = read(spark, d, "events")
+    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    e.repartition(3, "event_id").write.parquet(folder)
+    s = jobs.all_sessions(spark, jobs.files(spark, folder, e.schema), "ts", ["user_id"], "4 hours", parts=4)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return s.select("user_id", text("started"), text("ended"), "n", "is_open")

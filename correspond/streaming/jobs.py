@@ -3,10 +3,11 @@
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from correspond.operators.tables import shared_dir
+from correspond.sources.snapshots import Snapshots
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -118,3 +119,37 @@ def closed_sessions(spark: SparkSession, stream: DataFrame, at: str, keys: list[
     _started(spark, out, rows.schema)
     run_batches(rows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), f"{out}-checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{out}/*")
+
+
+def joined_sessions(spans: DataFrame, keys: list[str], gap: str) -> DataFrame:
+    """spans(keys, started, ended, n), single messages or sessions, in any order -> sessions: spans with at most `gap` between them are one."""
+    order = Window.partitionBy(*keys).orderBy("started", "ended")
+    before = F.max("ended").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("started") > before + F.expr(f"interval {gap}"), F.lit(True))
+    numbered = spans.withColumn("_fresh", fresh.cast("int")).withColumn("_s", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*keys, "_s").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("n")).drop("_s")
+
+
+def all_sessions(spark: SparkSession, stream: DataFrame, at: str, keys: list[str], gap: str, folder: str | None = None, late: str = "0 seconds", parts: int = 16) -> DataFrame:
+    """(keys, started, ended, n, is_open): all sessions of what a stream has brought so far, those that may still grow among them; ended is the last message.
+
+    Sessions are kept as snapshots by key. A batch is first joined into sessions by itself; with the stored ones of its keys they become new sessions, so a late
+    message lengthens a session or makes two of them one, and a replayed batch has no effect. A session is open as long as its end, the gap and `late` reach beyond the newest
+    message. Without a watermark nothing is dropped; a key's sessions, not its messages, meet in one task.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "started timestamp_ntz", "ended timestamp_ntz", "n bigint"])
+    store = Snapshots(spark, folder or f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}", schema, keys, parts)
+
+    def each(batch, number):
+        time = F.col(at).cast("timestamp_ntz")
+        # Many messages of one minute are one span before they meet those of other minutes.
+        spans = batch.where(F.col(at).isNotNull()).groupBy(*keys, F.date_trunc("minute", time).alias("_m")).agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("n")).drop("_m") if gap_is_long else batch.where(F.col(at).isNotNull()).select(*keys, time.alias("started"), time.alias("ended"), F.lit(1).cast("long").alias("n"))
+        store.change(spans, lambda old, new: joined_sessions(old.unionByName(new), keys, gap), number)
+
+    gap_is_long = spark.range(1).select(F.expr(f"interval {gap} >= interval 1 minute")).first()[0]
+    run_batches(stream, each, f"{store.at}-checkpoint")
+    now = store.current()
+    newest = F.lit(now.agg(F.max("ended")).first()[0]).cast("timestamp_ntz")
+    open_ = F.col("ended") + F.expr(f"interval {gap}") + F.expr(f"interval {late}") > newest
+    return now.select(*keys, "started", "ended", "n", open_.alias("is_open"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from correspond.operators import mood
 from correspond.sources.snapshots import Snapshots
+from correspond.streaming import jobs
 
 ROWS = "account string, person string, n long, note string"
 
@@ -84,3 +85,28 @@ def test_moods_of_changed_rooms(spark, tmp_path):
     owned = {m[1] for m in later if m[0] == "o1"}
     assert got == {k: v for k, v in whole.items() if k[0] in owned} and len({k[0] for k in got}) == 3 and {m[1] for m in changed} == {"room5"}
     assert told(mood.scores(store.current())) == whole
+
+
+def test_all_sessions(spark, tmp_path):
+    """After each run of a stream, the sessions of all messages so far, late ones and replays included."""
+    import datetime
+
+    r = random.Random(6)
+    base = datetime.datetime(2024, 1, 1)
+    said = [(f"k{r.randrange(4)}", base + datetime.timedelta(minutes=r.randrange(3000))) for _ in range(120)] + [("k9", None)]
+    seen = []
+    for k in range(3):
+        some = said[k::3]
+        seen += some
+        spark.createDataFrame(some, "key string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, ts timestamp_ntz").parquet(f"{tmp_path}/in")
+        for gap, minutes in (("30 minutes", 30), ("10 seconds", 1 / 6)):
+            got = sorted(map(tuple, jobs.all_sessions(spark, stream, "ts", ["key"], gap, f"file://{tmp_path}/{minutes > 1}", parts=3).collect()))
+            want, step, newest = [], datetime.timedelta(minutes=minutes), max(t for _, t in seen if t)
+            for key in {key for key, t in seen if t}:
+                for t in sorted(t for n, t in seen if n == key and t):
+                    if want and want[-1][0] == key and t - want[-1][2] <= step:
+                        want[-1][2:4] = t, want[-1][3] + 1
+                    else:
+                        want.append([key, t, t, 1])
+            assert got == sorted((*w, w[2] + step > newest) for w in want)
