@@ -226,10 +226,10 @@ class Encoder:
         simple = pc.and_(parts.is_valid(), pc.invert(pc.match_substring(pieces, "<|")))
         first = pc.if_else(simple, pc.utf8_lower(pc.struct_field(parts, 0)), pieces)
         words = pa.chunked_array([first, pc.if_else(simple, pc.struct_field(parts, 1), "")]).combine_chunks().dictionary_encode()
-        different = words.dictionary.to_pylist()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(different) > self.remember:  # words of these texts are the likeliest to come again
             self.known = {"": b""} | {w: self.known[w] for w in different if w in self.known}
-        whole = set(pc.unique(pc.filter(pieces, pc.invert(simple))).to_pylist())
+        whole = set(pc.unique(pc.filter(pieces, pc.invert(simple))).to_numpy(zero_copy_only=False).tolist())
         new = [w for w in different if w not in self.known]
         self._learn([w for w in new if w not in whole], True)
         self._learn([w for w in new if w in whole], False)
