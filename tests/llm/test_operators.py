@@ -152,13 +152,13 @@ def test_model_on_documents(spark):
 
 
 def test_long_secrets(tagger):
-    """Spans that lie whole in no window are found to their end, four of five at any length."""
+    """Found to their end, four of five at any length, unless the patterns see a card's number in one, whose span stays."""
     r = random.Random(4)
     for length in (100, 1000, 3000, 10_000):
-        secrets = ["".join(r.choice("0123456789abcdef") for _ in range(length)) for _ in range(20)]
-        texts = [f'some words before api_key = "{s}" and after' for s in secrets]
-        got = pii.model_spans(texts, tagger, [pii.base_spans(t) for t in texts])
-        assert sum(g == [(4, t.index(s), t.index(s) + length)] for g, t, s in zip(got, texts, secrets, strict=True)) >= 16
+        made = (f'some words before api_key = "{"".join(r.choice("0123456789abcdef") for _ in range(length))}" and after' for _ in range(200))
+        texts = [t for t in made if not pii.base_spans(t)][:20]
+        want = [(4, t.index('"') + 1, t.rindex('"')) for t in texts]
+        assert len(texts) == 20 and sum(got == [w] for got, w in zip(pii.model_spans(texts, tagger, [[]] * 20), want, strict=True)) >= 16
 
 
 def test_best_spans():
