@@ -226,6 +226,18 @@ def test_communities_of_odd_links(spark):
     assert 2 <= sizes <= 15
 
 
+def test_links_that_communities_drop(spark, monkeypatch):
+    """Links between communities that are too large to become one are not carried to the next level, and a turn deals links out once, without sorting them for a join."""
+    tables, plans, write = [], [], communities.Scratch.written
+    monkeypatch.setattr(communities.Scratch, "written", lambda self, df, name: (name == "wishes" and plans.append(df._jdf.queryExecution().toString()), out := write(self, df, name), tables.append((name, out.count())))[1])
+    links = [(f"n{a:02d}", f"n{b:02d}", None) for a in range(24) for b in range(a)]
+    found = communities.communities(spark.createDataFrame(links, LINKS), limit=4)
+    assert found.groupBy("level", "community").count().where("level = 0 and count <> 4").count() == 0 and found.where("level = 0").count() == 24
+    later = tables[[name for name, _ in tables].index("level0") :]
+    assert all(n == 0 for name, n in later if name in ("edges", "less", "wishes")) and len(plans) > 1
+    assert not any("SortMergeJoin [dst" in p for p in plans)
+
+
 def test_communities_of_a_table(spark):
     """Orders and suppliers of the smallest table, against moves of one node after another."""
     li = spark.read.parquet(f"{SF}/lineitem.parquet").select(F.format_string("o%d", F.col("l_orderkey")).alias("source"), F.format_string("p%d", "l_partkey").alias("target"), F.col("l_quantity").alias("weight")).where("hash(source) % 9 = 0")
