@@ -11,7 +11,8 @@ _REL = """rel AS (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target,
 
 
 def _relationships(spark, d):
-    li = read(spark, d, "lineitem").groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target")).agg(F.min("l_orderkey").alias("seq"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    sums = read(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("seq"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    li = sums.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target"), "seq", "n", "q")
     told = F.format_string("sold %d", "n")
     return li.select("source", "target", "seq", "n", F.when(F.col("seq") % 3 != 0, F.col("q")).alias("weight"), F.when(F.col("seq") % 2 == 0, F.concat(F.format_string("[관계: r%d] ", F.col("seq") % 5), told)).otherwise(told).alias("description"))
 
