@@ -16,6 +16,11 @@ def tone_score() -> Column:
     return F.when(F.col("llm_tone").isNull(), kg).otherwise((kg + (F.col("llm_tone") == "friendly").cast("double")) / 2)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As the SQL rounds: the product with a power of ten goes to the nearest whole number, halves away from zero. F.round goes by the printed decimal instead, and parts at halves that the product meets exactly."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits
+
+
 def by_person(mails: DataFrame) -> DataFrame:
     """mails(account, sender, receiver, direction, ...) of address fields -> a row for each person of a mail: each address of the receivers of a sent mail, or of the senders of a received one, once; the owner's own is left out."""
     field = F.when(F.col("direction") == "sent", F.col("receiver")).when(F.col("direction") == "received", F.col("sender"))
@@ -26,16 +31,20 @@ def intimacy(mails: DataFrame, as_of: str, start: str | None = None, end: str |
     """Score of every (account, person) in one aggregation: balance, replies and tone, then volume and age.
 
     `persons` adds correspondents without mail, of score 0. The last day of a range
-    counts whole unless end_inclusive_day is off.
+    counts whole unless end_inclusive_day is off. Mails with a seq are added up in its order.
     """
     if start:
         mails = mails.where(F.col("mail_date") >= F.lit(start).cast("timestamp_ntz"))
     if end:
         to = F.lit(end).cast("timestamp_ntz")
         mails = mails.where(F.col("mail_date") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz") if end_inclusive_day else F.col("mail_date") <= to)
+    tone = F.avg(tone_score())
+    if "seq" in mails.columns:  # a sum of fractions depends on its order: here it is that of the mails, however they are dealt out
+        mails = mails.withColumn("_tones", F.sum(tone_score()).over(Window.partitionBy("account", "person").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        tone = F.max_by("_tones", "seq") / F.count("*")
     sums = mails.groupBy("account", "person").agg(
         F.count("*").alias("n"), F.count_if(F.col("direction") == "sent").alias("sent"), F.count_if(F.col("direction") == "received").alias("received"), F.count_if("is_reply").alias("replies"),
-        F.avg("reply_elapsed_hours").alias("hours"), F.avg(tone_score()).alias("tone"), F.max("mail_date").alias("last"),
+        F.avg("reply_elapsed_hours").alias("hours"), tone.alias("tone"), F.max("mail_date").alias("last"),
     )
     if persons is not None:
         sums = persons.select("account", "person").distinct().join(sums, ["account", "person"], "left").fillna(0, ["n", "sent", "received", "replies", "tone"])
@@ -47,7 +56,7 @@ def intimacy(mails: DataFrame, as_of: str, start: str | None = None, end: str |
         scored = scored.withColumn("eis", F.col("eis") * (1 - F.exp(-0.05 * n)))
     if decay:
         scored = scored.withColumn("eis", F.col("eis") * F.coalesce(F.exp(-0.005 * F.datediff(F.lit(as_of).cast("date"), F.to_date("last"))), F.lit(1.0)))
-    return scored.select("account", "person", "n", "sent", "received", "replies", F.round("hours", 4).alias("t_bar"), F.round("r", 6).alias("r"), F.round("p", 6).alias("p"), F.round("tone", 6).alias("t"), F.round("eis", 6).alias("eis"))
+    return scored.select("account", "person", "n", "sent", "received", "replies", rounded(F.col("hours"), 4).alias("t_bar"), *(rounded(F.col(c), 6).alias(out) for c, out in (("r", "r"), ("p", "p"), ("tone", "t"), ("eis", "eis"))))
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Segmented scans, splittable readers, prefixes, ranges of days, and communities against plain versions."""
 
 import datetime
+import math
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from correspond.operators import blocks, chatlog, communities, prefixes, retrieval, scan, snapshot, tokens, vectors
+from correspond.operators import affinity, blocks, chatlog, communities, prefixes, retrieval, scan, snapshot, tokens, vectors
 from correspond.sources import readers
 
 R = random.Random(4)
@@ -305,3 +306,27 @@ def test_token_chunks(spark):
             got = tokens.token_chunks(df, offsets, size, overlap).collect()
             assert sorted((r.doc_id, r.chunk, r.n_tokens, r.text) for r in got) == want and all(texts[r.doc_id][r.start : r.end] == r.text for r in got)
         assert {r.doc_id: r.n for r in tokens.token_counts(df, "text", "n", offsets).collect()} == {i: len(plain(t or "")) for i, t in enumerate(texts)}
+
+
+def test_scores_at_halves(spark):
+    """Scores that lie half way between two of six digits: the mails' tones are added up in order and rounded as in SQL, however the mails are dealt out."""
+    kinds, rows = [*affinity.TONES, "none"], []
+    for person in range(300):
+        for seq in range(16):
+            rows.append(("a", f"p{person:03d}", person * 16 + seq, R.choice(("sent", "received")), False, None, R.choice(kinds), R.choice((None, "friendly", "not")), datetime.datetime(2000, 1, 1)))
+    mails = spark.createDataFrame(rows, "account string, person string, seq long, direction string, is_reply boolean, reply_elapsed_hours double, kg_tone string, llm_tone string, mail_date timestamp_ntz")
+    of = defaultdict(list)
+    for r in rows:
+        of[r[1]].append(r)
+    want = {}
+    for person, own in of.items():
+        total = 0.0
+        for r in own:
+            kg = affinity.TONES.get(r[6], 0.0)
+            total += kg if r[7] is None else (kg + (r[7] == "friendly")) / 2
+        sent = sum(r[3] == "sent" for r in own)
+        eis = 0.3 * (1 - abs(2 * sent - 16) / 16) + 0.4 * 0.0 + 0.3 * (total / 16)
+        want[person] = math.floor(eis * 1e6 + 0.5) / 1e6
+    for dealt in (mails, mails.repartition(7), mails.orderBy(F.desc("seq"))):
+        got = affinity.intimacy(dealt, "2001-12-31", volume=False, decay=False).collect()
+        assert {r["person"]: r["eis"] for r in got} == want
