@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from correspond.functions import text as fn
 from correspond.operators import blocks, snapshot
 from correspond.operators.graph import pairs
+from correspond.operators.tables import written
 
 #: Tones that an entity's description may name. Fixed values.
 TONES = ("formal", "casual", "transactional", "notification", "alert")
@@ -39,6 +40,7 @@ def mail_fact(texts: DataFrame, entities: DataFrame, tone_of: Callable[[Column],
         "subject", "body", reply.alias("is_reply"), (tone_of(body) if tone_of else F.lit(None).cast("string")).alias("llm_tone"),
         F.when(reply, sender).alias("quote_sender"), F.when(reply, minute).alias("quote_minute"), F.substring("date_raw", 1, 16).alias("minute"),
     )
+    rows = written(rows, "mails")  # texts are parsed once, for the fact and for both sides of the replies
     by_minute = rows.select("account", "seq", "mail_id", fn.address(F.col("sender")).alias("sender"), "minute", F.date_trunc("minute", "mail_date").cast("timestamp_ntz").alias("mail_date"), "quote_sender", "quote_minute")
     linked = blocks.reply_links(by_minute).withColumnRenamed("hours", "reply_elapsed_hours")
     told = tones(entities).withColumnRenamed("title", "_title")

@@ -337,3 +337,21 @@ def test_folders_by_numbers(spark):
     """Chunks of mails are summed by the mail's number, in a hash; names of mails are never sorted or dealt out."""
     plan = mail.folder_counts(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "mail_id" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_previous(spark, size):
+    rows = [("ab"[k % 3 == 0], k, R.choice((None, "x", "y"))) for k in R.sample(range(40), 25)]
+    df = spark.createDataFrame(rows, "key string, seq long, v string").withColumn("segment", F.floor(F.col("seq") / size))
+    got = {r["seq"]: (r["p"], r["s"]) for r in scan.previous(df, ["key"], "segment", "seq", {"p": F.col("v"), "s": F.col("seq")}).collect()}
+    want = {}
+    for key in "ab":
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        want |= {b[0]: (a[1], a[0]) for a, b in zip([(None, None), *own], own)}
+    assert got == want
+
+
+def test_mails_are_parsed_once(spark):
+    """The mail fact reads parsed mails from a table: neither texts nor the order of an account's mails are in its plan again."""
+    plan = mail.mail_fact(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(text" not in plan and "lag(" not in plan
